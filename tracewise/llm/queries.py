@@ -24,6 +24,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), emit="digests")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewise.llm.rules import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewise.llm.packing import pack
 
@@ -44,6 +50,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
+    "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_media_columns": op9_media_columns,
