@@ -36,6 +36,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewise.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewise.llm.chat import digests, with_probe
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op4_quality_rules": op4_quality_rules,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_media_columns": op9_media_columns,
 }
