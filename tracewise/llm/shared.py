@@ -44,15 +44,11 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def mark() -> int:
-    """A position in the list of scratch tables, for drop_since."""
-    return len(_written)
-
-
-def drop_since(spark: SparkSession, start: int = 0) -> None:
-    """Delete the scratch tables written since mark() gave start. Only once nothing reads them any more."""
-    while len(_written) > start:
-        drop(spark, _written.pop())
+def take_written() -> list[str]:
+    """The scratch tables written since the last call. The caller drops them once nothing reads them any more."""
+    out = list(_written)
+    _written.clear()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
