@@ -42,6 +42,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewise.llm.suffixes import dedup_bytes
+
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewise.llm.packing import pack
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
     "op8_chat_formatting": op8_chat_formatting,
