@@ -13,9 +13,8 @@ then classes of different unions that still share a column, under the bound that
 histograms of two sets differ by no more than the sets may. Both steps are verified on whole
 sets, block by block. No pair within one union is formed, which loses no component.
 
-The order of columns comes from counts within parts of the corpus, summed over all of it, of
-which the largest `hot` are used. It steers the size of the product, not its result: any
-order common to all documents is exact.
+The order of columns comes from counts of all documents in 2^22 buckets. It steers the size
+of the product, not its result: any order common to all documents is exact.
 
 Cases: null, empty or word-less text has no shingles and is its own component. Fewer words
 than a shingle has are one shingle. Rows that share a doc_id are one document for linking.
@@ -33,45 +32,66 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.graph import components
+from tracewise.llm.lines import bit_filter
 from tracewise.llm.shared import store
 from tracewise.llm.shingles import mix, shingle_sets
 
 #: Bins of a set's histogram, and bits of the filter over documents with candidates.
 BINS = 64
 FILTER = 1 << 24
+#: Counters of how common shingles are, and how many travel in one row.
+COUNTERS = 1 << 22
+BLOCK = 1 << 15
 
 
 def _raw(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
 
-def _parts(batches, rows: int = 1024) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _parts(batches, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield part, part.column("raw").to_pylist()
 
 
-def common_shingles(docs: DataFrame, size: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `hot` most common shingles and their counts, sorted by shingle. What occurs once in every part isn't counted."""
+def rarity(docs: DataFrame, size: int) -> np.ndarray:
+    """Documents by bucket of their shingles: COUNTERS numbers over all documents, whatever the input."""
 
-    def run(batches):
-        for _, texts in _parts(batches, 4096):
-            sets = list(shingle_sets(texts, size))
-            shingle, n = np.unique(np.concatenate([*{s.tobytes(): s for s in sets}.values(), np.zeros(0, np.uint64)]), return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
+    def count(batches):
+        total, group, waiting = np.zeros(COUNTERS, np.uint32), [], 0
+        for _, texts in _parts(batches):
+            for s in shingle_sets(texts, size):
+                group.append((s & np.uint64(COUNTERS - 1)).astype(np.int32))
+                waiting += len(s)
+                if waiting > COUNTERS // 2:
+                    total += np.bincount(np.concatenate(group), minlength=COUNTERS).astype(np.uint32)
+                    group, waiting = [], 0
+        if group:
+            total += np.bincount(np.concatenate(group), minlength=COUNTERS).astype(np.uint32)
+        blocks = total.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        for k in some.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                got = np.frombuffer(raw, np.uint32)
+                sums[k] = sums[k] + got if k in sums else got
+        for k, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
-    counted = _raw(docs).mapInArrow(run, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "s").limit(hot).toArrow()
-    shingle = top.column("s").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(shingle)
-    return shingle[order], top.column("n").to_numpy().astype(np.int64)[order]
+    kind = "block int, counts binary"
+    out = np.zeros((COUNTERS // BLOCK, BLOCK), np.uint32)
+    for r in _raw(docs).mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toLocalIterator():
+        out[r["block"]] = np.frombuffer(r["counts"], np.uint32)
+    return out.ravel()
 
 
-def incidence(docs: DataFrame, size: int, per_mille: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def incidence(docs: DataFrame, size: int, per_mille: int, common: np.ndarray) -> DataFrame:
     """Per document: set size, key of the set, the columns it is joined on, how common its shingles are, histogram."""
-    known, counts = hot
 
     def run(batches):
         for part, texts in _parts(batches):
@@ -85,8 +105,7 @@ def incidence(docs: DataFrame, size: int, per_mille: int, hot: tuple[np.ndarray,
                     bins.append(np.zeros(BINS, np.int32))
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                at = np.minimum(np.searchsorted(known, s), max(0, len(known) - 1))
-                seen = np.where(known[at] == s, counts[at], 1) if len(known) else np.ones(len(s), np.int64)
+                seen = np.maximum(common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], 1)
                 length = len(s) - -(-per_mille * len(s) // 1000) + 1
                 prefixes.append(s[np.lexsort((s, seen))[:length]].view(np.int64))
                 central.append(float(np.log(seen).mean()))
@@ -116,7 +135,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(texts, size)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
 
-    return _raw(docs).withColumn("bit", bit).mapInArrow(run, "doc_id bigint, grams binary").where("doc_id is not null")
+    return _raw(docs).withColumn("bit", bit).mapInArrow(run, "doc_id bigint, grams binary").where("doc_id is not null").dropDuplicates(["doc_id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
@@ -146,32 +165,42 @@ def sizes_fit(m: Column, n: Column, per_mille: int) -> Column:
     return 1000 * F.least(m, n) >= per_mille * F.greatest(m, n)
 
 
-def join(docs: DataFrame, size: int = 3, per_mille: int = 900, hot: int = 1 << 16) -> DataFrame:
+def near_enough(per_mille: int) -> Column:
+    """Bound on rows x and y: the histograms of two sets differ by no more than the sets, and those by no more than their sizes allow."""
+    apart = sum((F.abs(F.get("x.bins", F.lit(k)) - F.get("y.bins", F.lit(k))) for k in range(BINS)), F.lit(0))
+    return (1000 + per_mille) * apart <= (1000 - per_mille) * (F.col("x.n") + F.col("y.n"))
+
+
+def members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links of at least per_mille / 1000."""
-    rows = store(incidence(docs, size, per_mille, common_shingles(docs, size, hot)), "incidence")
+    rows = store(incidence(docs, size, per_mille, rarity(docs, size)), "incidence")
     full = rows.where("n > 0 and doc_id is not null")
     classes = store(full.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "central", "prefix", "bins"))), "classes")
-    entries = classes.select("rep", "n", "central", F.explode("prefix").alias("s"))
-    columns = entries.groupBy("s").agg(F.count("*").alias("m"), F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head")).where("m > 1")
-    shared = store(entries.join(columns, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "columns")
-    sets = store(whole_sets(docs, shared.select(F.col("rep").alias("doc_id")), size), "sets")
-    sets = sets.dropDuplicates(["doc_id"])
+    several = store(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"), "columns")
+    entries = classes.select("rep", "n", "central", F.explode("prefix").alias("s")).where(bit_filter(several, "s")).join(several, "s", "left_semi")
+    entries = store(entries, "entries")
+    heads = entries.groupBy("s").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head"))
+    shared = store(entries.join(heads, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "shared")
     stars = shared.where((F.col("rep") != F.col("head")) & sizes_fit(F.col("n"), F.col("head_n"), per_mille)).groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("overlap"))
-    near = store(verified(stars, sets, per_mille), "links")
+    bins = classes.select("rep", "n", "bins")
+    stars = stars.alias("p").join(bins.alias("x"), F.col("p.a") == F.col("x.rep")).join(bins.alias("y"), F.col("p.b") == F.col("y.rep")).where(near_enough(per_mille)).select("a", "b")
+    stars = store(stars, "stars")
+    near = store(verified(stars, whole_sets(docs, members(stars), size), per_mille), "links")
     labels = components(near)
     # classes of different unions that share a column; the largest union of a column needs no pairs within itself
     marked = shared.select("s", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     marked = store(marked, "marked")
     unions = marked.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s").agg(F.count("*").alias("unions"), F.max(F.struct("m", "label"))["label"].alias("main")).where("unions > 1")
-    bins = classes.select("rep", *(F.get("bins", F.lit(k)).alias(f"h{k}") for k in range(BINS)))
-    split = store(marked.join(unions, "s").select("s", "rep", "n", "label", "main").join(bins, "rep"), "split")
+    split = store(marked.join(unions, "s").select("s", "rep", "label", "main").join(bins, "rep"), "split")
     x, y = split.where("label != main").alias("x"), split.alias("y")
-    m, n = F.col("x.n"), F.col("y.n")
-    apart = sum((F.abs(F.col(f"x.h{k}") - F.col(f"y.h{k}")) for k in range(1, BINS)), F.abs(F.col("x.h0") - F.col("y.h0")))
-    close = (1000 + per_mille) * apart <= (1000 - per_mille) * (m + n)  # bound on the symmetric difference
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & sizes_fit(m, n, per_mille) & close)
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & sizes_fit(F.col("x.n"), F.col("y.n"), per_mille) & near_enough(per_mille))
     rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    far = verified(rest, sets, per_mille)
+    rest = store(rest, "rest")
+    far = verified(rest, whole_sets(docs, members(rest), size), per_mille)
     united = components(near.union(far))
     found = rows.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
