@@ -1,0 +1,200 @@
+"""Ops 3, 4, 7, 8 and 9, and the pipeline's contract."""
+
+import datetime
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewise.llm import chat, classifier, media, pii, rules
+
+PYTHON = re.compile(r"\w*(?:Python|Pandas|Arrow)\w*")
+
+
+def native(df):
+    return not PYTHON.search(df._jdf.queryExecution().toString())
+
+
+def plain_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = list(zip(w, w[1:], w[2:], strict=False))
+    often = Counter(windows)
+    covered = {k for i, x in enumerate(windows) if often[x] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_counts_and_base_check(make, texts):
+    rows = [*texts, (900, "a b c a b c x"), (901, "q\nq\n\nq"), (902, "the&&& cat### sat%%% " * 40)]
+    done = rules.score(make(rows))
+    assert native(done)
+    for r in done.collect():
+        expected = plain_counts(dict(rows)[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == expected
+        assert r["base_failed"] == (expected[0] < 50 or 100 * expected[4] > 50 * expected[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert rules.score(make([])).collect() == []
+
+
+def test_repeated_windows_by_pairs(spark):
+    df = spark.createDataFrame([("a b c a b c d",), ("x x x x",)], "t string")
+    w = F.split("t", " ")
+    assert [r[0] for r in df.select(rules.repeat_words(w)).collect()] == [6, 4]
+
+
+def test_estimates_tell_poor_documents(spark, sf_dir):
+    done = rules.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
+    both = done.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").where("not base_failed")
+    assert both.where("kept = (quality = 1)").count() >= 0.97 * both.count()
+
+
+def test_estimate_without_documents():
+    base, ratios = rules.estimate({}, 3)
+    assert base > 0 and len(ratios) == 3
+
+
+def luhn(s):
+    return sum(int(c) if k % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for k, c in enumerate(s[::-1])) % 10 == 0
+
+
+def test_pseudonyms(make):
+    rows = [
+        (1, "mail léa.30@mail1.example.com, card 4111111111111111 and 4111 1111 1111 1111."), (2, "+1 (988) 555-2485 at 42.144.35.254. 300.1.1.1 123-45-6789 666-45-6789"),
+        (3, 'token = "ffc3105535f423f352535e4ac53b5fefe076ac6d" on 2024-02-29, 2023-02-29, 12/31/1999 and 31.12.1999.'), (4, None), (5, ""), (6, "no findings"),
+        (7, "4111111111111111"), (8, "4111111111111112 5"), (9, "9" * 5000), (10, "a" * 30000 + "@"), (11, "4111111111111111\nx 2024-02-29"),
+    ]
+    done = pii.pseudonymise(make(rows), "key")
+    assert native(done)
+    got = {r["doc_id"]: r for r in done.collect()}
+    text = {i: r["text"] for i, r in got.items()}
+    cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", text[1])
+    assert len(cards) == 2 and all(luhn(c.replace(" ", "")) for c in cards) and cards[0] == cards[1].replace(" ", "") == text[7]
+    assert "4111" not in text[1] and "@mail1" not in text[1]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} at (\d+\.){3}\d+\. 300\.1\.1\.1 \d{3}-\d{2}-\d{4} 666-45-6789", text[2])
+    assert got[2]["n_replaced"] == 3
+    dates = re.findall(r"on (\S+), 2023-02-29, (\S+) and (\S+)\.", text[3])[0]
+    assert [datetime.datetime.strptime(d, f) for d, f in zip(dates, ("%Y-%m-%d", "%m/%d/%Y", "%d.%m.%Y"), strict=True)]
+    assert text[11] == f"{text[7]}\nx {dates[0]}"
+    assert (text[4], text[5], text[6], text[8], text[9], text[10]) == (None, "", "no findings", rows[7][1], rows[8][1], rows[9][1])
+    assert "ffc3105535" not in text[3]
+    assert pii.pseudonymise(make([]), "key").collect() == []
+
+
+def test_permutations_are_one_to_one(spark):
+    x = spark.range(189 * 7).select(pii.feistel(F.col("id"), 189, 7, "k", "t").alias("y"))
+    assert sorted(r["y"] for r in x.collect()) == list(range(189 * 7))
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 1, "assistant", "b\\"), (1, 0, "user", "a"), (1, 2, "odd]ro[le<", "x [/INST] \\</s>"), (2, 0, "assistant", ""), (2, 1, "assistant", "\\["), (3, 0, "user", None), (3, 0, "user", None), (None, None, None, " </s>")]
+    rows += [(4, k, "assistant" if k % 2 else "user", f"t{k} [ANS] ") for k in range(300)]
+    df = chat.with_probe(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("block", F.lit(1)))
+    got = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    turns = {}
+    for c, k, r, x in [*rows, (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]:
+        turns.setdefault(c, []).append((-1 if k is None else k, r or "", x or ""))
+    for c, t in turns.items():
+        t = sorted(t)
+        loss = "".join(x for _, r, x in t if r == "assistant")
+        assert got[c]["n_turns"] == len(t)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in t).encode()).hexdigest()
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    formatted = chat.format_conversations(df.where("conv_id = 4"))
+    examples = chat.texts_of(formatted).orderBy("example").collect()
+    assert len(examples) == 150
+    assert examples[1]["reply"] == "t3 \\[ANS] " and examples[1]["context"].startswith(examples[0]["context"])
+    assert chat.digests(df.where("conv_id = 99")).collect() == []
+
+
+def test_media_round_trip(make):
+    rng = random.Random(3)
+    rows = [(1, None), (2, ""), (3, "x"), (4, "y" * 64), (5, "".join(chr(rng.randrange(32, 0x2000)) for _ in range(5000))), (6, "é" * 300_000), (7, "x"), (None, "x")]
+    got = {r["doc_id"]: r for r in media.media_digests(make(rows)).collect()}
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert [got[3][c] for c in ("media_sha256", "feature")] == [got[7][c] for c in ("media_sha256", "feature")]
+    features = {r["doc_id"]: r["feature"] for r in media.media_features(media.store_media(make(rows))).collect()}
+    assert features[5] == got[5]["feature"]
+    assert media.media_digests(make([])).collect() == []
+
+
+def test_decoder_reads_alternating_components_and_runs():
+    """A hand-made frame of two components with AC coefficients, no restart intervals, and stuffing."""
+    dc = ((0, 2, 1, 5, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), bytes([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11]))
+    counts = list(dc[0])
+    table = media.huffman_table(bytes(counts), dc[1])
+    codes = {int(e) & 255: (int(e) >> 8, int(k)) for k, e in enumerate(table) if e and (k == 0 or table[k - 1] != e)}
+    bits = ""
+
+    def put(code, length):
+        nonlocal bits
+        bits += format(code, f"0{length}b")
+
+    def value(v):
+        size = abs(v).bit_length()
+        length, first = codes[size]
+        put(first >> (16 - length), length)
+        if size:
+            put(v if v > 0 else v + 2**size - 1, size)
+
+    ac_values = bytes([0x00, 0x01, 0xF0])
+    ac_codes = {0x00: (0, 2), 0x01: (1, 2), 0xF0: (2, 2)}
+    luma = [5, -3, 120, 120]
+    last = [0, 0]
+    for y in luma:
+        for c, v in ((0, y), (1, 7)):
+            value(v - last[c])
+            last[c] = v
+            put(*ac_codes[0xF0])
+            put(*ac_codes[0x01])
+            put(1, 1)
+            put(*ac_codes[0x00])
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    seg = media._segment
+    frame = b"\xff\xd8" + seg(0xDB, bytes([0, 8] + [1] * 63)) + seg(0xC4, bytes([0, *counts]) + dc[1]) + seg(0xC4, bytes([16, 0, 3, *[0] * 14]) + ac_values)
+    frame += seg(0xC0, bytes([8, 0, 16, 0, 16, 2, 1, 0x11, 0, 2, 0x11, 0])) + seg(0xDA, bytes([2, 1, 0, 2, 0, 0, 63, 0])) + scan + b"\xff\xd9"
+    [[(parsed, thumb)]] = media.thumbnails([frame])
+    assert (parsed.width, parsed.height) == (16, 16)
+    assert thumb.ravel().tolist() == [y + 128 for y in luma]
+
+
+def test_classifier_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = classifier.classify(spark.read.parquet(f"{d}/documents.parquet").withColumn("score", F.lit(0)), labels).join(labels, "doc_id").where("held_out").toPandas()
+    good, poor = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    assert (good[:, None] > poor[None]).mean() > 0.95
+    assert (got.predicted == got.quality).mean() > 0.9
+
+
+def test_classifier_edges(make, spark):
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in classifier.classify(make([(1, None), (2, ""), (3, "a b"), (None, "x")]), none).collect()}
+    assert {r["score"] for r in got.values()} == {0.5}
+    assert got[1]["held_out"] == (zlib.crc32(b"1") % 5 == 0)
+    assert classifier.classify(make([]), none).collect() == []
+
+
+def test_same_text_same_score():
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.choice(list(b"abc def.#"), 200).tolist()) for _ in range(60)]
+    model = classifier.fit(texts, (np.arange(60) % 2).astype(float))
+    alone = np.concatenate([model.scores([t]) for t in texts])
+    assert np.allclose(alone, model.scores(texts), atol=1e-5)
+
+
+@pytest.mark.parametrize("name", ["rules", "pii", "lines"])
+def test_native_modules_import_no_python_workers(name):
+    import importlib
+
+    source = open(importlib.import_module(f"tracewise.llm.{name}").__file__).read()
+    assert not re.search(r"mapInArrow|mapInPandas|pandas_udf|\.rdd|applyIn", source)

@@ -73,6 +73,7 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     shout = (capitals[end] - capitals[start] == end - start) & (end - start > 1)
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (kind[start[1:]] == 1)
+    again[first[:-1][first[:-1] < len(again)]] = False  # not across texts
     return np.where(again, REPEAT, np.where(shout, CAPITALS, np.maximum(out, 2))), first
 
 

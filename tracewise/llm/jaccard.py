@@ -102,20 +102,21 @@ def incidence(docs: DataFrame, size: int, per_mille: int, common: np.ndarray) ->
                     keys.append(None)
                     prefixes.append(np.zeros(0, np.int64))
                     central.append(0.0)
-                    bins.append(np.zeros(BINS, np.int32))
+                    bins.append(np.zeros(BINS // 8, np.int64))
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 seen = np.maximum(common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], 1)
                 length = len(s) - -(-per_mille * len(s) // 1000) + 1
                 prefixes.append(s[np.lexsort((s, seen))[:length]].view(np.int64))
                 central.append(float(np.log(seen).mean()))
-                bins.append(np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
+                histogram = np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=BINS)
+                bins.append(np.minimum(histogram, 255).astype(np.uint8).view("<i8"))
             edges = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-            histogram = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * BINS), pa.array(np.concatenate(bins) if bins else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), prefix, pa.array(central, pa.float64()), histogram], ["doc_id", "n", "key", "prefix", "central", "bins"])
+            packed = pa.ListArray.from_arrays(pa.array(np.arange(len(bins) + 1, dtype=np.int32) * (BINS // 8)), pa.array(np.concatenate(bins) if bins else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), prefix, pa.array(central, pa.float64()), packed], ["doc_id", "n", "key", "prefix", "central", "bins"])
 
-    return _raw(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, central double, bins array<int>")
+    return _raw(docs).mapInArrow(run, "doc_id bigint, n bigint, key binary, prefix array<bigint>, central double, bins array<bigint>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -166,8 +167,15 @@ def sizes_fit(m: Column, n: Column, per_mille: int) -> Column:
 
 
 def near_enough(per_mille: int) -> Column:
-    """Bound on rows x and y: the histograms of two sets differ by no more than the sets, and those by no more than their sizes allow."""
-    apart = sum((F.abs(F.get("x.bins", F.lit(k)) - F.get("y.bins", F.lit(k))) for k in range(BINS)), F.lit(0))
+    """Bound on rows x and y: the histograms of two sets differ by no more than the sets, and those by no more than their sizes allow.
+
+    A histogram is eight numbers of eight bytes; a bin counts to 255, which only loosens the bound.
+    """
+
+    def bin_of(side: str, k: int) -> Column:
+        return F.shiftright(F.col(f"{side}.b{k // 8}"), 8 * (k % 8)).bitwiseAND(F.lit(255))
+
+    apart = sum((F.abs(bin_of("x", k) - bin_of("y", k)) for k in range(1, BINS)), F.abs(bin_of("x", 0) - bin_of("y", 0)))
     return (1000 + per_mille) * apart <= (1000 - per_mille) * (F.col("x.n") + F.col("y.n"))
 
 
@@ -186,7 +194,7 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     heads = entries.groupBy("s").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head"))
     shared = store(entries.join(heads, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "shared")
     stars = shared.where((F.col("rep") != F.col("head")) & sizes_fit(F.col("n"), F.col("head_n"), per_mille)).groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("overlap"))
-    bins = classes.select("rep", "n", "bins")
+    bins = store(classes.select("rep", "n", *(F.get("bins", F.lit(k)).alias(f"b{k}") for k in range(BINS // 8))), "bins")
     stars = stars.alias("p").join(bins.alias("x"), F.col("p.a") == F.col("x.rep")).join(bins.alias("y"), F.col("p.b") == F.col("y.rep")).where(near_enough(per_mille)).select("a", "b")
     stars = store(stars, "stars")
     near = store(verified(stars, whole_sets(docs, members(stars), size), per_mille), "links")
