@@ -72,13 +72,14 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
         blocks = total.reshape(-1, BLOCK)
         some = np.flatnonzero(blocks.any(1))
         for k in some.tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()], pa.binary())], ["block", "counts"])
+            narrow = blocks[k].astype(np.uint8) if blocks[k].max() < 256 else blocks[k]  # a row's length tells which
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([narrow.tobytes()], pa.binary())], ["block", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                got = np.frombuffer(raw, np.uint32)
+                got = np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.uint32).astype(np.uint32)
                 sums[k] = sums[k] + got if k in sums else got
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
