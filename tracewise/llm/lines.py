@@ -103,10 +103,10 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     counts = rarity(lines)
     cut = lines.select("h1", let(tokens(F.col("line")), lambda t: F.struct(F.size(t).alias("n"), prefix(t, counts, per_mille).alias("p"))).alias("s"))
     entries = store(cut.select("h1", "s.n", F.posexplode("s.p").alias("pos", "token")), "entries")
-    several = entries.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("token")
-    several = store(several, "tokens")
-    shared = entries.where(bit_filter(several, "token")).join(several, "token", "left_semi").distinct()
-    shared = store(shared.join(classes.select("h1", "h2", "first"), "h1"), "shared")
+    several = store(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
+    shared = store(entries.where(bit_filter(several, "token")).distinct(), "several")
+    different = shared.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("token")
+    shared = store(shared.join(different, "token", "left_semi").join(classes.select("h1", "h2", "first"), "h1"), "shared")
     involved = bit_filter(shared.select("h1"), "h1")
     sets = lines.where(involved).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "h2", tokens(F.col("line")).alias("set"))
     sets = store(sets, "sets")
@@ -135,14 +135,12 @@ def dedup_lines(docs: DataFrame, per_mille: int = 800, text: str = "text") -> Da
     """docs with later matches taken out of the text, and n_lines, n_removed."""
     plain = docs.withColumnRenamed(text, "text")
     places, gone = later_matches(plain.select("doc_id", "text"), per_mille)
-    removed = (
-        places.join(gone, ["h1", "h2"])
-        .where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first")))
-        .groupBy("doc_id")
-        .agg(F.collect_set("line_no").alias("_gone"))
-    )
+    lost = places.join(gone, ["h1", "h2"]).where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first")))
+    removed = store(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed")
     lines = F.split("text", "\n")
     keep = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = plain.join(removed, "doc_id", "left")
+    hit = F.coalesce(bit_filter(removed, "doc_id"), F.lit(False))  # the rest needn't be shuffled
+    rest = plain.where(~hit).withColumn("_gone", F.lit(None).cast("array<int>"))
+    out = plain.where(hit).join(removed, "doc_id", "left").unionByName(rest)
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep)).drop("_gone").withColumnRenamed("text", text)
