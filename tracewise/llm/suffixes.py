@@ -9,8 +9,9 @@ holds the corpus:
    the same anchor are neighbours and form a region of the text.
 2. Anchors that occur once are out: occurrences are counted, and a filter of fixed size says
    which regions to emit. False positives cost time only.
-3. Equal regions are one; all but the first are repeats as a whole.
-4. Different regions with one anchor meet in a task. Of their concatenation a suffix order is
+3. Equal regions are one; all but the first are repeats as a whole. Only digests travel here.
+4. Different regions with one anchor meet in a task. What shares no window's hash with another
+   of them is cut off, as it can't repeat. Of the rest's concatenation a suffix order is
    built to a depth beyond `least`, and from its Burrows-Wheeler transform common prefixes
    are derived by increasing value: intervals of strings of length l are extended backward to
    length l + 1, breadth first, and each right boundary seen for the first time gets l. At
@@ -56,12 +57,13 @@ def _values() -> np.ndarray:
 VALUE = _values()
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
+def rolling_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the gram bytes from each place on."""
     size = 1 << max(20, int(len(raw)).bit_length())
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(VALUE[raw] * _powers(BASE, size)[: len(raw)], out=total[1:])
-        return mix((total[GRAM:] - total[:-GRAM]) * _powers(INVERSE, size)[: len(raw) - GRAM + 1])
+        return mix((total[gram:] - total[:-gram]) * _powers(INVERSE, size)[: max(0, len(raw) - gram + 1)])
 
 
 def regions(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
@@ -70,7 +72,7 @@ def regions(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < least:
         return none, none, none, none
-    hashes = gram_hashes(raw)
+    hashes = rolling_hashes(raw)
     place = np.uint64((1 << PLACE_BITS) - 1)
     low = (hashes & ~place) | np.arange(len(hashes), dtype=np.uint64)
     width, have = least - GRAM + 1, 1
@@ -107,9 +109,9 @@ def _groups(batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of a text of small numbers, ordered by at least depth symbols."""
     key = np.zeros(len(text), np.uint64)
-    for k in range(4):
-        key = (key << np.uint64(16)) | np.roll(text, -k).astype(np.uint64)
-    have = 4
+    for k in range(7):  # symbols are below 2^9
+        key = (key << np.uint64(9)) | np.roll(text, -k).astype(np.uint64)
+    have = 7
     rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
     while have < depth and rank.max() + 1 < len(text):
         rank = np.unique(rank * (1 << 32) + np.roll(rank, -have), return_inverse=True)[1].astype(np.int64)
@@ -173,6 +175,35 @@ def repeated_starts(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, l
     return list(zip(piece[hit[edge]].tolist(), offset[hit[edge]].tolist(), offset[hit[end]].tolist(), strict=True))
 
 
+def shared_parts(pieces: list[bytes], anchors: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Piece number, offset and bytes of the parts from a piece's first to its last window whose hash occurs twice under its anchor."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([len(p) for p in pieces])
+    begins = ends - np.diff(ends, prepend=0)
+    hashes = rolling_hashes(raw, least)
+    piece = np.repeat(np.arange(len(pieces)), ends - begins)[: len(hashes)]
+    at = np.flatnonzero(np.arange(len(hashes)) + least <= ends[piece])
+    with np.errstate(over="ignore"):
+        window = hashes[at] ^ mix(anchors[piece[at]].view(np.uint64))
+    _, inverse, count = np.unique(window, return_inverse=True, return_counts=True)
+    hit = at[count[inverse] > 1]
+    if not len(hit):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    number, first = np.unique(piece[hit], return_index=True)
+    last = np.append(first[1:], len(hit)) - 1
+    a, b = hit[first] - begins[number], hit[last] - begins[number] + least
+    return number, a, [pieces[k][x:y] for k, x, y in zip(number.tolist(), a.tolist(), b.tolist(), strict=True)]
+
+
+def _filter(bits: DataFrame) -> np.ndarray:
+    """FILTER bits as bytes, those in the column bit set: FILTER / 8 bytes, whatever the input."""
+    maps = np.zeros((FILTER // 32768, 4096), np.uint8)
+    bit = F.col("bit") + 1  # the bitmap functions count from 1
+    for r in bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).toLocalIterator():
+        maps[r["bucket"] - 1] = np.frombuffer(r["map"], np.uint8)
+    return maps.ravel()
+
+
 def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, begin, end of byte ranges to remove; they may overlap."""
     raw = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
@@ -182,27 +213,37 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(regions(texts, least)[0])], ["anchor"])
 
     several = raw.mapInArrow(anchors, "anchor bigint").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    bit = F.pmod("anchor", F.lit(FILTER)) + 1  # the bitmap functions count from 1
-    maps = np.zeros((FILTER // 32768, 4096), np.uint8)
-    for r in several.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).toLocalIterator():
-        maps[r["bucket"] - 1] = np.frombuffer(r["map"], np.uint8)
-    flat = maps.ravel()  # FILTER / 8 bytes, whatever the input
-
-    def emit(batches):
+    def kept(batches, flat: np.ndarray, bit) -> Iterator[tuple]:
+        """Regions whose bit is set: part, texts, anchor, text number, first, last."""
         for part, texts in _groups(batches):
             anchor, number, first, last = regions(texts, least)
-            at = np.mod(anchor, FILTER)
+            at = bit(anchor, part.column("doc_id").to_numpy()[number], first)
             some = np.flatnonzero((flat[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            number, first, last = number[some], first[some], last[some]
-            pieces = [texts[k][a : b + least] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
-            keys = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(anchor[some]), part.column("doc_id").take(pa.array(number)), pa.array(first), pa.array(last), pa.array(pieces, pa.binary())], ["key", "anchor", "doc_id", "first", "last", "piece"])
+            yield part, texts, anchor[some], number[some], first[some], last[some]
+
+    repeated = _filter(several.select(F.pmod("anchor", F.lit(FILTER)).alias("bit")))
 
-    found = store(raw.mapInArrow(emit, "key binary, anchor bigint, doc_id bigint, first bigint, last bigint, piece binary"), "regions")
-    unique = store(found.groupBy("key", "anchor").agg(F.min(F.struct("doc_id", "first")).alias("at"), F.first("piece").alias("piece"), F.count("*").alias("n")), "unique")
-    copies = found.select("key", "doc_id", "first", "last").join(unique.where("n > 1").select("key", "at"), "key").where(F.struct("doc_id", "first") != F.col("at"))
+    def digests(batches):
+        for part, texts, anchor, number, first, last in kept(batches, repeated, lambda a, d, f: np.mod(a, FILTER)):
+            keys = [int.from_bytes(hashlib.blake2b(texts[k][a : b + least], digest_size=8).digest(), "little", signed=True) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys, pa.int64()), part.column("doc_id").take(pa.array(number)), pa.array(first), pa.array(last - first)], ["anchor", "key", "doc_id", "first", "more"])
+
+    found = store(raw.mapInArrow(digests, "anchor bigint, key bigint, doc_id bigint, first bigint, more bigint"), "regions")
+    same = ["anchor", "key", "more"]
+    unique = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n")), "unique")
+    copies = found.join(unique.where("n > 1").select(*same, "at"), same).where(F.struct("doc_id", "first") != F.col("at"))
     mixed = unique.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    groups = unique.join(mixed, "anchor").select("anchor", "at.doc_id", "at.first", "piece").sortWithinPartitions("anchor")
+    # any further region that the filter lets through is an occurrence too, and does no harm
+    wanted = unique.join(mixed, "anchor", "left_semi").select("at.*")
+    place = F.pmod(F.pmod("doc_id", F.lit(FILTER)) * 40503 + F.col("first") * 9973, F.lit(FILTER))
+    needed = _filter(wanted.select(place.alias("bit")))
+
+    def texts_of(batches):
+        for part, texts, anchor, number, first, last in kept(batches, needed, lambda a, d, f: np.mod(np.mod(d, FILTER) * 40503 + f * 9973, FILTER)):
+            pieces = [texts[k][a : b + least] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("doc_id").take(pa.array(number)), pa.array(first), pa.array(pieces, pa.binary())], ["anchor", "doc_id", "first", "piece"])
+
+    groups = raw.mapInArrow(texts_of, "anchor bigint, doc_id bigint, first bigint, piece binary").repartition("anchor").sortWithinPartitions("anchor")
 
     def expand(batches):
         block: list[tuple] = []
@@ -210,8 +251,9 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
         def done():
             anchor, doc, start, pieces = zip(*block, strict=True)
-            doc, start = np.array(doc, np.int64), np.array(start, np.int64)
-            rows = [(int(doc[k]), int(start[k]) + a, int(start[k]) + b + least) for k, a, b in repeated_starts(list(pieces), doc, start, least)]
+            number, shift, pieces = shared_parts(list(pieces), np.array(anchor, np.int64), least)
+            doc, start = np.array(doc, np.int64)[number], np.array(start, np.int64)[number] + shift
+            rows = [(int(doc[k]), int(start[k]) + a, int(start[k]) + b + least) for k, a, b in repeated_starts(pieces, doc, start, least)] if pieces else []
             columns = list(zip(*rows, strict=True)) or [()] * 3
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end"])
 
@@ -225,7 +267,7 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if block:
             yield done()
 
-    return copies.select("doc_id", F.col("first").alias("begin"), (F.col("last") + least).alias("end")).union(groups.mapInArrow(expand, "doc_id bigint, begin bigint, end bigint"))
+    return copies.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("more") + least).alias("end")).union(groups.mapInArrow(expand, "doc_id bigint, begin bigint, end bigint"))
 
 
 def dedup_bytes(docs: DataFrame, least: int = LEAST, emit: str = "digests") -> DataFrame:
