@@ -44,7 +44,7 @@ def test_question_has_its_answer(spark):
     assert len(got["i"]["choices"]) == 6
     assert got["i"]["choices"]["abcdef".index(got["i"]["answer"][0])] == "aa"
     assert got["j"]["answer"] == ["e"]
-    assert got["j"]["choices"][4:] == ["None of the above", "Cannot be inferred"]
+    assert got["j"]["choices"][4:] == [selection.NONE, selection.UNKNOWN]
 
 
 def test_bag_difference_and_samples(spark):

@@ -55,7 +55,7 @@ def test_source_rewrites():
 
 def test_values():
     assert values.parse("[1e999, 123456789012345678901, 3]") == ["inf", "123456789012345678901", 3]
-    assert values.pruned({"a": {"b": {"c": 1}}, "d": [1]}, 1) == {"a": "<dict of 1>", "d": "<list of 1>"}
+    assert values.pruned({"a": {"b": {"c": 1}}, "d": [1]}, 1) == {"a": {"b": {"py/object": "builtins.dict"}}, "d": [1]}
     assert list(values.difference([1, 2], [1])) == [("iterable_item_removed", "root[1]", 2, None)]
     assert list(values.difference({"a": 1}, {"a": "1"})) == [("type_changes", "root['a']", 1, "1")]
 
@@ -71,12 +71,12 @@ def test_outcomes(spark):
     ]
     runs = spark.createDataFrame(rows, "id int, buggy_stdout string, buggy_returncode int, fixed_stdout string, fixed_returncode int")
     got = {r["id"]: (r["before"], r["after"], len(r["options"])) for r in outcomes.seeded(runs).collect()}
-    assert got[1] == ("It fails at line 3 with ValueError", outcomes.PASSED, 2)
-    assert got[2] == ("It fails at line 3 with KeyError", "It fails at line 5 with Exception", 3)
+    assert got[1] == ("The test failed at line 3 with exception: ValueError.", outcomes.PASSED, 2)
+    assert got[2] == ("The test failed at line 3 with exception: KeyError.", "The test failed at line 5 with exception: Exception.", 3)
     assert got[3][0] == got[3][1]
-    assert got[4][0] == "It fails at line NA with Timeout"
+    assert got[4][0] == "The test failed at line NA with exception: Timeout."
     assert 5 not in got
-    assert {r["id"]: r["status"] for r in outcomes.statuses(runs).collect()}[1] == "REPRODUCED"
+    assert {r["id"]: r["status"] for r in outcomes.statuses(runs).collect()}[1] == "reproduced"
 
 
 def test_keyed_files(spark, tmp_path):

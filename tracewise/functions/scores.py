@@ -93,16 +93,16 @@ def changed(before: Column, before_exception: Column, after: Column, after_excep
 def reproduction(before_code: Column, after_code: Column) -> Column:
     """Status of a run pair from its return codes."""
     return (
-        F.when(before_code.isNull() | after_code.isNull(), "ERROR")
-        .when((before_code != 0) & (after_code == 0), "REPRODUCED")
-        .when((before_code != 0) & (after_code != 0), "BOTH_FAIL")
-        .otherwise("NOT_REPRODUCED")
+        F.when(before_code.isNull() | after_code.isNull(), "error")
+        .when((before_code != 0) & (after_code == 0), "reproduced")
+        .when(before_code == 0, "pass_in_buggy")
+        .otherwise("fail_in_fixed")
     )
 
 
 def location(event_type: Column, statement: Column) -> Column:
     """Where a divergence shows: a sentence for returns and exceptions, else the statement."""
-    return F.when(event_type.isin("Return", "Exception"), "the end of the function").otherwise(statement)
+    return F.when(event_type.isin("Return", "Exception"), "The return statement in the provided function").otherwise(statement)
 
 
 def moment(before_type: Column, after_type: Column) -> Column:

@@ -56,18 +56,18 @@ def probe_prompt(code: Column, line: Column, diff: Column, before: Column, after
     return context_block({"function": code, "line": line, "difference": diff, "variables_before": before, "variables_after": after, "task": wanted})
 
 
-def collapsed(before: Column, after: Column, first: str = "Before:\n", second: str = "After:\n") -> Column:
+def collapsed(before: Column, after: Column, first: str = "# Before Patch:\n", second: str = "# After Patch:\n") -> Column:
     """One text if both are the same, else both under their headings."""
     return F.when(before.eqNullSafe(after), before).otherwise(F.concat(F.lit(first), F.coalesce(before, F.lit("")), F.lit("\n\n"), F.lit(second), F.coalesce(after, F.lit(""))))
 
 
 def statement_block(before: Column, after: Column, before_type: Column, after_type: Column) -> Column:
-    """The statements of both sides, those of raised exceptions tagged."""
+    """The statement, or those of both sides with what became of them."""
 
     def tagged(s: Column, kind: Column) -> Column:
-        return F.when(kind == "Exception", F.concat(s, F.lit("  # raises"))).otherwise(s)
+        return F.concat(s, F.when(kind == "Exception", " (crashed here)").otherwise(" (normally executed)"))
 
-    return collapsed(tagged(before, before_type), tagged(after, after_type))
+    return F.when(before.eqNullSafe(after), before).otherwise(collapsed(tagged(before, before_type), tagged(after, after_type)))
 
 
 def qualified_name(full: Column) -> Column:

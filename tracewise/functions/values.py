@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 # Fields whose sequences count as unordered, for every repository and for some.
-UNORDERED = {"": ["args", "choices"], "django": ["fields", "tables"], "sympy": ["free_symbols"]}
+UNORDERED = {"": ["vars_used", "vars_defined"], "astropy": ["attr_names", "frame_names", "unit", "_all_units"], "django": ["_property_names"]}
 #: Whole numbers wider than this many bits become text when a parser would take them for infinity.
 SAFE_BITS = 53
 
@@ -101,12 +101,22 @@ def unordered_fields(repo: str) -> frozenset[str]:
 
 
 def pruned(v, depth: int):
-    """v with what lies deeper than depth replaced by a stub that names its type and size."""
-    if isinstance(v, dict):
-        return {k: pruned(x, depth - 1) for k, x in v.items()} if depth > 0 else f"<dict of {len(v)}>"
+    """v with the containers deeper than depth, its own being 0, replaced by stubs."""
+    if not isinstance(v, dict | list):
+        return v
+    if depth < 0:
+        return stub(v)
+    return {k: pruned(x, depth - 1) for k, x in v.items()} if isinstance(v, dict) else [pruned(x, depth - 1) for x in v]
+
+
+def stub(v: dict | list) -> dict:
+    """What stands for a container that is cut off: its class, with the names or the number of what it holds."""
     if isinstance(v, list):
-        return [pruned(x, depth - 1) for x in v] if depth > 0 else f"<list of {len(v)}>"
-    return v
+        return {"py/object": "builtins.list", "len": len(v)}
+    names = [k for k in v if not k.startswith("py/")]
+    if names and "py/object" in v:
+        return {"py/object": v["py/object"], "__dir__": names}
+    return v if names and "py/type" in v else {"py/object": "builtins.dict"}
 
 
 def _mapped(f, text: pd.Series) -> pd.Series:

@@ -10,11 +10,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions import values
+from tracewise.functions.paths import CONTAINERS
 from tracewise.schemas import DIVERGENCE, PAIR_KEY
 
 # Calls that are never entered because they draw at random, or because they only wrap another.
-RANDOM = ["random", "randint", "choice", "shuffle", "sample", "uuid4"]
-WRAPPERS = ["wrapper", "inner", "wrapped", "_wrapped_view", "decorator"]
+RANDOM = [
+    "django.contrib.auth.base_user:AbstractBaseUser.set_password",
+    "django.core.cache.backends.base:BaseCache.get_backend_timeout",
+    "sphinx.util.logging:SphinxLoggerAdapter.log",
+    "sphinx.environment:BuildEnvironment.__getstate__",
+    "__init__:SphinxTransform.env",
+    "tests.utils:create_server.<locals>.server",
+    "xarray.tests:create_test_data",
+]
+WRAPPERS = [
+    "sympy.multipledispatch.dispatcher:Dispatcher.__call__",
+    "sympy.core.cache:__cacheit.<locals>.func_wrapper.<locals>.wrapper",
+]
 
 
 @dataclass
@@ -102,7 +114,7 @@ def state_diff(a: dict, b: dict, repo: str, limit: int | None) -> tuple[str, str
 
     def depth(path: str) -> int:
         segments = findall(r"\[(.*?)\]", path)
-        return len(segments) - bool(segments and segments[0].strip("'\"") in ("seen_variables", "parameters", "return_value"))
+        return len(segments) - bool(segments and segments[0].strip("'\"") in CONTAINERS)
 
     kept = [(depth(p), p, k) for k, p, _, _ in found if limit is None or depth(p) <= limit]
     return min(kept)[2:0:-1] if kept else None
@@ -181,7 +193,7 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
                 out |= {
                     "function_name": a["function_name"], "file_path": a["filepath"], "buggy_event_id": a["event_id"], "patched_event_id": b["event_id"],
                     "buggy_event_type": a["event_type"], "patched_event_type": b["event_type"], "buggy_statement": a["statement"], "patched_statement": b["statement"],
-                    "location": "the end of the function" if a["event_type"] in ("Return", "Exception") else a["statement"], "before_or_after": "after" if ended else "before",
+                    "location": "The return statement in the provided function" if a["event_type"] in ("Return", "Exception") else a["statement"], "before_or_after": "after" if ended else "before",
                     "buggy_lineno": a["line_number"], "patched_lineno": b["line_number"], "buggy_function_param": a["parameters"], "diff_kind": kind, "diff_path": path,
                     "buggy_variables": a["seen_variables"], "patched_variables": b["seen_variables"], "seen_pmf": pmf,
                 }

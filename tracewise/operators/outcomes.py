@@ -12,8 +12,8 @@ from tracewise.operators.selection import expanded, sorted_letter
 # How a failing line and an exception show in a run's output, and the two fixed options.
 FAILING_LINE = r'File "/testbed/reproducer\.py", line (\d+)'
 EXCEPTION_LINE = r"(?m)^(.*(?:Error|Exception|ImproperlyConfigured)(?::?).*)$"
-UNKNOWN = "It cannot be answered"
-PASSED = "The test passes"
+UNKNOWN = "The question cannot be answered based on the explanation alone."
+PASSED = "The test passed."
 
 
 def failing_line(output: Column, code: Column) -> Column:
@@ -31,7 +31,7 @@ def exception_name(output: Column, code: Column) -> Column:
 
 
 def option(line: Column, name: Column) -> Column:
-    return F.when(line.isNull(), F.lit(PASSED)).otherwise(F.concat(F.lit("It fails at line "), line, F.lit(" with "), name))
+    return F.when(line.isNull(), F.lit(PASSED)).otherwise(F.concat(F.lit("The test failed at line "), line, F.lit(" with exception: "), name, F.lit(".")))
 
 
 def seeded(runs: DataFrame) -> DataFrame:
@@ -65,4 +65,4 @@ def statuses(runs: DataFrame) -> DataFrame:
     """Reproduction status and its text."""
     status = reproduction(F.col("buggy_returncode"), F.col("fixed_returncode"))
     text = F.concat_ws("\n", F.concat(F.lit("status: "), status), F.concat(F.lit("before: "), F.col("buggy_returncode").cast("string")), F.concat(F.lit("after: "), F.col("fixed_returncode").cast("string")))
-    return runs.withColumn("status", status).withColumn("reproduced", status == "REPRODUCED").withColumn("report", text)
+    return runs.withColumn("status", status).withColumn("reproduced", status == "reproduced").withColumn("report", text)

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.functions.scores import SCORES, choice_score
 from tracewise.functions.text import priced, token_count
 
 
+# Dollars per million tokens in and out.
+PRICES = [
+    ("gpt-5.2-2025-12-11", 1.75, 14.00),
+    ("gpt-5-mini-2025-08-07", 0.25, 2.00),
+    ("gpt-5-nano-2025-08-07", 0.05, 0.40),
+]
+
+
+def price_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PRICES, "model string, input_price double, output_price double")
+
+
 def trials(predictions: DataFrame, answers: str = "predictions") -> DataFrame:
     """A list of answers per instance as one row per trial."""
     keep = [c for c in predictions.columns if c != answers]

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tracewise.functions.text import LETTERS, best_similarity, letter, mean_similarity, similarity
 
 
+# The two options that every question may have.
+NONE = "The patch has no effect and none of the above expressions change in value"
+UNKNOWN = "Cannot be answered by the explanation alone"
+
+
 def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
@@ -57,7 +62,7 @@ def minus(pool: Column, taken: Column) -> Column:
     return F.filter(pool, lambda x: ~F.array_contains(taken, x))
 
 
-def assemble(correct: Column, incorrect: Column, fallback: Column, seed: int, *keys: Column | str, n_correct: int = 1, n_incorrect: int = 3, effect: bool = True, none: str = "None of the above", unknown: str = "Cannot be inferred") -> Column:
+def assemble(correct: Column, incorrect: Column, fallback: Column, seed: int, *keys: Column | str, n_correct: int = 1, n_incorrect: int = 3, effect: bool = True, none: str = NONE, unknown: str = UNKNOWN) -> Column:
     """choices and answer letters of a question.
 
     A fallback row has no correct option: its pools are merged and every slot is incorrect.

@@ -461,7 +461,7 @@ def last_regex_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", text.last_match(F.col("html"), r"<([A-Za-z0-9_]+)").alias("last"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN b <> 0 AND a = 0 THEN 'REPRODUCED' WHEN b <> 0 THEN 'BOTH_FAIL' ELSE 'NOT_REPRODUCED' END AS status, (b <> 0 AND a = 0) AS reproduced
+@query("""SELECT o_orderkey, CASE WHEN b <> 0 AND a = 0 THEN 'reproduced' WHEN b = 0 THEN 'pass_in_buggy' ELSE 'fail_in_fixed' END AS status, (b <> 0 AND a = 0) AS reproduced
 FROM (SELECT o_orderkey, o_orderkey % 3 AS b, o_custkey % 2 AS a FROM orders)""")
 def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 3).alias("buggy_returncode"), (F.col("o_custkey") % 2).alias("fixed_returncode"))
@@ -469,7 +469,7 @@ def status_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS b, o_custkey % 4 AS f FROM orders),
-x AS (SELECT o_orderkey, 'It fails at line ' || b || ' with ValueError' AS bo, CASE WHEN f = 0 THEN 'The test passes' ELSE 'It fails at line ' || (f + 3) || ' with Exception' END AS ao, b = f + 3 AND f <> 0 AS same FROM r)
+x AS (SELECT o_orderkey, 'The test failed at line ' || b || ' with exception: ValueError.' AS bo, CASE WHEN f = 0 THEN 'The test passed.' ELSE 'The test failed at line ' || (f + 3) || ' with exception: Exception.' END AS ao, b = f + 3 AND f <> 0 AS same FROM r)
 SELECT o_orderkey, CASE WHEN same THEN ao ELSE bo END AS before, ao AS after FROM x""")
 def outcome_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = 'File "/testbed/reproducer.py", line '
