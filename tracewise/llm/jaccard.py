@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.graph import components
-from tracewise.llm.lines import bit_filter
+from tracewise.llm.lines import hits
 from tracewise.llm.shared import store
 from tracewise.llm.shingles import mix, shingle_sets
 
@@ -190,7 +190,7 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     full = rows.where("n > 0 and doc_id is not null")
     classes = store(full.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "central", "prefix", "bins"))), "classes")
     several = store(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"), "columns")
-    entries = classes.select("rep", "n", "central", F.explode("prefix").alias("s")).where(bit_filter(several, "s")).join(several, "s", "left_semi")
+    entries = hits(classes.select("rep", "n", "central", F.explode("prefix").alias("s")), several, "s").join(several, "s", "left_semi")
     entries = store(entries, "entries")
     heads = entries.groupBy("s").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head"))
     shared = store(entries.join(heads, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "shared")

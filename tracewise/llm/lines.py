@@ -73,15 +73,28 @@ def prefix(t: Column, counts: Column, per_mille: int) -> Column:
     return F.slice(F.sort_array(keyed), F.lit(1), (n - F.ceil(n * per_mille / 1000) + 1).cast("int"))
 
 
-def bit_filter(keys: DataFrame, key: str) -> Column:
-    """Whether a column `key` may be among keys: a fixed number of bits, set by aggregation."""
-    bit = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(BITS))
-    maps = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))).alias("word"))
-    out = [0] * (BITS // 64)
-    for r in maps.collect():
-        out[r["at"]] = r["word"]
-    word = F.get(numbers(out, "bigint"), F.shiftright(bit, 6).cast("int"))
-    return F.call_function("shiftrightunsigned", word, F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+def with_hit(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with _hit: whether its column key may be among keys.
+
+    The filter is a table of BITS / 64 numbers at most, whatever the input, so it is broadcast;
+    as a constant it would be printed in every plan that the driver keeps.
+    """
+
+    def bit() -> Column:
+        return F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(BITS))
+
+    def place() -> Column:
+        return F.pmod(bit(), F.lit(64)).cast("int")
+
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place())
+    words = keys.select(F.shiftright(bit(), 6).cast("int").alias("_at"), one.alias("w")).groupBy("_at").agg(F.bit_or("w").alias("_word"))
+    found = df.withColumn("_at", F.shiftright(bit(), 6).cast("int")).join(F.broadcast(store(words, "bits")), "_at", "left")
+    hit = F.call_function("shiftrightunsigned", F.col("_word"), place()).bitwiseAND(F.lit(1)) == 1
+    return found.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_at", "_word")
+
+
+def hits(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return with_hit(df, keys, key).where("_hit").drop("_hit")
 
 
 def overlap_needed(m: Column, n: Column, per_mille: int) -> Column:
@@ -104,11 +117,10 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     cut = lines.select("h1", let(tokens(F.col("line")), lambda t: F.struct(F.size(t).alias("n"), prefix(t, counts, per_mille).alias("p"))).alias("s"))
     entries = store(cut.select("h1", "s.n", F.posexplode("s.p").alias("pos", "token")), "entries")
     several = store(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
-    shared = store(entries.where(bit_filter(several, "token")).distinct(), "several")
+    shared = store(hits(entries, several, "token").distinct(), "several")
     different = shared.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("token")
     shared = store(shared.join(different, "token", "left_semi").join(classes.select("h1", "h2", "first"), "h1"), "shared")
-    involved = bit_filter(shared.select("h1"), "h1")
-    sets = lines.where(involved).select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "h2", tokens(F.col("line")).alias("set"))
+    sets = hits(lines, shared.select("h1"), "h1").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "h2", tokens(F.col("line")).alias("set"))
     sets = store(sets, "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -139,8 +151,8 @@ def dedup_lines(docs: DataFrame, per_mille: int = 800, text: str = "text") -> Da
     removed = store(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed")
     lines = F.split("text", "\n")
     keep = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    hit = F.coalesce(bit_filter(removed, "doc_id"), F.lit(False))  # the rest needn't be shuffled
-    rest = plain.where(~hit).withColumn("_gone", F.lit(None).cast("array<int>"))
-    out = plain.where(hit).join(removed, "doc_id", "left").unionByName(rest)
+    split = with_hit(plain, removed, "doc_id")  # what can't lose a line needn't be shuffled
+    rest = split.where("not _hit").withColumn("_gone", F.lit(None).cast("array<int>"))
+    out = split.where("_hit").join(removed, "doc_id", "left").unionByName(rest).drop("_hit")
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
     return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep)).drop("_gone").withColumnRenamed("text", text)

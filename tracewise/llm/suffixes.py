@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.lines import bit_filter
+from tracewise.llm.lines import with_hit
 from tracewise.llm.shared import store
 from tracewise.llm.shingles import BASE, INVERSE, _powers, mix
 
@@ -276,9 +276,9 @@ def dedup_bytes(docs: DataFrame, least: int = LEAST, emit: str = "digests") -> D
     own = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    hit = F.coalesce(bit_filter(ranges, "doc_id"), F.lit(False))
-    some = base.where(hit).join(own, "doc_id", "left")
-    none = base.where(~hit).withColumn("ranges", F.lit(None).cast("array<struct<begin: bigint, end: bigint>>"))
+    split = with_hit(base, ranges, "doc_id")
+    some = split.where("_hit").join(own, "doc_id", "left")
+    none = split.where("not _hit").withColumn("ranges", F.lit(None).cast("array<struct<begin: bigint, end: bigint>>"))
     last = "kept_sha256" if emit == "digests" else "kept"
 
     def run(batches):
@@ -302,4 +302,4 @@ def dedup_bytes(docs: DataFrame, least: int = LEAST, emit: str = "digests") -> D
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.string() if emit == "digests" else pa.binary()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
-    return some.unionByName(none).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if emit == 'digests' else 'binary'}")
+    return some.unionByName(none).select("doc_id", "raw", "ranges").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if emit == 'digests' else 'binary'}")
