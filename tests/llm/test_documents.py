@@ -86,6 +86,20 @@ def test_pseudonyms(make):
     assert pii.pseudonymise(make([]), "key").collect() == []
 
 
+def test_mail_before_punctuation(make):
+    mails = ["jo@example.com", "jo@mail.example.co.uk", "jo@x.org"]
+    ends = ["", ".", "...", ". Next", ".\n", "\n", ", x", ".2024", ".)", "!"]
+    rows = [(k, f"write to {m}{e}") for k, (m, e) in enumerate((m, e) for m in mails for e in ends)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(make(rows), "key").collect()}
+    for k, (_, e) in enumerate((m, e) for m in mails for e in ends):
+        assert re.fullmatch(r"write to user[0-9a-f]{16}@example\.org" + re.escape(e), got[k]["text"]), rows[k]
+        assert got[k]["n_found"] == got[k]["n_replaced"] == 1
+    odd = [(1, "a@" + "b." * 3000), (2, "a@" + "b." * 60 + "com."), (3, "no@where, x@ y")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(make(odd), "key").collect()}
+    assert (got[1], got[3]) == (odd[0][1], odd[2][1])
+    assert got[2].endswith("@example.org.") and "b.b" not in got[2]
+
+
 def test_permutations_are_one_to_one(spark):
     x = spark.range(189 * 7).select(pii.feistel(F.col("id"), 189, 7, "k", "t").alias("y"))
     assert sorted(r["y"] for r in x.collect()) == list(range(189 * 7))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 # Patterns of what is looked for. None matches the empty string, and none backtracks over a long run.
-MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)++[A-Za-z]{2,}+"
+# A mail's domain gives back whole labels (127 at most, as many as a name can have), so that a full stop after it stays outside.
+MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++){0,125}\.[A-Za-z]{2,}+"
 SECRET = r'(?<=token = ")[0-9a-f]{40}(?=")'
 PHONE = r"(?<![\d+])\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)"
 DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])|(?<![\d./])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d./])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)"
