@@ -2,11 +2,16 @@
 
 Numbers and dates that pass validation are permuted within their own format under a key:
 payment cards (Luhn) stay Luhn-valid cards of the same length, phone numbers keep their
-country code and punctuation, IPv4 addresses, social-security numbers and calendar dates stay
+country code, count of digits and punctuation, IPv4 addresses, social-security numbers and calendar dates stay
 valid ones. The permutation is an unbalanced Feistel network of additions on Z_a x Z_b with
 a keyed hash as round function, so it is one-to-one on the format and equal values get equal
-pseudonyms in every document. What has no numeric format (mail addresses, hexadecimal
-secrets) gets a keyed digest in the same shape.
+pseudonyms in every document. What has no numeric format (mail addresses, secrets) gets a
+keyed digest, a secret's being hexadecimal and as long as the secret.
+
+Phone numbers are told by their count of digits: 8 to 15 after a plus sign, ten in North
+American groups, nine to eleven in groups after a trunk 0. Secrets are told by the name before
+them (token, password, api key ...) or by a known prefix; they need 16 characters of which
+eight differ, with letters and digits, or 20 digits.
 
 Main path: DataFrame functions only, no shuffle; a document is rewritten where it is read.
 
@@ -27,8 +32,18 @@ ROUNDS = 10
 # Patterns of what is looked for. None matches the empty string, and none backtracks over a long run.
 # A mail's domain gives back whole labels (127 at most, as many as a name can have), so that a full stop after it stays outside.
 MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9][A-Za-z0-9\-]*+(?:\.[A-Za-z0-9\-]++){0,125}\.[A-Za-z]{2,}+"
-SECRET = r'(?<=token = ")[0-9a-f]{40}(?=")'
-PHONE = r"(?<![\d+])\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)"
+_VALUE = r"[A-Za-z0-9+/_\-]++(?:\.[A-Za-z0-9+/_\-]++)*+={0,2}"
+_NAMED = r"""(?:token|secret|passwd|password|credentials?|(?:api|access|secret|private|auth|signing|encryption)[_\- ]?key)["'`]?\s{0,3}(?::=|=>|[=:])\s{0,3}["'`]?"""
+SECRET = (
+    rf"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z0-9+/_.\-]{{16}})(?<=(?i:{_NAMED}|bearer\s{{1,3}})){_VALUE}"
+    r"|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|xox[abeprs]-[A-Za-z0-9\-]{10,}+|sk-[A-Za-z0-9_\-]{20,}+)"
+)
+_TEN = r"(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}"
+PHONE = (
+    rf"(?<![\d+])\+(?:\d{{1,3}} \(\d{{3}}\) \d{{3}}-\d{{4}}|1[ .\-]?{_TEN}|[1-9](?:[ .\-/()]{{0,2}}\d){{7,14}})(?!\d)"
+    r"|(?<![\p{L}\p{N}+.\-/])(?:1[ .\-])?(?:\([2-9]\d{2}\)[ .\-]?\d{3}[ .\-]\d{4}|[2-9]\d{2}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4})(?![\d\-]|\.\d)"
+    r"|(?<![\p{L}\p{N}+.\-/])(?:\(0[1-9]\d{0,3}\)[ .\-]?|0[1-9]\d{0,3}[ .\-/])\d(?:[ .\-]?\d){3,8}(?![\d\-]|[./]\d)"
+)
 DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])|(?<![\d./])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d./])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
@@ -39,14 +54,16 @@ def any_of(*patterns: str) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-FOUND = any_of(MAIL, SECRET, PHONE, DATE, SSN, ADDRESS, CARD)
+FOUND = any_of(MAIL, SECRET, DATE, SSN, ADDRESS, PHONE, CARD)
+#: Country codes of one, two and three digits (ITU-T E.164).
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def keyed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *(p.cast("string") for p in parts)), 256)
 
 
-def feistel(x: Column, a: int, b: int, key: str, tweak: str, rounds: int = ROUNDS) -> Column:
+def feistel(x: Column, a: int | Column, b: int | Column, key: str, tweak: str | Column, rounds: int = ROUNDS) -> Column:
     """A keyed permutation of the whole numbers below a * b (at most 10^18)."""
 
     def turn(state: Column, k: Column) -> Column:
@@ -95,10 +112,29 @@ def card(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"^\+\d{1,3} ", 0)
-    d = F.regexp_replace(F.substring(m, F.length(head) + 1, F.lit(14)), r"\D", "")
-    p = digits_permuted(d, 10, key, "phone")
-    return F.concat(head, F.lit("("), F.substring(p, 1, 3), F.lit(") "), F.substring(p, 4, 3), F.lit("-"), F.substring(p, 7, 4))
+    """The digits after the country code are permuted among those of the same count, in the punctuation they have."""
+    written = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-/(])|^1[ .\-](?=\(?\d{3}[) .\-])", 0)
+    head = F.when(written == "", F.regexp_extract(m, COUNTRY, 0)).otherwise(written)
+    rest = F.substring(m, F.length(head) + 1, F.length(m))
+    d = F.regexp_replace(rest, r"\D", "")
+    n = F.length(d)
+    counts = range(15)
+    low, high = (F.element_at(F.array(*(F.lit(10**k).cast("bigint") for k in half)), n + 1) for half in ([k // 2 for k in counts], [k - k // 2 for k in counts]))
+    moved = F.lpad(feistel(d.cast("bigint"), low, high, key, F.when(n == 10, "phone").otherwise(F.concat(F.lit("phone"), n.cast("string")))).cast("string"), n, F.lit("0"))
+
+    def put(state: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        return F.struct(F.concat(state["s"], F.when(digit, F.substring(state["d"], F.lit(1), F.lit(1))).otherwise(c)).alias("s"), F.when(digit, F.substring(state["d"], F.lit(2), n)).otherwise(state["d"]).alias("d"))
+
+    return F.aggregate(F.split(rest, "(?!^)"), F.struct(head.alias("s"), moved.alias("d")), put, lambda s: s["s"])
+
+
+def secret(m: Column, key: str) -> Column:
+    """A digest as long as what it stands for; words and repeated characters as they are."""
+    n = F.length(m)
+    digest = F.substring(F.repeat(keyed(key, F.lit("secret"), m), F.ceil(n / 64).cast("int")), F.lit(1), n)
+    varied = m.rlike("[0-9]") & (F.size(F.array_distinct(F.split(m, ""))) >= 8)
+    return F.when(varied, F.when(m.rlike("^[0-9A-F]+$"), F.upper(digest)).otherwise(digest)).otherwise(m)
 
 
 def address(m: Column, key: str) -> Column:
@@ -144,11 +180,11 @@ def pseudonym(m: Column, key: str) -> Column:
     """What a finding is replaced with; the finding itself where it doesn't validate."""
     return (
         F.when(m.contains("@"), mail(m, key))
-        .when(m.rlike("^[0-9a-f]{40}$"), F.substring(keyed(key, F.lit("secret"), m), 1, 40))
-        .when(m.startswith("+"), phone(m, key))
+        .when(m.rlike("[A-Za-z]|^[0-9]{20,}$"), secret(m, key))
         .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$|^\d{2}[/.]\d{2}[/.]\d{4}$"), date(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), ssn(m, key))
-        .when(m.contains("."), address(m, key))
+        .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), address(m, key))
+        .when(m.startswith("+") | ~m.rlike(f"^(?:{CARD})$"), phone(m, key))
         .otherwise(card(m, key))
     )
 
