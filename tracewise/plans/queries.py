@@ -387,6 +387,13 @@ def tolerant_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", values.same_value(F.to_json(F.struct(a.alias("x"))), F.to_json(F.struct(b.alias("x")))).alias("same"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 5) = round(l_extendedprice - l_extendedprice * l_discount, 5) AS same FROM lineitem""")
+def tolerant_equality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item."""
+    a, b = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", values.same_value(F.to_json(F.struct(a.alias("x"))), F.to_json(F.struct(b.alias("x")))).alias("same"))
+
+
 _PATH = "CASE p_partkey % 3 WHEN 0 THEN 'root[''seen_variables''][''' || p_brand || ''']' WHEN 1 THEN 'root[''' || p_brand || '''][' || p_size || ']' ELSE 'root' END"
 
 
@@ -430,6 +437,21 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").where("event_id % 4 <> 0").select("event_id", values.sanitised(raw).alias("v"))
 
 
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"x":"inf","y":["' || CAST(9007199254740992 + event_id AS VARCHAR) || '",' || CAST(event_id AS VARCHAR) || ']}'
+WHEN 1 THEN '{"x":' || CAST(9007199254740992 + event_id AS VARCHAR) || '}' WHEN 2 THEN '{"x":"-inf"}' ELSE '{"x":' || CAST(event_id AS VARCHAR) || '}' END AS v FROM events""")
+def canonical_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event: infinite numbers become text, and wide whole numbers beside them; wide ones alone stay."""
+    k, one = F.col("event_id") % 4, F.col("event_id").cast("string")
+    wide = (F.lit(2**53) + F.col("event_id")).cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{ "y" : ['), wide, F.lit(", "), one, F.lit('], "x" : 1e999 }')))
+        .when(k == 1, F.concat(F.lit('{ "x" : '), wide, F.lit("}")))
+        .when(k == 2, F.lit('{ "x" : -1e999 }'))
+        .otherwise(F.concat(F.lit('{ "x" : '), one, F.lit("}")))
+    )
+    return t(spark, sf_dir, "events").select("event_id", values.sanitised(raw).alias("v"))
+
+
 # --- text, patches, outcomes ---------------------------------------------------------------------
 
 
@@ -490,6 +512,15 @@ def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.lines_by_file(lines, ["doc_id"]).select("doc_id", "side", "path", F.array_join("lines", ",").alias("lines"))
 
 
+@query("""SELECT doc_id, side, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.py' AS path, CASE side WHEN 'added' THEN '2,3' ELSE '2' END AS lines FROM documents, (VALUES ('added'), ('removed')) s(side)""")
+def diff_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document."""
+    name = F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string"), F.lit(".py"))
+    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,3 +1,4 @@ def f\n a\n-b\n+c\n+d\n e\n"))
+    lines = patches.patch_lines(t(spark, sf_dir, "documents").select("doc_id", patch.alias("model_patch")), ["doc_id"])
+    return patches.lines_by_file(lines, ["doc_id"]).select("doc_id", "side", "path", F.array_join("lines", ",").alias("lines"))
+
+
 @query()
 def modified_qualnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("class A:\n    def f"), F.col("doc_id").cast("string"), F.lit("(self):\n        return [x for x in (lambda: 1)()]\n\ndef g():\n    return 2\n"))
