@@ -1,9 +1,13 @@
 """Queries over whole tables, against their SQL and plain rules."""
 
+from functools import cache
+
 import duckdb
 import pytest
 
 import __spark_entry__
+from tests.test_selection import distance
+from tracewise.operators import selection
 
 TABLES = {"canonical_json_all": "events", "tolerant_equality_all": "lineitem", "diff_lines_all": "documents"}
 
@@ -33,3 +37,69 @@ def test_infinite_and_wide_numbers_become_text(spark, sf_dir):
     v = {r["event_id"]: r["v"] for r in __spark_entry__.queries()["canonical_json_all"](spark, sf_dir).collect()}
     assert v[4] == '{"x":"inf","y":["9007199254740996",4]}'
     assert (v[5], v[6], v[7]) == ('{"x":9007199254740997}', '{"x":"-inf"}', '{"x":7}')
+
+
+@cache
+def sim(a, b):
+    return 1 - distance(a, b) / max(len(a), len(b), 1)
+
+
+def mean(x, pool):
+    return sum(sim(x, y) for y in pool) / len(pool)
+
+
+def greedy(pool, anchors, k):
+    pool, chosen = list(pool), []
+    while pool and len(chosen) < k:
+        worth = [0.7 * max([sim(x, a) for a in anchors], default=0.0) - (1 - 0.7) * max([sim(x, c) for c in chosen], default=0.0) for x in pool]
+        chosen.append(pool.pop(worth.index(max(worth))))
+    return chosen
+
+
+@pytest.fixture(scope="module")
+def larger():
+    """Brands here have more parts than fifteen."""
+    return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def brands(spark, larger):
+    out = {}
+    for r in sorted(spark.read.parquet(f"{larger}/part.parquet").collect(), key=lambda r: r["p_partkey"]):
+        out.setdefault(r["p_brand"], ([], []))[r["p_size"] > 16].append((r["p_partkey"], r["p_name"]))
+    assert min(len(a) + len(b) for a, b in out.values()) > 15
+    return out
+
+
+@pytest.mark.parametrize("name", ["similarity_pairs_all", "avg_max_similarity_all"])
+def test_whole_brands_equal_sql(spark, larger, brands, name):
+    got = [r.asDict() for r in __spark_entry__.queries()[name](spark, larger).collect()]
+    assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()[name], larger))
+    sizes = [(len(a), len(a) + len(b)) for a, b in brands.values()]
+    assert len(got) == sum(n * (n - 1) // 2 if name == "similarity_pairs_all" else a for a, n in sizes)
+
+
+def test_anchors_of_whole_brands(spark, larger, brands):
+    got = {}
+    for r in __spark_entry__.queries()["hard_anchor_topk_all"](spark, larger).collect():
+        got.setdefault(r["p_brand"], []).append((r["p_partkey"], r["relevance"]))
+    for b, (small, large) in brands.items():
+        values = {k: mean(x, [n for _, n in large]) for k, x in small}
+        assert sorted(v for _, v in got[b]) == pytest.approx(sorted(values.values())[-2:], abs=1e-8)
+        assert all(v == pytest.approx(values[k], abs=1e-8) for k, v in got[b])
+
+
+def test_diverse_choice_of_whole_brands(spark, larger, brands):
+    got = {r["p_brand"]: r["chosen"] for r in __spark_entry__.queries()["mmr_select_all"](spark, larger).collect()}
+    assert got == {b: "|".join(greedy([n for _, n in large], [n for _, n in small], 3)) for b, (small, large) in brands.items()}
+
+
+def test_questions_of_whole_brands(spark, larger, brands):
+    got = {r["p_brand"]: (r["choices"].split("|"), r["answer"]) for r in __spark_entry__.queries()["question_choices"](spark, larger).collect()}
+    for b, pools in brands.items():
+        small, large = ([n for _, n in p] for p in pools)
+        choices, answer = got[b]
+        right = [] if b[-1] == "1" else [max(small, key=lambda x: mean(x, large))]
+        wrong = greedy(large, right, 3) if right else greedy(large + small, [], 4)
+        assert sorted(choices[:4]) == sorted(right + wrong) and choices[4:] == [selection.NONE, selection.UNKNOWN]
+        assert [choices["abcdef".index(x)] for x in answer] == (right or [selection.NONE])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ NONE = "The patch has no effect and none of the above expressions change in valu
 UNKNOWN = "Cannot be answered by the explanation alone"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def hash_order(seed: int, *keys: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *keys)
 
@@ -29,19 +36,13 @@ def diverse(pool: Column, anchors: Column, k: int, weight: float = 0.7) -> Colum
     """k items of a pool, one at a time: weight x best similarity to the anchors less the rest x best similarity to those chosen; the first wins ties."""
     empty = F.array().cast("array<string>")
 
-    def worth(x: Column, chosen: Column) -> Column:
-        return F.lit(weight) * best_similarity(x, anchors) - F.lit(1 - weight) * best_similarity(x, chosen)
-
     def step(state: Column, _: Column) -> Column:
         rest = state["rest"]
-        ranked = F.transform(rest, lambda x, i: F.struct(worth(x, state["chosen"]).alias("w"), (-i).alias("i")))
-        at = -F.array_max(ranked)["i"]
-        return F.when(
-            F.size(rest) > 0,
-            F.struct(F.concat(state["chosen"], F.array(F.get(rest, at))).alias("chosen"), F.filter(rest, lambda x, i: i != at).alias("rest")),
-        ).otherwise(state)
-
-    start = F.struct(empty.alias("chosen"), pool.alias("rest"))
+        ranked = F.transform(rest, lambda s, i: F.struct((F.lit(weight) * s["near"] - F.lit(1 - weight) * best_similarity(s["x"], state["chosen"])).alias("w"), (-i).alias("i")))
+        taken = bound(-F.array_max(ranked)["i"], lambda at: F.struct(F.concat(state["chosen"], F.array(F.get(rest, at)["x"])).alias("chosen"), F.filter(rest, lambda s, i: i != at).alias("rest")))
+        return F.when(F.size(rest) > 0, taken).otherwise(state)
+
+    start = F.struct(empty.alias("chosen"), bound(anchors, lambda a: F.transform(pool, lambda x: F.struct(x.alias("x"), best_similarity(x, a).alias("near")))).alias("rest"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda s: s["chosen"]) if k else empty
 
 
@@ -73,20 +74,32 @@ def assemble(correct: Column, incorrect: Column, fallback: Column, seed: int, *k
     empty = F.array().cast("array<string>")
 
     def build(right: Column, wrong: Column, a: int, b: int) -> Column:
-        ranked = F.array_sort(F.transform(right, lambda x, i: F.struct((-mean_similarity(x, wrong)).alias("s"), i.alias("i"), x.alias("x"))))
-        anchors = F.transform(F.slice(ranked, 1, a), lambda s: s["x"]) if a else empty
-        others = diverse(wrong, anchors, b)
-        others = F.concat(others, F.slice(sampled(minus(wrong, others), b, seed, *keys), F.lit(1), F.lit(b) - F.size(others)))
-        tagged = F.concat(F.transform(anchors, lambda x: F.struct(x.alias("x"), F.lit(True).alias("ok"))), F.transform(others, lambda x: F.struct(x.alias("x"), F.lit(False).alias("ok"))))
-        mixed = F.array_sort(F.transform(tagged, lambda s: F.struct(hash_order(seed + 1, *keys, s["x"]).alias("h"), s["x"].alias("x"), s["ok"].alias("ok"))))
-        mixed = F.transform(mixed, lambda s: F.struct(s["x"].alias("x"), s["ok"].alias("ok")))
-        tail = [F.struct(F.lit(none).alias("x"), (~F.exists(mixed, lambda s: s["ok"])).alias("ok"))] if effect else []
-        return F.concat(mixed, F.array(*tail, F.struct(F.lit(unknown).alias("x"), F.lit(False).alias("ok"))))
+        def nearest(w: Column) -> Column:
+            ranked = F.array_sort(F.transform(right, lambda x, i: F.struct((-mean_similarity(x, w)).alias("s"), i.alias("i"), x.alias("x"))))
+            return F.transform(F.slice(ranked, 1, a), lambda s: s["x"]) if a else empty
+
+        def filled(w: Column, others: Column) -> Column:
+            return F.concat(others, F.slice(sampled(minus(w, others), b, seed, *keys), F.lit(1), F.lit(b) - F.size(others)))
+
+        def tagged(anchors: Column, others: Column) -> Column:
+            return F.concat(F.transform(anchors, lambda x: F.struct(x.alias("x"), F.lit(True).alias("ok"))), F.transform(others, lambda x: F.struct(x.alias("x"), F.lit(False).alias("ok"))))
+
+        def ended(mixed: Column) -> Column:
+            tail = [F.struct(F.lit(none).alias("x"), (~F.exists(mixed, lambda s: s["ok"])).alias("ok"))] if effect else []
+            return F.concat(mixed, F.array(*tail, F.struct(F.lit(unknown).alias("x"), F.lit(False).alias("ok"))))
+
+        both = bound(wrong, lambda w: bound(nearest(w), lambda n: tagged(n, bound(diverse(w, n, b), lambda o: filled(w, o)))))
+        mixed = F.array_sort(F.transform(both, lambda s: F.struct(hash_order(seed + 1, *keys, s["x"]).alias("h"), s["x"].alias("x"), s["ok"].alias("ok"))))
+        return bound(F.transform(mixed, lambda s: F.struct(s["x"].alias("x"), s["ok"].alias("ok"))), ended)
 
     right, wrong = F.coalesce(correct, empty), F.coalesce(incorrect, empty)
     options = F.when(fallback, build(empty, F.concat(wrong, right), 0, n_correct + n_incorrect)).otherwise(build(right, wrong, n_correct, n_incorrect))
-    letters = F.transform(F.filter(F.transform(options, lambda s, i: F.struct(s["ok"].alias("ok"), i.alias("i"))), lambda s: s["ok"]), lambda s: letter(s["i"]))
-    return F.struct(F.transform(options, lambda s: s["x"]).alias("choices"), letters.alias("answer"))
+
+    def lettered(options: Column) -> Column:
+        letters = F.transform(F.filter(F.transform(options, lambda s, i: F.struct(s["ok"].alias("ok"), i.alias("i"))), lambda s: s["ok"]), lambda s: letter(s["i"]))
+        return F.struct(F.transform(options, lambda s: s["x"]).alias("choices"), letters.alias("answer"))
+
+    return bound(options, lettered)
 
 
 def sorted_letter(choices: Column, truth: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions import paths, scores, text, values
@@ -217,6 +217,21 @@ def _brand_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_brand", "p_partkey", "p_name", (F.row_number().over(w) - 1).alias("pos")).where("pos < 15")
 
 
+def _brand_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts with their places within their brands; small ones are those up to size 16."""
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    return t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", (F.col("p_size") <= 16).alias("small"), (F.row_number().over(w) - 1).alias("pos"))
+
+
+def _brand_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per brand, the names of its small and of its other parts by key."""
+
+    def names(cond: Column):
+        return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("p_partkey", "p_name")))), lambda s: s["p_name"])
+
+    return t(spark, sf_dir, "part").groupBy("p_brand").agg(names(F.col("p_size") <= 16).alias("small"), names(F.col("p_size") > 16).alias("large"))
+
+
 _POOLS = "pools AS (SELECT * FROM (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part) WHERE pos < 15)"
 _SIM = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1)"
 
@@ -263,6 +278,39 @@ def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.where(F.size("pool") >= 3).select("p_brand", F.array_join(selection.diverse(F.col("pool"), F.col("anchors"), 3), "|").alias("chosen"))
 
 
+@query(f"""SELECT a.p_brand, a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS d, round({_SIM.format(a="a.p_name", b="b.p_name")}, 9) AS s
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+def similarity_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of parts of a brand."""
+    part = t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
+    a, b = part.alias("a"), part.alias("b")
+    both = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    return both.select("a.p_brand", F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), F.levenshtein("a.p_name", "b.p_name").cast("bigint").alias("d"), F.round(text.similarity(F.col("a.p_name"), F.col("b.p_name")), 9).alias("s"))
+
+
+@query(f"""SELECT a.p_partkey, round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS mean, round(max({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS best
+FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size > 16 WHERE a.p_size <= 16 GROUP BY 1""")
+def avg_max_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every small part against all others of its brand."""
+    pools = _brand_parts(spark, sf_dir)
+    others = pools.where("not small").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("pool"))
+    both = pools.where("small").join(others, "p_brand")
+    return both.select("p_partkey", F.round(text.mean_similarity(F.col("p_name"), F.col("pool")), 9).alias("mean"), F.round(text.best_similarity(F.col("p_name"), F.col("pool")), 9).alias("best"))
+
+
+@query()
+def hard_anchor_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = _brand_parts(spark, sf_dir)
+    found = selection.hard_anchors(pools.where("small"), ["p_brand"], "p_name", pools.where("not small").select("p_brand", "p_name"), 2)
+    return found.select("p_brand", "p_partkey", F.round("relevance", 9).alias("relevance"))
+
+
+@query()
+def mmr_select_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = _brand_lists(spark, sf_dir).where(F.size("large") >= 3)
+    return lists.select("p_brand", F.array_join(selection.diverse(F.col("large"), F.col("small"), 3), "|").alias("chosen"))
+
+
 @query()
 def hash_sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sample_rows(t(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 3)
@@ -278,11 +326,9 @@ def choices_sorted_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def question_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def names(low: int, high: int):
-        return F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "p_name"))), lambda s: (s["pos"] >= low) & (s["pos"] < high)), lambda s: s["p_name"])
-
-    lists = _brand_pools(spark, sf_dir).groupBy("p_brand").agg(names(0, 5).alias("a"), names(5, 15).alias("b"))
-    done = selection.assemble(F.col("a"), F.col("b"), F.substring("p_brand", -1, 1) == "1", 42, "p_brand")
+    """Of each brand's parts, the small ones are the correct options."""
+    lists = _brand_lists(spark, sf_dir)
+    done = selection.assemble(F.col("small"), F.col("large"), F.substring("p_brand", -1, 1) == "1", 42, "p_brand")
     return lists.select("p_brand", done.alias("q")).select("p_brand", F.array_join("q.choices", "|").alias("choices"), F.array_join("q.answer", "").alias("answer"))
 
 
