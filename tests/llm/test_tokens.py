@@ -87,3 +87,20 @@ def test_plan_places_every_tail():
             fill[s] = fill.get(s, 0) + length
     assert max(fill.values()) <= 1024
     assert sum(1024 - n for n in fill.values() if n & (n - 1)) < 0.02 * lengths.sum()
+
+
+def test_plan_places_repeated_lengths_as_ranges():
+    for have in ({512: 200_001}, {700: 100_000}, {300: 90_000, 424: 40_000, 7: 3}, {512: 50_000, 256: 70_001, 1024: 5}):
+        places = packing.plan(dict(have), 1024)
+        assert len(places["at"]) < 200
+        filled, total = {}, sum(have.values())
+        for length, n in have.items():
+            rank = np.arange(n)
+            k = np.searchsorted(places["at"], length * 2**44 + rank, "right") - 1
+            sequence = places["sequence"][k] + rank - places["rank"][k]
+            for q, o in zip(sequence.tolist(), places["offset"][k].tolist(), strict=True):
+                filled.setdefault(q, []).append((o, o + length))
+        assert sum(map(len, filled.values())) == total and sorted(filled) == list(range(len(filled)))
+        for spans in filled.values():
+            spans.sort()
+            assert spans[0][0] == 0 and spans[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))

@@ -178,11 +178,8 @@ def plan(have: dict[int, int], window: int = WINDOW) -> dict[str, np.ndarray]:
         for combo, x in sorted(repeat_counts(left[:window], combinations(window)), key=lambda c: (-c[1], c[0])):
             need = {p: combo.count(p) for p in combo}
             times = min([int(x + 1e-6), *(int(left[p]) // k for p, k in need.items())])
-            if times > 0 and len(need) == len(combo):
-                place(combo, times)
-            elif times > 0:
-                for _ in range(min(times, window)):
-                    place_one(combo, place)
+            if times > 0:
+                place(combo, times)  # a repeated length takes one range of ranks after the other
     while left.any():
         room, combo = window, []
         while room and len(fits := np.flatnonzero(left[: room + 1])):
@@ -192,15 +189,11 @@ def plan(have: dict[int, int], window: int = WINDOW) -> dict[str, np.ndarray]:
             room -= part
         for part in combo:
             left[part] += 1
-        place_one(tuple(combo), place)
+        place(tuple(combo), min(int(left[p]) // combo.count(p) for p in set(combo)))
     rows = np.array(sorted(out), np.int64).reshape(-1, 4)
     return {"at": rows[:, 0] * 2**44 + rows[:, 1], "rank": rows[:, 1], "sequence": rows[:, 2], "offset": rows[:, 3]}
 
 
-def place_one(combo: tuple[int, ...], place) -> None:
-    place(combo, 1)
-
-
 def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Every piece with its sequence and its offset there."""
     spark = docs.sparkSession
