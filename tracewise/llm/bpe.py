@@ -1,15 +1,15 @@
 """Op 1. Byte-pair encoding and decoding by a pair occurrence index.
 
-A batch's distinct words are laid end to end. An index maps each mergeable pair to all
-its positions in that layout; ranks that occur are taken in ascending order from a heap,
+The distinct words of a group of texts, those that the worker's cache lacks, are laid end to
+end. An index maps each mergeable pair to all its positions in that layout; ranks that occur are taken in ascending order from a heap,
 every position of the pair is merged, and only the lists of the pairs to its left and
 right are updated. A pair that contains a new symbol always has a higher rank than the
 symbol's own (checked on load), so one ascending pass is exact.
 
 Cases: null text is the empty text (no ids, empty decoding). Special tokens inside a text
 become their ids, as the tokenizers library does by default. A text is cut at white
-space, so its length bounds only its own row; the word cache is bounded and emptied when
-full. Repeated rows, ties and empty tables need no rule; extra columns are ignored unless
+space, so its length bounds only its own row; the caches are bounded, and what has not been
+used for a while leaves them. Repeated rows, ties and empty tables need no rule; extra columns are ignored unless
 named in keep.
 """
 
@@ -21,15 +21,19 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's cache; a full cache is emptied, which changes speed only.
-CACHE = 300_000
+#: Entries of a worker's caches of pieces and of words; see Recent.
+PIECES, WORDS = 400_000, 300_000
 #: Pieces that are cut before the new ones among them are encoded in one index.
-GROUP = 400_000
+GROUP = 200_000
+#: A pair of symbols as one number: the left one shifted so far, and the right one.
+SHIFT = 20
 
 # The public pre-tokenizer pattern and the control characters that
 # Python counts as white space and the patterns don't.
@@ -61,7 +65,7 @@ class PairIndex:
         self.first = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
         self.byte = {c: bytes([b]) for b, c in enumerate(letters)}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}
         self.merged: list[tuple[int, int, int]] = []
         made: dict[int, int] = {}
         for r, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]):
@@ -70,7 +74,7 @@ class PairIndex:
             if made.get(x, -1) >= r or made.get(y, -1) >= r or z in made:
                 raise ValueError(f"merge {r} uses a symbol that isn't made before it, or makes one anew")
             made[z] = r
-            self.rank[x, y] = r
+            self.rank[x << SHIFT | y] = r
             self.merged.append((x, y, z))
 
     @cached_property
@@ -79,33 +83,35 @@ class PairIndex:
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def first_ranks(self) -> np.ndarray:
+        """Rank of each pair of single letters, the second of which may end a word (256 on); -1 where they don't merge."""
+        out = np.full((256, 512), -1, np.int32)
+        for x, a in enumerate(self.first):
+            for y, b in enumerate([*self.first, *self.last]):
+                out[x, y] = self.rank.get(a << SHIFT | b, -1)
+        return out
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word; words that occur many times should be given once."""
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        index: dict[int, list[int]] = {}
-        first, last, rank, merged = self.first, self.last, self.rank, self.merged
-        for word in words:
-            at = len(symbol)
-            starts.append(at)
-            ids = [first[b] for b in word[:-1]]
-            ids += [last[word[-1]]] if word else []
-            n = len(ids)
-            symbol += ids
-            after += range(at + 1, at + n)
-            before += [-1, *range(at, at + n - 1)] if n else []
-            if n:
-                after.append(-1)
-            for k, pair in enumerate(zip(ids, ids[1:], strict=False), at):
-                if (r := rank.get(pair)) is not None:
-                    if r in index:
-                        index[r].append(k)
-                    else:
-                        index[r] = [k]
-        active = list(index)
-        heapq.heapify(active)
+        """The ids of each word, none of them empty; words that occur many times should be given once."""
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        closes = np.zeros(len(raw), bool)
+        closes[ends - 1] = True
+        opens = np.roll(closes, 1)
+        places = np.arange(len(raw))
+        letters = np.where(closes, raw + np.int64(256), raw)
+        found = np.where(closes[:-1], -1, self.first_ranks[raw[:-1], letters[1:]])
+        at = np.flatnonzero(found >= 0)
+        at = at[np.argsort(found[at], kind="stable")]
+        edges = np.flatnonzero(np.diff(found[at], prepend=-1))
+        lists = zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)
+        flat = at.tolist()
+        index = {int(found[flat[a]]): flat[a:b] for a, b in lists}  # rank of a pair -> all its positions, in order
+        symbol = np.array([*self.first, *self.last])[letters].tolist()
+        after, before = np.where(closes, -1, places + 1).tolist(), np.where(opens, -1, places - 1).tolist()
+        rank, merged = self.rank.get, self.merged
+        active = list(index)  # ascending already, which is a heap
         while active:
             r = heapq.heappop(active)
             a, b, c = merged[r]
@@ -117,22 +123,45 @@ class PairIndex:
                 after[p] = nxt = after[q]
                 if nxt >= 0:
                     before[nxt] = p
-                    if (s := rank.get((c, symbol[nxt]))) is not None:
+                    if (s := rank(c << SHIFT | symbol[nxt])) is not None:
                         if s in index:
                             index[s].append(p)
                         else:
                             index[s] = [p]
                             heapq.heappush(active, s)
-                if (prev := before[p]) >= 0 and (s := rank.get((symbol[prev], c))) is not None:
+                if (prev := before[p]) >= 0 and (s := rank(symbol[prev] << SHIFT | c)) is not None:
                     if s in index:
                         index[s].append(prev)
                     else:
                         index[s] = [prev]
                         heapq.heappush(active, s)
-        out = []
-        for at, end in zip(starts, [*starts[1:], len(symbol)], strict=True):
-            out.append([x for x in symbol[at:end] if x >= 0])
-        return out
+        left = np.array(symbol)
+        ids = left[left >= 0].tolist()
+        upto = np.cumsum(left >= 0)[ends - 1].tolist()
+        return [ids[x:y] for x, y in zip([0, *upto], upto, strict=False)]
+
+
+class Recent(dict):
+    """A bounded cache: at most 2 * size entries and those that came with one group. Entries in use stay."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.older = size, {}
+
+    def missing(self, keys: set) -> list:
+        """Of keys, those that aren't known. The others are entries from now on."""
+        new = keys.difference(self)
+        if self.older:
+            older = self.older
+            known = [k for k in new if k in older]
+            self.update((k, older[k]) for k in known)
+            new.difference_update(known)
+        return list(new)
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.older = dict(self)
+            self.clear()
 
 
 class Encoder:
@@ -145,8 +174,7 @@ class Encoder:
         self.model, self.form = model, form
         self.pattern = regex.compile(WORD_PATTERN)
         self.marks = regex.compile("|".join(map(regex.escape, model.special))) if model.special else None
-        self.pieces: dict[str, tuple] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pieces, self.words = Recent(PIECES), Recent(WORDS)
 
     def cut(self, text: str) -> list[str]:
         """Pieces between which no token reaches. Special tokens are pieces of their own."""
@@ -172,20 +200,16 @@ class Encoder:
         piece = "".join(c.lower() for c in piece) if "Σ" in piece else piece.lower()
         return self.pattern.findall(piece)
 
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        """Encode the pieces of these texts that aren't in the cache, all in one index."""
-        for kept in (self.pieces, self.words):
-            if len(kept) > CACHE:
-                kept.clear()
-        special, pieces, words, form = self.model.special, self.pieces, self.words, self.form
-        new = list({p for t in texts for p in t if p not in pieces})
+    def learn(self, pieces: set[str]) -> None:
+        """Make all of these pieces entries of the cache. The words that are new in them are encoded in one index."""
+        special, words, form = self.model.special, self.words, self.form
+        self.pieces.trim()
+        words.trim()
+        new = self.pieces.missing(pieces)
         cut = [self.tokens_of(p) if p not in special else [] for p in new]
-        unseen = list({w for t in cut for w in t if w not in words})
-        for at in range(0, len(unseen), 20_000):
-            part = unseen[at : at + 20_000]
-            words.update(zip(part, self.model.encode_words([w.encode("utf-8") for w in part]), strict=True))
-        for p, t in zip(new, cut, strict=True):
-            pieces[p] = form(words[t[0]] if len(t) == 1 else [i for w in t for i in words[w]] if t else [special[p]])
+        unseen = words.missing({w for t in cut for w in t})
+        words.update(zip(unseen, self.model.encode_words([w.encode("utf-8") for w in unseen]) if unseen else (), strict=True))
+        self.pieces.update((p, form(words[t[0]] if len(t) == 1 else [i for w in t for i in words[w]] if t else [special[p]])) for p, t in zip(new, cut, strict=True))
 
     def texts(self, texts: list[str | None]) -> Iterator[list]:
         """For each text, the cached values of its pieces in order."""
@@ -196,7 +220,7 @@ class Encoder:
                 group.append(self.cut(text))
                 size += len(group[-1])
             if group and (text is None or size > GROUP):
-                self.learn(group)
+                self.learn(set().union(*group))
                 for pieces in group:
                     yield list(map(get, pieces))
                 group, size = [], 0
@@ -209,8 +233,10 @@ def decode_word_ids(model: PairIndex, ids: Iterable[int]) -> str:
 
 @lru_cache(maxsize=4)
 def word_encoder(path: str) -> Encoder:
+    """Values are (number of ids, ids in decimal, their decoding)."""
     model = PairIndex(path)
-    return Encoder(model, lambda ids: (len(ids), " ".join(map(str, ids)), decode_word_ids(model, ids)))
+    decimal = {i: str(i) for i in model.tokens}
+    return Encoder(model, lambda ids: (len(ids), " ".join([decimal[i] for i in ids]), decode_word_ids(model, ids)))
 
 
 def _texts(batch: pa.RecordBatch, column: str, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -234,9 +260,8 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
             for part, texts in _texts(batch, text):
                 counts, ids, decoded = [], [], []
                 for values in encoder.texts(texts):
-                    n, i, d = zip(*values, strict=True) if values else ((), (), ())
-                    counts.append(sum(n))
-                    i, d = " ".join(i), " ".join(d)
+                    counts.append(sum(map(itemgetter(0), values)))
+                    i, d = " ".join(map(itemgetter(1), values)), " ".join(map(itemgetter(2), values))
                     if emit == "ids":
                         ids.append([int(x) for x in i.split()])
                         decoded.append(d)
