@@ -104,3 +104,24 @@ def test_plan_places_repeated_lengths_as_ranges():
         for spans in filled.values():
             spans.sort()
             assert spans[0][0] == 0 and spans[-1][1] <= 1024 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_long_runs_of_white_space():
+    """The pattern's matcher alone gives up on these."""
+    library, encode = Tokenizer.from_file(BYTES), packing.byte_encoder(BYTES)
+    long = packing.LONG_RUN
+    special = next(iter(library.get_added_tokens_decoder().values())).content
+    for text in (" " * 2_000_000 + "x", "a" + "\n" * 1_200_000, "a \n" * 3 + " \t" * long + "\nb", "x" + " " * long, " " * long + special + " " * (long + 1) + special + "y", "\u3000" * long + "z", "\x1c" * long):
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_grows_with_lengths_not_with_tails():
+    """A thousand million tails of three shapes; ranges cover each length's ranks without a gap."""
+    rng = np.random.default_rng(9)
+    shapes = [np.ones(1024), np.exp(-((np.log(np.arange(1, 1025)) - 5) ** 2)), np.bincount(rng.integers(1, 1025, 40), minlength=1025)[1:] + (np.arange(1, 1025) == 512) * 1e3]
+    for shape in shapes:
+        have = {k + 1: int(n) for k, n in enumerate(shape / shape.sum() * 1e9) if n >= 1}
+        places = packing.plan(have)
+        assert len(places["at"]) < 20_000
+        length, rank = places["at"] // 2**44, places["rank"]
+        assert set(length.tolist()) == set(have) and (rank[np.flatnonzero(np.diff(length, prepend=0))] == 0).all()

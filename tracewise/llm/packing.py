@@ -18,7 +18,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +32,10 @@ from pyspark.sql import functions as F
 from tracewise.llm.shared import spread, store
 
 WINDOW = 1024
+#: Characters of Unicode's property White_Space, as a character class.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut out before the pattern, whose matcher gives up on long ones.
+LONG_RUN = 50_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -52,9 +56,27 @@ def byte_encoder(path: str):
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     coder = tiktoken.Encoding("vocabulary-file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    marks = re.compile("|".join(map(re.escape, special))) if special else None
+    runs = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+
+    def long_runs(text: str) -> list[np.ndarray]:
+        """Ids of a text without special tokens. A long run of white space is a piece for itself, but for a last character that something follows."""
+        out, at = [], 0
+        for run in runs.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += [coder.encode_to_numpy(text[at : run.start()], disallowed_special=()), np.array(coder._encode_single_piece(text[run.start() : end]), np.uint32)]
+            at = end
+        return [*out, coder.encode_to_numpy(text[at:], disallowed_special=())]
+
     def encode(text: str) -> np.ndarray:
         found = special.keys() if any(s in text for s in special) else ()
-        return coder.encode_to_numpy(text, allowed_special=set(found), disallowed_special=())
+        if len(text) < LONG_RUN or not runs.search(text):
+            return coder.encode_to_numpy(text, allowed_special=set(found), disallowed_special=())
+        out, at = [], 0
+        for mark in marks.finditer(text) if found else ():
+            out += [*long_runs(text[at : mark.start()]), np.array([special[mark[0]]], np.uint32)]
+            at = mark.end()
+        return np.concatenate([*out, *long_runs(text[at:])])
 
     return encode
 
