@@ -66,6 +66,50 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(df: DataFrame, **own: Column) -> DataFrame:
+    """df's rows as one struct `row`, beside the columns named here: so no name inside an operator meets one of the input's."""
+    return df.select(F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row"), *(c.alias(n) for n, c in own.items()))
+
+
+def unboxed(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The input's columns, then the new ones. A new column replaces one of the input's that has its name, in its place."""
+    at = {n.lower(): n for n in new}
+    kept = [new[at[c.lower()]].alias(at[c.lower()]) if c.lower() in at else F.col(f"row.{quoted(c)}") for c in columns]
+    had = {c.lower() for c in columns}
+    return df.select(*kept, *(c.alias(n) for n, c in new.items() if n.lower() not in had))
+
+
+#: Bits per key of a filter over keys, and the most bits: 8 MB, or a million rows of a broadcast table.
+BITS_PER_KEY = 16
+MOST_BITS = 1 << 26
+
+
+def with_hit(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with _hit: whether its column key may be among keys; a key that is among them always hits.
+
+    The filter has BITS_PER_KEY bits for each row of keys (count them where they are stored),
+    MOST_BITS at most. It is broadcast as a table of 64-bit words: as a constant it would be
+    printed in every plan that the driver keeps. Past MOST_BITS more rows pass than need be,
+    which costs shuffled rows, not results: an exact join follows each filter.
+    """
+    bits = min(MOST_BITS, 1 << max(12, (BITS_PER_KEY * keys.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(bits))
+    place = F.pmod(bit, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    found = keys.select(F.shiftright(bit, 6).cast("int").alias("_at"), one.alias("w")).groupBy("_at").agg(F.bit_or("w").alias("_word"))
+    both = df.withColumn("_at", F.shiftright(bit, 6).cast("int")).join(F.broadcast(store(found, "bits")), "_at", "left")
+    hit = F.call_function("shiftrightunsigned", F.col("_word"), place).bitwiseAND(F.lit(1)) == 1
+    return both.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_at", "_word")
+
+
+def hits(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return with_hit(df, keys, key).where("_hit").drop("_hit")
+
+
 def words(text: Column) -> Column:
     """Words of a text: maximal runs without blank, tab to carriage return. Null gives no words."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
