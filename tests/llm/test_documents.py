@@ -54,6 +54,57 @@ def test_estimates_tell_poor_documents(spark, sf_dir):
     assert both.where("kept = (quality = 1)").count() >= 0.97 * both.count()
 
 
+def plain_posteriors(votes, rounds=200, strength=0.002):
+    """Expectation-maximisation document by document; votes are lists of 0 (bad), 1 (none), 2 (good)."""
+    w = max(1.0, strength * len(votes))
+    q = [(v.count(2) + 1) / (v.count(2) + v.count(0) + 2) for v in votes]
+    for _ in range(rounds):
+        odds = (sum(q) + 0.9 * w) / (sum(1 - x for x in q) + 0.1 * w)
+        rate = [[(sum((x if c == 0 else 1 - x) for v, x in zip(votes, q) if v[k] == 0) + w * (0.05, 0.5)[c]) / (sum((x if c == 0 else 1 - x) for v, x in zip(votes, q) if v[k] != 1) + w) for c in (0, 1)] for k in range(len(votes[0]))]
+        new = []
+        for v in votes:
+            o = odds
+            for x, (a, b) in zip(v, rate):
+                o *= a / b if x == 0 else (1 - a) / (1 - b) if x == 2 else 1
+            new.append(o / (1 + o))
+        q = new
+    return q
+
+
+def test_verdicts_are_those_of_plain_estimation(make, texts):
+    rows = [*texts, *((2000 + k, t) for k, t in enumerate([" ".join(f"word{(k * 31 + j * 7) % 83}" for j in range(60 + k)) for k in range(30)])), (2100, "a### b$$$ c%%% d&&& " * 20 + " ".join(f"x{j}*" for j in range(90))), (2101, "\n".join(f"one{j} two{j} three{j}" for j in range(40)))]
+    df = make(rows)
+    got = {r["doc_id"]: r for r in rules.score(df).collect()}
+    patterns = {r["doc_id"]: r["_pattern"] for r in rules.with_pattern(rules.counts(df.select("doc_id", "text"))).collect()}
+    ids = sorted(patterns)
+    plain = plain_posteriors([[patterns[i] // 3**k % 3 for k in range(len(rules.votes()))] for i in ids])
+    for i, q in zip(ids, plain):
+        assert abs(got[i]["clean"] - q) < 1e-6
+        assert got[i]["kept"] == (not got[i]["base_failed"] and q >= 0.5)
+
+
+def test_estimates_find_the_accuracies_of_rules():
+    """What a rule is worth comes from the data, and one bad vote of a poor rule rejects nobody."""
+    rng = np.random.default_rng(4)
+    bad_on = [(0.01, 0.7), (0.02, 0.6), (0.01, 0.8), (0.02, 0.5), (0.35, 0.45), (0.05, 0.6)]
+    poor = rng.random(40_000) < 0.2
+    votes = np.stack([np.where(rng.random(len(poor)) < 0.1, 1, np.where(rng.random(len(poor)) < np.where(poor, b, a), 0, 2)) for a, b in bad_on], 1)
+    codes, n = np.unique(votes @ 3 ** np.arange(6), return_counts=True)
+    base, ratios = rules.estimate(dict(zip(codes.tolist(), n.tolist())), 6)
+    assert abs(1 / (1 + np.exp(-base)) - 0.8) < 0.05
+    for (a, b), (good, bad) in zip(bad_on, ratios):
+        x, y = np.exp(bad), np.exp(good)  # a / b and (1 - a) / (1 - b)
+        found = (1 - y) / (x - y)
+        assert abs(found - b) < 0.05 and abs(x * found - a) < 0.05
+
+    def clean(v):
+        return base + sum(r[0] if k == 2 else r[1] if k == 0 else 0 for k, r in zip(v, ratios)) > 0
+
+    assert clean([2, 2, 2, 2, 0, 2]) and clean([2, 2, 2, 2, 2, 0]) and not clean([1, 1, 1, 0, 0, 0])
+    told = np.array([clean(v) for v in votes.tolist()])
+    assert (told == ~poor).mean() > 0.95 > ((votes != 0).all(1) == ~poor).mean()
+
+
 def test_estimate_without_documents():
     base, ratios = rules.estimate({}, 3)
     assert base > 0 and len(ratios) == 3

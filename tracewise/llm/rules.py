@@ -1,11 +1,11 @@
 """Op 4. Quality rules as weak supervision [native].
 
 Each rule looks at a document's counts and votes good (2), bad (0) or abstains (1). What the
-rules are worth is estimated, not set: votes are counted by pattern (at most 3^rules rows,
-whatever the input), and expectation-maximisation over those counts gives, per rule, how
-often it votes bad on clean and on poor documents, and the share of poor ones. The posterior
-probability that a document is clean is then a sum of log ratios, one per vote. A weak prior
-of a fixed share of the documents keeps the two classes apart and named.
+rules are worth is estimated, not set: votes of all documents are counted by pattern (at most
+3^rules rows, whatever the input), and expectation-maximisation over those counts gives, per
+rule, how often it votes bad on clean and on poor documents, and the share of poor ones. The
+posterior probability that a document is clean is then a sum of log ratios, one per vote: one
+bad vote of a rule that often errs doesn't reject, several votes of weak rules together may.
 
 Main path: DataFrame functions only. The estimation itself is arithmetic on the pattern
 table in the driver.
@@ -13,17 +13,18 @@ table in the driver.
 Cases: null or empty text has no words and fails the base check. Counts go over whole texts;
 texts of more than 2^24 words take an ordering of (hash, position) pairs instead of packed
 ones. Repeated rows count as often as they occur; ties don't arise. An empty table gives no
-rows and needs no estimate. Extra columns pass through score(), not through counts().
+rows and needs no estimate. Extra columns pass through score(), whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import let, store, words
+from tracewise.llm.shared import let, quoted, store, unboxed, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: A word of letters only, with at most one mark after it.
@@ -106,6 +107,8 @@ def votes() -> dict[str, tuple[Column, Column]]:
         "mark_runs": (_share("_c.n_runs") > 0.2, _share("_c.n_runs") < 0.05),
         "bangs": (_share("_c.n_bangs") > 0.3, _share("_c.n_bangs") < 0.1),
         "shouting": (_share("_c.n_shouts") > 0.4, _share("_c.n_shouts") < 0.1),
+        "any_symbols": (F.col("_c.n_symbols") > 0, F.col("_c.n_symbols") == 0),
+        "short_lines": (n < 8 * F.col("_l.n_lines"), n >= 15 * F.col("_l.n_lines")),
     }
 
 
@@ -117,34 +120,29 @@ def with_pattern(counted: DataFrame) -> DataFrame:
     return counted.withColumn("_pattern", pattern.cast("int"))
 
 
-def estimate(patterns: dict[int, int], rules: int, rounds: int = 60, prior: float = 0.02, rare: float = 0.005) -> tuple[float, list[tuple[float, float]]]:
+def estimate(patterns: dict[int, int], rules: int, rounds: int = 200, strength: float = 0.002) -> tuple[float, list[tuple[float, float]]]:
     """Log odds of clean, and per rule the log ratios of a good and of a bad vote.
 
-    prior is the share of the documents that the prior counts for. rare is the most often
-    that a rule is taken to vote bad on clean documents, and half the least on poor ones.
+    Starts from each document's share of good votes, so the classes have the names that the
+    majority of votes gives them, and goes back and forth between posteriors and rates. Nothing
+    is held: the prior (a tenth poor; rules vote bad on 5 % of clean and half of poor documents)
+    counts as much as `strength` of the documents do, and data overcome it.
     """
     total = sum(patterns.values())
     if not total:
-        return 3.0, [(0.1, -3.0)] * rules
-    rows = [([p // 3**k % 3 for k in range(rules)], n) for p, n in patterns.items()]
-    weight = max(1.0, prior * total)
-    clean = [0.05 if 0 in v else 0.98 for v, _ in rows]
+        return math.log(9), [(math.log(0.95 / 0.5), math.log(0.05 / 0.5))] * rules
+    votes = np.array([[p // 3**k % 3 for k in range(rules)] for p in patterns])
+    n = np.array(list(patterns.values()), float)
+    bad, good = (votes == 0).astype(float), (votes == 2).astype(float)
+    weight = max(1.0, strength * total)
+    clean = (good.sum(1) + 1) / (good.sum(1) + bad.sum(1) + 2)
     for _ in range(rounds):
-        mass = [sum(n * q for (_, n), q in zip(rows, clean, strict=True)) + 0.9 * weight, sum(n * (1 - q) for (_, n), q in zip(rows, clean, strict=True)) + 0.1 * weight]
-        base = math.log(mass[0] / mass[1])
-        ratios = []
-        for k in range(rules):
-            bad, seen = [0.002 * weight, 0.3 * weight], [weight, weight]
-            for (v, n), q in zip(rows, clean, strict=True):
-                if v[k] != 1:
-                    for c, share in ((0, q), (1, 1 - q)):
-                        seen[c] += n * share
-                        bad[c] += n * share * (v[k] == 0)
-            rate = [min(max(b / s, 1e-4), 0.9999) for b, s in zip(bad, seen, strict=True)]
-            rate = [min(rate[0], rare), max(rate[1], 2 * rare)]  # a rule never speaks for the other class
-            ratios.append((math.log((1 - rate[0]) / (1 - rate[1])), math.log(rate[0] / rate[1])))
-        clean = [1 / (1 + math.exp(-max(-60.0, min(60.0, base + sum(r[0] if x == 2 else r[1] if x == 0 else 0.0 for x, r in zip(v, ratios, strict=True)))))) for v, _ in rows]
-    return base, ratios
+        shares = np.stack([n * clean, n * (1 - clean)])
+        mass = shares.sum(1) + weight * np.array([0.9, 0.1])
+        rates = (shares @ bad + weight * np.array([[0.05], [0.5]])) / (shares @ (bad + good) + weight)
+        base, at_good, at_bad = math.log(mass[0] / mass[1]), np.log((1 - rates[0]) / (1 - rates[1])), np.log(rates[0] / rates[1])
+        clean = 1 / (1 + np.exp(-np.clip(base + good @ at_good + bad @ at_bad, -60, 60)))
+    return base, list(zip(at_good.tolist(), at_bad.tolist(), strict=True))
 
 
 def verdict(base: float, ratios: list[tuple[float, float]]) -> Column:
@@ -163,17 +161,19 @@ def failed() -> Column:
 def score(docs: DataFrame, threshold: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns in keep (all of docs by default), the counts, base_failed, clean (a probability) and kept.
 
-    Counts are written once and read twice: for the patterns of the documents that pass the
-    base check, and for the verdicts.
+    Counts are written once and read twice: for the patterns of all documents, and for the
+    verdicts. An input column with the name of one of these is replaced.
     """
-    keep = tuple(docs.columns) if keep is None else keep
-    counted = store(with_pattern(counts(docs)).select(*keep, "_w", "_l", "_c", "_pattern"), "votes")
-    patterns = {r["_pattern"]: r["n"] for r in counted.where(~failed()).groupBy("_pattern").agg(F.count("*").alias("n")).collect()}
+    keep = list(docs.columns if keep is None else keep)
+    own = docs.select(F.struct(*(F.col(quoted(c)) for c in keep)).alias("row"), "text")
+    counted = store(with_pattern(counts(own)).select("row", "_w", "_l", "_c", "_pattern"), "votes")
+    patterns = {r["_pattern"]: r["n"] for r in counted.groupBy("_pattern").agg(F.count("*").alias("n")).collect()}
     clean = verdict(*estimate(patterns, len(votes())))
-    return counted.select(
-        *keep,
-        *(F.col(c) for c in ("_w.n_words", "_w.word_chars", "_c.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words")),
-        failed().alias("base_failed"),
-        clean.alias("clean"),
-        (~failed() & (clean >= threshold)).alias("kept"),
+    return unboxed(
+        counted,
+        keep,
+        **{c.split(".")[1]: F.col(c) for c in ("_w.n_words", "_w.word_chars", "_c.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words")},
+        base_failed=failed(),
+        clean=clean,
+        kept=~failed() & (clean >= threshold),
     )
