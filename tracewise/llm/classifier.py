@@ -8,8 +8,8 @@ length one. A document is the mean of its tokens' word vectors and the logarithm
 length. The network has one hidden layer; a temperature fitted on held-back training rows
 calibrates its probabilities.
 
-Only the fit uses a sample: at most SAMPLE labelled documents, by a hash of their doc_id,
-none with crc32(doc_id) mod 5 = 0. Every whole text is scored, in one pass without a shuffle.
+Only the fit uses a sample: at most SAMPLE labelled documents of at most MOST_BYTES bytes, by
+a hash of their doc_id, none with crc32(doc_id) mod 5 = 0. Every whole text is scored, in one pass without a shuffle.
 
 Cases: null text is the empty text; a text without tokens gets the network's answer for the
 zero vector. Without labelled rows every score is 0.5. Labels that are null don't count, the
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tracewise.llm.shingles import BASE, INVERSE, PLACES, _powers, mix
 
 SAMPLE = 4000
+#: Longer texts aren't learnt from, so that what the driver gathers is at most SAMPLE times this.
+MOST_BYTES = 1 << 17
 BUCKETS = 1 << 15
 WIDTH = 64
 REPEAT, CAPITALS = 0, 1
@@ -162,12 +164,13 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """At most sample labelled documents outside the held-out fold, in an order that depends on doc_id only."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most: int = MOST_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """At most sample labelled documents outside the held-out fold, chosen by doc_id only. Texts over most bytes aren't learnt from; of rows that share a doc_id, the smallest text is."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # the chosen ids are at most sample rows of 12 bytes, so the documents needn't be shuffled
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), "doc_id").toArrow().sort_by("doc_id")
+    raw = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).where(F.octet_length("raw") <= most)
+    rows = raw.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("raw").alias("raw")).toArrow().sort_by("doc_id")
     return [x or b"" for x in rows.column("raw").to_pylist()], np.array(rows.column("y").to_pylist(), np.float64)
 
 
