@@ -17,7 +17,8 @@ Main path: DataFrame functions only, no shuffle; a document is rewritten where i
 
 Cases: null text stays null with no findings; empty text stays empty. A number that doesn't
 validate is left as it is. Texts without a digit or an at sign are not searched. Repeated
-rows are rewritten alike. Extra columns pass through.
+rows are rewritten alike. Extra columns pass through, whatever their names; n_found and
+n_replaced replace input columns of these names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewise.llm.shared import boxed, quoted, unboxed
+
 ROUNDS = 10
 
 # Patterns of what is looked for. None matches the empty string, and none backtracks over a long run.
@@ -190,17 +193,17 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
-    """docs with the text rewritten, and n_found, n_replaced."""
-    t = F.col(text)
+    """docs with the text rewritten, and n_found, n_replaced (not with counts=False)."""
+    t = F.col("text")
     pieces, found = F.split(t, FOUND, -1), F.regexp_extract_all(t, F.lit(FOUND), F.lit(0))
     done = F.struct(
         pieces.alias("pieces"),
         F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))).alias("found"),
     )
-    searched = docs.withColumn("_p", F.when(t.rlike("[0-9@]") & t.rlike(FOUND), done))
-    joined = F.array_join(F.flatten(F.zip_with("_p.pieces", "_p.found", lambda p, m: F.array(p, F.coalesce(m["new"], F.lit(""))))), "")
-    out = searched.withColumn(text, F.when(F.col("_p").isNotNull(), joined).otherwise(t))
+    searched = boxed(docs, text=F.col(quoted(text))).withColumn("p", F.when(t.rlike("[0-9@]") & t.rlike(FOUND), done))
+    joined = F.array_join(F.flatten(F.zip_with("p.pieces", "p.found", lambda x, m: F.array(x, F.coalesce(m["new"], F.lit(""))))), "")
+    new = {text: F.when(F.col("p").isNotNull(), joined).otherwise(t)}
     if counts:
-        out = out.withColumn("n_found", F.coalesce(F.size("_p.found"), F.lit(0)).cast("bigint"))
-        out = out.withColumn("n_replaced", F.coalesce(F.size(F.filter("_p.found", lambda m: m["old"] != m["new"])), F.lit(0)).cast("bigint"))
-    return out.drop("_p")
+        new["n_found"] = F.coalesce(F.size("p.found"), F.lit(0)).cast("bigint")
+        new["n_replaced"] = F.coalesce(F.size(F.filter("p.found", lambda m: m["old"] != m["new"])), F.lit(0)).cast("bigint")
+    return unboxed(searched, docs.columns, **new)

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewise.llm.shared import table
 
-#: Key of every keyed permutation and hash here. A production run passes its own.
-KEY = "tracewise-demo-key"
+#: Setting with the key of the keyed permutations and digests (Spark redacts settings named so), and the key where it is unset.
+KEY_SETTING, KEY = "spark.tracewise.pii.secret", "tracewise-demo-key"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or KEY
 
 
 def tokenizer(name: str) -> str:
@@ -57,7 +61,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewise.llm.pii import pseudonymise
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
