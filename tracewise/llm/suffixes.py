@@ -36,8 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.lines import with_hit
-from tracewise.llm.shared import store
+from tracewise.llm.shared import store, with_hit
 from tracewise.llm.shingles import BASE, INVERSE, _powers, mix
 
 LEAST = 100
@@ -47,6 +46,8 @@ PLACE_BITS = 28
 FILTER = 1 << 26
 #: Bytes of text that anchors are found in, and that a transform is built of, at a time.
 PART = 1 << 20
+#: Bytes of one text that anchors are found in at a time; below 2^PLACE_BITS with the overlap.
+SLICE = 1 << 26
 BLOCK = 1 << 20
 
 
@@ -69,6 +70,10 @@ def rolling_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
 def regions(texts: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
     """Anchor hash, text number, first and last window start (in its text) of each region."""
     none = np.zeros(0, np.int64)
+    if sum(map(len, texts)) > max(SLICE, 2 * least) and (len(texts) > 1 or len(texts[0]) > SLICE + least):
+        # window by window nothing changes where a text is sliced, a region only ends there
+        out = [(a, np.full(len(a), k), f + lo, t + lo) for k, text in enumerate(texts) for lo in range(0, len(text), SLICE) for a, _, f, t in [regions([text[lo : lo + SLICE + least - 1]], least)]]
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (none,) * 4
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw) < least:
         return none, none, none, none
