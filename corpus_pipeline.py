@@ -2,18 +2,24 @@
 
 Each stage works on all that its predecessor kept, written as Parquet in between. The
 scratch tables of a stage go when the next one starts, as its result is written by then.
+
+Cases: null texts go with the first stage, as they have no words. Rows without a doc_id are
+kept by the stages that compare documents. Rows that share a doc_id are one document: they
+stay or go together in the near-duplicate stage, and each is packed. Repeated documents stay
+once, by their smallest doc_id. Columns beside doc_id, text and n_chars pass through, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.llm import jaccard, lines, packing, pii, rules
-from tracewise.llm.queries import KEY, tokenizer
-from tracewise.llm.shared import drop, shared_folder, table, take_written
+from tracewise.llm.queries import pii_key, tokenizer
+from tracewise.llm.shared import drop, quoted, shared_folder, store, table, take_written, with_hit
 
 _scratch: list[str] = []
 
@@ -29,34 +35,44 @@ def _end(df: DataFrame) -> DataFrame:
     return df
 
 
-def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+def _on_texts(docs: DataFrame, stage, keep: Column | None = None) -> DataFrame:
+    """docs with the texts that stage makes of doc_id and text, and n_chars counted anew. Its other columns stay apart from the stage's."""
+    own = docs.select("doc_id", "text", F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_rest"))
+    done = stage(own)
+    done = done if keep is None else done.where(keep)
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return done.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"_rest.{quoted(c)}") for c in docs.columns))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base check or are probably poor go."""
+    """Documents that fail the base check or are probably poor go. Null and empty texts fail it."""
     _begin(spark)
-    return _end(rules.score(docs).where("kept").select(*docs.columns))
+    own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_rest"), "text")
+    return _end(rules.score(own, keep=("_rest",)).where("kept").select("_rest.*"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies and near copies of lines are taken out of the texts."""
+    """Later copies and near copies of lines are taken out of the texts. Documents that lost all their words so go."""
     _begin(spark)
-    return _end(_recounted(lines.dedup_lines(docs)).select(*docs.columns))
+    left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return _end(_on_texts(docs, lines.dedup_lines, left))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
     _begin(spark)
     found = jaccard.join(docs, size=5, per_mille=800)
-    copies = found.where("component_id < doc_id").select("doc_id").distinct()
-    return _end(docs.join(copies, "doc_id", "left_anti").select(*docs.columns))
+    copies = store(found.where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_rest"), "doc_id")
+    split = with_hit(own, copies, "doc_id")  # only what may be a copy is shuffled
+    maybe = split.where("_hit").join(copies, "doc_id", "left_anti").select("_rest.*")
+    return _end(maybe.unionByName(split.where("not _hit").select("_rest.*")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers, dates, addresses and secrets become pseudonyms."""
     _begin(spark)
-    return _end(_recounted(pii.pseudonymise(docs, KEY, counts=False)).select(*docs.columns))
+    return _end(_on_texts(docs, lambda d: pii.pseudonymise(d, pii_key(spark), counts=False)))
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
