@@ -7,32 +7,51 @@ or the token's positions rule similarity out. Jaccard similarity is then verifie
 token sets. A line goes if an earlier one (smaller doc_id, or earlier in its document) is
 equal to it or similar to it.
 
-Equal lines are one class, found by aggregation, so copies are never paired. Similar classes
-are looked for in two steps: each class against the earliest of a token's classes, then what
-found no match against every earlier class that shares a token. Rarity is a count of
-occurrences in 2^16 buckets over all lines.
-
-Main path: DataFrame functions only. Filters of fixed size (2^22 bits) say which rows can
-matter before rows are shuffled; an exact join follows each.
+Rarity is a count of occurrences over all lines in 2^16 buckets; what a token adds to its
+bucket shows as soon as it is more than the buckets differ by chance. A token carries its
+rarity in its upper bits, so its number is its place in the order.
+
+Equal lines are one class, found by aggregation, so copies are never paired; the lines that
+occur most often (10,000 at most, as each is a ten-thousandth of all) enter the token table
+with their first occurrence only. The token table is dealt out once, by token; what no other
+line shares is dropped where it arrives. It still counts: of the line whose prefix ends
+earlier in the order, no token that nobody shares can be in the other line, which bounds the
+overlap of two lines that differ in what they were filled in with. Kinds of entries (size,
+place, that bound) that can match no kind of their token are dropped kind by kind. The
+classes that are left get whole token sets and a sketch of parities, whose differing bits
+bound how much two sets differ. Similar classes are looked for in two steps: each class
+against the earliest of a token's classes, then what found no match against every earlier
+class that shares a token; pairs are formed only where all bounds allow them.
+
+Main path: DataFrame functions only. Filters of bounded size say which rows can matter
+before rows are shuffled; an exact join follows each.
 
 Cases: null and empty texts, and lines without a word, stay as they are. Rows that share a
 doc_id are one document; rows without one keep their lines. Ties in rarity go by the token's
-hash. Repeated rows stay alike. An empty table gives no rows; extra columns pass through.
+hash. Repeated rows stay alike. An empty table gives no rows. Extra columns pass through,
+whatever their names; n_lines and n_removed replace input columns of these names.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import let, store, words
+from tracewise.llm.shared import SPACE, boxed, hits, let, quoted, store, unboxed, with_hit
 
 WORDS = 5
-#: Buckets of the rarity count, and bits of the filters.
+#: Buckets of the rarity count.
 BUCKETS = 1 << 16
-BITS = 1 << 22
+#: Bits of a token's number that hold its rarity, 256 levels for each doubling of the count; 49 bits of its hash are below.
+LEVEL_BITS = 14
+#: Bits of a set's sketch.
+SKETCH = 128
+#: A line of which one in so many lines is a copy enters the token table once.
+HEAVY = 10_000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -41,60 +60,47 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def tokens(line: Column, size: int = WORDS) -> Column:
-    """Distinct shingles of a line, as hashes."""
+def line_words(line: Column) -> Column:
+    """Words of a line. Where blanks are its only white space, it is split without a pattern, which takes a fraction of the time."""
+    other = reduce(lambda a, b: a | b, (line.contains(c) for c in "\t\x0b\x0c\r\n"))
+    return F.array_remove(F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " ")), "")
+
+
+def shingles(line: Column, size: int = WORDS) -> Column:
+    """Shingles of a line that has a word, as hashes, repeated ones included."""
 
-    def shingles(w: Column) -> Column:
+    def of(w: Column) -> Column:
         n = F.size(w)
         whole = F.array(F.xxhash64(F.lit(0), F.array_join(w, " ")))
-        return F.when(n < size, whole).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(size)) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))))
+        return F.when(n < size, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(size)) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))
 
-    return let(words(line), shingles)
+    return let(line_words(line), of)
 
 
-def numbers(values: list[int], kind: str) -> Column:
-    """A constant array: parsed once when the plan is made."""
-    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity(lines: DataFrame) -> Column:
-    """Occurrences by bucket, BUCKETS numbers whatever the input."""
-    counted = lines.select(F.explode(tokens(F.col("line"))).alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n"))
+    """Level by bucket of tokens, from counts over all lines: BUCKETS numbers whatever the input."""
+    counted = lines.select(F.explode(shingles(F.col("line"))).alias("t")).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * BUCKETS
     for r in counted.collect():
-        out[r["b"]] = r["n"]
-    return numbers(out, "bigint")
-
-
-def prefix(t: Column, counts: Column, per_mille: int) -> Column:
-    """The rarest n - ceil(t n) + 1 tokens with their positions. A key is the bucket's bounded count, then the hash."""
-    keyed = F.transform(t, lambda x: F.shiftleft(F.least(F.coalesce(F.get(counts, F.pmod(x, F.lit(BUCKETS)).cast("int")), F.lit(0)), F.lit((1 << 23) - 1)).cast("bigint"), 40).bitwiseOR(F.shiftrightunsigned(x, 24)))
-    n = F.size(t)
-    return F.slice(F.sort_array(keyed), F.lit(1), (n - F.ceil(n * per_mille / 1000) + 1).cast("int"))
+        out[r["b"]] = min((1 << LEVEL_BITS) - 1, int(256 * math.log2(r["n"])))
+    return F.from_json(F.lit(json.dumps(out, separators=(",", ":"))), "array<smallint>")
 
 
-def with_hit(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """df with _hit: whether its column key may be among keys.
+def tokens(line: Column, levels: Column) -> Column:
+    """Distinct shingles of a line that has a word, as numbers: the rarity level above 49 bits of the hash."""
 
-    The filter is a table of BITS / 64 numbers at most, whatever the input, so it is broadcast;
-    as a constant it would be printed in every plan that the driver keeps.
-    """
+    def numbered(h: Column) -> Column:
+        return F.shiftleft(F.get(levels, bucket(h)).cast("bigint"), 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS + 1))
 
-    def bit() -> Column:
-        return F.pmod(F.xxhash64(F.lit(3), F.col(key)), F.lit(BITS))
+    return F.array_distinct(F.transform(shingles(line), numbered))
 
-    def place() -> Column:
-        return F.pmod(bit(), F.lit(64)).cast("int")
 
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), place())
-    words = keys.select(F.shiftright(bit(), 6).cast("int").alias("_at"), one.alias("w")).groupBy("_at").agg(F.bit_or("w").alias("_word"))
-    found = df.withColumn("_at", F.shiftright(bit(), 6).cast("int")).join(F.broadcast(store(words, "bits")), "_at", "left")
-    hit = F.call_function("shiftrightunsigned", F.col("_word"), place()).bitwiseAND(F.lit(1)) == 1
-    return found.withColumn("_hit", F.coalesce(hit, F.lit(False))).drop("_at", "_word")
-
-
-def hits(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    return with_hit(df, keys, key).where("_hit").drop("_hit")
+def prefix_length(n: Column, per_mille: int) -> Column:
+    return (n - F.ceil(n * per_mille / 1000) + 1).cast("int")
 
 
 def overlap_needed(m: Column, n: Column, per_mille: int) -> Column:
@@ -102,10 +108,53 @@ def overlap_needed(m: Column, n: Column, per_mille: int) -> Column:
 
 
 def could_match(per_mille: int) -> Column:
-    """Length and positional filters on rows x and y that share a token."""
+    """Length and positional filters on entries x and y of one token, and the bound by tokens that nobody shares."""
     m, n = F.col("x.n"), F.col("y.n")
+    needed = overlap_needed(m, n, per_mille)
     left = F.least(m - F.col("x.pos"), n - F.col("y.pos"))  # tokens from the shared one on
-    return (1000 * F.least(m, n) >= per_mille * F.greatest(m, n)) & (F.least(F.col("x.pos"), F.col("y.pos")) + left >= overlap_needed(m, n, per_mille))
+    placed = F.least(F.col("x.pos"), F.col("y.pos")) + left >= needed
+    return (1000 * F.least(m, n) >= per_mille * F.greatest(m, n)) & placed & (F.greatest("x.most", "y.most") >= needed)
+
+
+def parity(tokens: Column, k: int) -> Column:
+    """Word k of a set's sketch: the parities of how many tokens fall on each of its bits."""
+    own = F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(SKETCH // 64 - 1)) == k)
+    bits = F.transform(own, lambda t: F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+
+
+def near_enough(per_mille: int) -> Column:
+    """Bound on classes x and y: sketches differ in no more bits than the sets differ in tokens, and those in no more than their sizes allow."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH // 64)))
+    return (1000 + per_mille) * apart <= (1000 - per_mille) * (F.col("x.n") + F.col("y.n"))
+
+
+def entries_of(lines: DataFrame, levels: Column, per_mille: int) -> DataFrame:
+    """Per line and prefix token: token, h1, and the line's size with the token's place in one number, dealt out by token."""
+    cut = lines.select("h1", let(tokens(F.col("line"), levels), lambda t: F.struct(F.size(t).alias("n"), F.slice(F.sort_array(t), F.lit(1), prefix_length(F.size(t), per_mille)).alias("p"))).alias("s"))
+    entries = cut.select("h1", "s.n", F.posexplode("s.p").alias("pos", "token"))
+    return entries.select("token", "h1", F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("pos").cast("bigint")).alias("shape")).repartition("token")
+
+
+def shared_entries(entries: DataFrame, per_mille: int) -> DataFrame:
+    """Entries whose token another class has: token, h1, n, pos, most (how many tokens the class can have in common with any)."""
+    of_token = Window.partitionBy("token").orderBy("h1")
+    before, after = F.lag("h1").over(of_token), F.lead("h1").over(of_token)
+    # of a class's rows for a token the first or last has another class next to it, if there is one
+    beside = F.coalesce(F.col("before") != F.col("h1"), F.lit(False)) | F.coalesce(F.col("after") != F.col("h1"), F.lit(False))
+    shared = entries.withColumns({"before": before, "after": after}).where(beside).select("token", "h1", "shape").distinct()
+    n, pos = F.shiftright("shape", 32).cast("int"), F.col("shape").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    shared = shared.select("token", "h1", n.alias("n"), pos.alias("pos"))
+    alone = prefix_length(F.col("n"), per_mille) - F.count("*").over(Window.partitionBy("h1"))
+    return shared.withColumn("most", (F.col("n") - alone).cast("int"))
+
+
+def open_entries(shared: DataFrame, per_mille: int) -> DataFrame:
+    """Entries of a kind (size, place, most) that could match another of their token. A token has few kinds, however many lines share it."""
+    kind = ["n", "pos", "most"]
+    kinds = shared.groupBy("token", *kind).agg(F.count("*").alias("m"))
+    other = (F.col("y.m") > 1) | (F.struct(*(f"x.{c}" for c in kind)) != F.struct(*(f"y.{c}" for c in kind)))
+    return shared.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & other & could_match(per_mille), "left_semi")
 
 
 def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, DataFrame]:
@@ -113,46 +162,60 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     lines = lines_of(docs)
     places = store(lines.select("doc_id", "line_no", "h1", "h2"), "places")
     classes = store(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "classes")
-    counts = rarity(lines)
-    cut = lines.select("h1", let(tokens(F.col("line")), lambda t: F.struct(F.size(t).alias("n"), prefix(t, counts, per_mille).alias("p"))).alias("s"))
-    entries = store(cut.select("h1", "s.n", F.posexplode("s.p").alias("pos", "token")), "entries")
-    several = store(entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "tokens")
-    shared = store(hits(entries, several, "token").distinct(), "several")
-    different = shared.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("token")
-    shared = store(shared.join(different, "token", "left_semi").join(classes.select("h1", "h2", "first"), "h1"), "shared")
-    sets = hits(lines, shared.select("h1"), "h1").select("h1", "h2", "line").groupBy("h1", "h2").agg(F.first("line").alias("line")).select("h1", "h2", tokens(F.col("line")).alias("set"))
-    sets = store(sets, "sets")
+    levels = rarity(lines)
+    here = F.struct("doc_id", "line_no")
+    heavy = classes.where(F.col("copies") * HEAVY >= places.count()).where("copies > 1").select("h1", "h2", "first")  # HEAVY rows at most
+    once = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == here))
+    shared = store(shared_entries(entries_of(once, levels, per_mille), per_mille), "shared")
+    entries = store(open_entries(shared, per_mille), "open")
+    # a class is known by its first place from here on
+    entries = store(entries.join(hits(classes, entries.select("h1").distinct(), "h1"), "h1").select("token", "n", "pos", "most", "h1", "h2", "first"), "open")
+
+    # whole sets of the classes that are left, with the parities of their tokens in SKETCH bits
+    wanted = entries.select("first.doc_id", F.xxhash64("h1", "h2", "first.doc_id", "first.line_no").alias("at"), "h1", "h2", "first").distinct()
+    wanted = store(wanted, "wanted")
+    some = hits(lines_of(hits(docs, wanted, "doc_id")).withColumn("at", F.xxhash64("h1", "h2", "doc_id", "line_no")), wanted, "at")
+    texts = some.groupBy(here.alias("id"), "h1", "h2").agg(F.first("line").alias("line")).join(wanted.select(F.col("first").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
+    sets = texts.select("id", tokens(F.col("line"), levels).alias("set"))
+    sets = store(sets.select("id", "set", *(parity(F.col("set"), k).alias(f"s{k}") for k in range(SKETCH // 64))), "sets")
+    entries = store(entries.select(F.col("first").alias("id"), "token", "n", "pos", "most").join(sets.drop("set"), "id"), "entries")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes x that are similar to their y."""
-        a = sets.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), F.col("set").alias("a"))
-        b = sets.select(F.col("h1").alias("y1"), F.col("h2").alias("y2"), F.col("set").alias("b"))
-        both = pairs.join(a, ["x1", "x2"]).join(b, ["y1", "y2"])
+        a, b = sets.select(F.col("id").alias("x"), F.col("set").alias("a")), sets.select(F.col("id").alias("y"), F.col("set").alias("b"))
+        both = store(pairs.distinct(), "pairs").join(a, "x").join(b, "y")
         common = F.size(F.array_intersect("a", "b"))
-        return both.where(1000 * common >= per_mille * (F.size("a") + F.size("b") - common)).select(F.col("x1").alias("h1"), F.col("x2").alias("h2")).distinct()
-
-    names = [F.col("x.h1").alias("x1"), F.col("x.h2").alias("x2"), F.col("y.h1").alias("y1"), F.col("y.h2").alias("y2")]
-    earliest = shared.groupBy("token").agg(F.min(F.struct("first", "h1", "h2", "n", "pos")).alias("e")).select("token", "e.*")
-    to_first = shared.alias("x").join(earliest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.first") > F.col("y.first")) & could_match(per_mille))
-    found = store(verified(to_first.select(*names).distinct()), "similar")
-    rest = shared.join(found, ["h1", "h2"], "left_anti")
-    to_any = rest.alias("x").join(shared.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.first") > F.col("y.first")) & could_match(per_mille))
-    more = verified(to_any.select(*names).distinct())
-    similar = store(found.union(more), "similar")
-    gone = classes.join(similar.withColumn("similar", F.lit(True)), ["h1", "h2"], "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
+        return both.where(1000 * common >= per_mille * (F.size("a") + F.size("b") - common)).select(F.col("x").alias("id")).distinct()
+
+    later = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") > F.col("y.id")) & could_match(per_mille) & near_enough(per_mille)
+    ends = [F.col("x.id").alias("x"), F.col("y.id").alias("y")]
+    earliest = entries.groupBy("token").agg(F.min(F.struct(*(c for c in entries.columns if c != "token"))).alias("e")).select("token", "e.*")
+    found = store(verified(entries.alias("x").join(earliest.alias("y"), later).select(*ends)), "similar")
+    split = with_hit(entries, found, "id")
+    kept = entries.columns
+    rest = split.where("_hit").join(found, "id", "left_anti").select(*kept).union(split.where("not _hit").select(*kept))
+    similar = store(found.union(verified(rest.alias("x").join(entries.alias("y"), later).select(*ends))), "similar")
+    similar = similar.select(F.col("id").alias("first"), F.lit(True).alias("similar"))
+    gone = classes.join(similar, "first", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return places, gone.where("copies > 1 or similar").select("h1", "h2", "first", "similar")
 
 
 def dedup_lines(docs: DataFrame, per_mille: int = 800, text: str = "text") -> DataFrame:
     """docs with later matches taken out of the text, and n_lines, n_removed."""
-    plain = docs.withColumnRenamed(text, "text")
-    places, gone = later_matches(plain.select("doc_id", "text"), per_mille)
+    own = docs.select("doc_id", F.col(quoted(text)).alias("text"))
+    places, gone = later_matches(own, per_mille)
     lost = places.join(gone, ["h1", "h2"]).where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first")))
-    removed = store(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "removed")
+    removed = store(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "removed")
     lines = F.split("text", "\n")
-    keep = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    keep = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    plain = boxed(docs, doc_id=F.col("doc_id"), text=F.col(quoted(text)))
     split = with_hit(plain, removed, "doc_id")  # what can't lose a line needn't be shuffled
-    rest = split.where("not _hit").withColumn("_gone", F.lit(None).cast("array<int>"))
-    out = split.where("_hit").join(removed, "doc_id", "left").unionByName(rest).drop("_hit")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep)).drop("_gone").withColumnRenamed("text", text)
+    rest = split.where("not _hit").withColumn("gone", F.lit(None).cast("array<int>"))
+    out = split.where("_hit").join(removed, "doc_id", "left").unionByName(rest)
+    return unboxed(
+        out,
+        docs.columns,
+        **{text: F.when(F.col("gone").isNull(), F.col("text")).otherwise(keep)},
+        n_lines=F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),
+        n_removed=F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
+    )
