@@ -42,6 +42,33 @@ def test_jaccard_join_of_nothing(make):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(False, 1, 1), (False, 1, 1), (False, 2, 1), (False, 3, 3), (True, 0, 1)]
 
 
+def test_rows_of_one_document_are_one_node(make):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a), (3, a), (5, b), (2, b), (7, None), (7, b), (9, a + " x")]
+    got = {}
+    for r in jaccard.join(make(rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    # document 5 stands where its row with the smaller digest does
+    assert all(len(c) == 1 for c in got.values()) and got[7] == got[2] and got[3] == got[9]
+    assert got[5] in (got[3], got[2])
+
+
+def test_a_large_group_of_near_copies(make):
+    """Lines and documents that differ in a few words each, so that few pairs pass and all share most shingles."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4])):
+            w[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w[rng.randrange(3) :])))
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(make(rows)).collect()} == plain_lines(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(make(rows), 5, 800).collect()} == components(rows, 5, 800)
+
+
 def plain_lines(rows, per_mille=800):
     seen, sets, out = set(), [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):

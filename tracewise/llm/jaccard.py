@@ -10,14 +10,18 @@ Equal rows are one class (equal sets), so copies are never multiplied. Within a
 product is taken in two steps instead of all pairs: first each class against the column's
 most central class (whose shingles are shared most), and the pairs that pass are united;
 then classes of different unions that still share a column, under the bound that the
-histograms of two sets differ by no more than the sets may. Both steps are verified on whole
-sets, block by block. No pair within one union is formed, which loses no component.
+histograms of two sets differ by no more than the sets may. There the product is accumulated:
+a pair's count of common prefix columns bounds its overlap from above, and pairs below what
+their sizes need are discarded. Both steps are verified on whole sets, block by block. No
+pair within one union is formed, which loses no component; so links aren't counted.
 
 The order of columns comes from counts of all documents in 2^22 buckets. It steers the size
 of the product, not its result: any order common to all documents is exact.
 
 Cases: null, empty or word-less text has no shingles and is its own component. Fewer words
-than a shingle has are one shingle. Rows that share a doc_id are one document for linking.
+than a shingle has are one shingle. Rows that share a doc_id are one document: the row whose
+set has the smallest digest is linked, and all of them get its component; n_shingles is each
+row's own.
 Ties go to the smaller doc_id. An empty table gives no rows; extra columns are ignored.
 """
 
@@ -32,8 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.graph import components
-from tracewise.llm.lines import hits
-from tracewise.llm.shared import store
+from tracewise.llm.shared import hits, store
 from tracewise.llm.shingles import mix, shingle_sets
 
 #: Bins of a set's histogram, and bits of the filter over documents with candidates.
@@ -55,6 +58,11 @@ def _parts(batches, rows: int = 512) -> Iterator[tuple[pa.RecordBatch, list]]:
             yield part, part.column("raw").to_pylist()
 
 
+def key_of(grams: bytes) -> bytes | None:
+    """A set's digest; None for the empty set."""
+    return hashlib.blake2b(grams, digest_size=16).digest() if grams else None
+
+
 def rarity(docs: DataFrame, size: int) -> np.ndarray:
     """Documents by bucket of their shingles: COUNTERS numbers over all documents, whatever the input."""
 
@@ -105,7 +113,7 @@ def incidence(docs: DataFrame, size: int, per_mille: int, common: np.ndarray) ->
                     central.append(0.0)
                     bins.append(np.zeros(BINS // 8, np.int64))
                     continue
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                keys.append(key_of(s.tobytes()))
                 seen = np.maximum(common[(s & np.uint64(COUNTERS - 1)).astype(np.int64)], 1)
                 length = len(s) - -(-per_mille * len(s) // 1000) + 1
                 prefixes.append(s[np.lexsort((s, seen))[:length]].view(np.int64))
@@ -135,9 +143,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             batch = batch.filter(pa.array((flat[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1))
             for part, texts in _parts([batch], 512):
                 sets = [s.tobytes() for s in shingle_sets(texts, size)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(key_of, sets), pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "key", "grams"])
 
-    return _raw(docs).withColumn("bit", bit).mapInArrow(run, "doc_id bigint, grams binary").where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = _raw(docs).withColumn("bit", bit).mapInArrow(run, "doc_id bigint, key binary, grams binary").where("doc_id is not null and key is not null")
+    return found.groupBy("doc_id").agg(F.min_by("grams", "key").alias("grams"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, per_mille: int) -> DataFrame:
@@ -167,6 +176,16 @@ def sizes_fit(m: Column, n: Column, per_mille: int) -> Column:
     return 1000 * F.least(m, n) >= per_mille * F.greatest(m, n)
 
 
+def enough_overlap(per_mille: int) -> Column:
+    """Bound on a pair of sizes m and n that has `overlap` columns of both prefixes in common.
+
+    Of the row whose prefix ends earlier in the order of columns, what lies behind its prefix
+    is ceil(t n) - 1 columns; before that it shares the counted ones only.
+    """
+    behind = F.ceil(per_mille * F.greatest("m", "n") / 1000) - 1
+    return F.col("overlap") + behind >= F.ceil(per_mille * (F.col("m") + F.col("n")) / (1000 + per_mille))
+
+
 def near_enough(per_mille: int) -> Column:
     """Bound on rows x and y: the histograms of two sets differ by no more than the sets, and those by no more than their sizes allow.
 
@@ -188,13 +207,16 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links of at least per_mille / 1000."""
     rows = store(incidence(docs, size, per_mille, rarity(docs, size)), "incidence")
     full = rows.where("n > 0 and doc_id is not null")
+    # of rows that share a doc_id, the one with the smallest digest stands for the document
+    rivals = store(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("key").alias("least")).where("rows > 1 and least is not null").select("doc_id", "least"), "rivals")
+    full = full.join(rivals, "doc_id", "left").where("least is null or key = least")
     classes = store(full.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "central", "prefix", "bins"))), "classes")
     several = store(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"), "columns")
     entries = hits(classes.select("rep", "n", "central", F.explode("prefix").alias("s")), several, "s").join(several, "s", "left_semi")
     entries = store(entries, "entries")
     heads = entries.groupBy("s").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head"))
     shared = store(entries.join(heads, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "shared")
-    stars = shared.where((F.col("rep") != F.col("head")) & sizes_fit(F.col("n"), F.col("head_n"), per_mille)).groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("overlap"))
+    stars = shared.where((F.col("rep") != F.col("head")) & sizes_fit(F.col("n"), F.col("head_n"), per_mille)).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     bins = store(classes.select("rep", "n", *(F.get("bins", F.lit(k)).alias(f"b{k}") for k in range(BINS // 8))), "bins")
     stars = stars.alias("p").join(bins.alias("x"), F.col("p.a") == F.col("x.rep")).join(bins.alias("y"), F.col("p.b") == F.col("y.rep")).where(near_enough(per_mille)).select("a", "b")
     stars = store(stars, "stars")
@@ -206,10 +228,15 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     unions = marked.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s").agg(F.count("*").alias("unions"), F.max(F.struct("m", "label"))["label"].alias("main")).where("unions > 1")
     split = store(marked.join(unions, "s").select("s", "rep", "label", "main").join(bins, "rep"), "split")
     x, y = split.where("label != main").alias("x"), split.alias("y")
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & sizes_fit(F.col("x.n"), F.col("y.n"), per_mille) & near_enough(per_mille))
-    rest = rest.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))  # a pair counts each column once
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & sizes_fit(F.col("x.n"), F.col("y.n"), per_mille) & near_enough(per_mille))
+    ends = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    rest = rest.select(*ends, F.least("x.n", "y.n").alias("m"), F.greatest("x.n", "y.n").alias("n")).groupBy("a", "b", "m", "n").agg(F.count("*").alias("overlap"))
+    rest = rest.where(enough_overlap(per_mille)).select("a", "b")
     rest = store(rest, "rest")
     far = verified(rest, whole_sets(docs, members(rest), size), per_mille)
     united = components(near.union(far))
-    found = rows.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "key")).otherwise(F.col("key"))
+    found = rows.join(rivals, "doc_id", "left").select("doc_id", "n", own.alias("key"))
+    found = found.join(classes.select("key", "rep"), "key", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
