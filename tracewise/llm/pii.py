@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import boxed, quoted, unboxed
+from tracewise.llm.shared import boxed, let, quoted, unboxed
 
 ROUNDS = 10
 
@@ -85,9 +85,11 @@ def feistel(x: Column, a: int | Column, b: int | Column, key: str, tweak: str |
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda s: s["l"] * wide + s["r"])
 
 
-def digits_permuted(d: Column, n: int, key: str, tweak: str) -> Column:
-    """n digits to n digits."""
-    return F.lpad(feistel(d.cast("bigint"), 10 ** (n // 2), 10 ** (n - n // 2), key, tweak).cast("string"), n, "0")
+def digits_permuted(d: Column, most: int, key: str, tweak: Column) -> Column:
+    """Digits, most of them at most, to as many digits. One network serves all lengths."""
+    n = F.length(d)
+    low, high = (F.element_at(F.array(*(F.lit(10**k).cast("bigint") for k in half)), n + 1) for half in ([k // 2 for k in range(most + 1)], [k - k // 2 for k in range(most + 1)]))
+    return F.lpad(feistel(d.cast("bigint"), low, high, key, tweak).cast("string"), n, F.lit("0"))
 
 
 def luhn_sum(d: Column) -> Column:
@@ -106,7 +108,7 @@ def card(m: Column, key: str) -> Column:
     d = F.regexp_replace(m, r"\D", "")
     n = F.length(d)
     body = F.substring(d, F.lit(1), n - 1)
-    moved = reduce(lambda c, k: c.when(n == k, digits_permuted(body, k - 1, key, f"card{k}")), range(14, 20), F.when(n == 13, digits_permuted(body, 12, key, "card13")))
+    moved = digits_permuted(body, 18, key, F.concat(F.lit("card"), n.cast("string")))
     check = F.pmod(10 - F.pmod(luhn_sum(F.concat(moved, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     full = F.concat(moved, check)
     gap = F.regexp_extract(m, r"[ \-]", 0)
@@ -121,9 +123,7 @@ def phone(m: Column, key: str) -> Column:
     rest = F.substring(m, F.length(head) + 1, F.length(m))
     d = F.regexp_replace(rest, r"\D", "")
     n = F.length(d)
-    counts = range(15)
-    low, high = (F.element_at(F.array(*(F.lit(10**k).cast("bigint") for k in half)), n + 1) for half in ([k // 2 for k in counts], [k - k // 2 for k in counts]))
-    moved = F.lpad(feistel(d.cast("bigint"), low, high, key, F.when(n == 10, "phone").otherwise(F.concat(F.lit("phone"), n.cast("string")))).cast("string"), n, F.lit("0"))
+    moved = digits_permuted(d, 14, key, F.when(n == 10, "phone").otherwise(F.concat(F.lit("phone"), n.cast("string"))))
 
     def put(state: Column, c: Column) -> Column:
         digit = c.rlike("[0-9]")
@@ -165,14 +165,16 @@ def ssn(m: Column, key: str) -> Column:
 def date(m: Column, key: str) -> Column:
     """Days of the 400 years from 1800 on are 189 x 773; other dates are left as they are."""
     first = F.to_date(F.lit("1800-01-01"))
+    forms = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
 
-    def moved(form: str) -> Column:
-        day = F.try_to_date(m, form)
-        n = F.datediff(day, first).cast("bigint")
-        to = F.date_add(first, feistel(n, 189, 773, key, "date").cast("int"))
-        return F.when(day.isNotNull() & (n >= 0) & (n < 189 * 773) & (F.date_format(day, form) == m), F.date_format(to, form)).otherwise(m)
+    def by_form(use) -> Column:
+        return reduce(lambda c, mark: c.when(m.contains(mark), use(forms[mark])), "/.", F.when(m.contains("-"), use(forms["-"])))
 
-    return F.when(m.contains("-"), moved("yyyy-MM-dd")).when(m.contains("/"), moved("MM/dd/yyyy")).otherwise(moved("dd.MM.yyyy"))
+    day = by_form(lambda form: F.try_to_date(m, form))
+    n = F.datediff(day, first).cast("bigint")
+    to = F.date_add(first, feistel(n, 189, 773, key, "date").cast("int"))
+    valid = (n >= 0) & (n < 189 * 773) & (by_form(lambda form: F.date_format(day, form)) == m)
+    return F.when(valid, let(to, lambda x: by_form(lambda form: F.date_format(x, form)))).otherwise(m)
 
 
 def mail(m: Column, key: str) -> Column:
