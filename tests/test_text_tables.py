@@ -29,9 +29,12 @@ diff --git a/new.py b/new.py
 """
 
 
-def test_touched_lines():
-    assert patches.touched_lines(PATCH) == [("added", "f.py", 2), ("added", "f.py", 3), ("added", "f.py", 11), ("added", "new.py", 1), ("added", "new.py", 2), ("removed", "f.py", 2), ("removed", "f.py", 10)]
-    assert patches.touched_lines("") == []
+def test_touched_lines(spark):
+    odd = "diff --git a/x b/x\nBinary files differ\ndiff --git a/y b/y\n--- a/y\n+++ /dev/null\n@@ -1 +0,0 @@\n-gone\n\\ No newline at end of file\n"
+    df = spark.createDataFrame([(0, PATCH), (1, ""), (2, None), (3, odd)], "id int, p string").select("id", patches.patch_rows(F.col("p")).alias("l"))
+    got = {r["id"]: [tuple(x) for x in r["l"]] for r in df.collect()}
+    assert got[1] == got[2] == [] and got[3] == [("removed", "y", 1)]
+    assert got[0] == [("added", "f.py", 2), ("added", "f.py", 3), ("added", "f.py", 11), ("added", "new.py", 1), ("added", "new.py", 2), ("removed", "f.py", 2), ("removed", "f.py", 10)]
 
 
 def test_names_of_modified_definitions(spark):

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from tracewise.functions.source import def_ranges
 from tracewise.operators.traces import innermost
@@ -27,44 +23,42 @@ TEST_FILES = {
     "sympy": r"sympy/.*/tests/.*\.py$",
 }
 
-FILE = re.compile(r"--- (?:a/)?(.*?)\n\+\+\+ (?:b/)?(.*?)\n")
-HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@.*")
-
+# How the unified format marks the start of a file's part and of a hunk.
+FILE_START = "diff --git "
+HUNK_START = r"(?m)^(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 
-def touched_lines(patch: str) -> list[tuple[str, str, int]]:
-    """(side, path, line): lines removed from the old file and added to the new one, distinct and sorted.
 
-    Within a hunk a line that starts with neither sign nor a blank moves no counter.
-    """
-    out: set[tuple[str, str, int]] = set()
-    for part in patch.split("diff --git ")[1:]:
-        if (head := FILE.search(part)) is None:
-            continue
-        old_path, new_path = head.groups()
-        old = new = None
-        for line in part[head.end() :].split("\n"):
-            if hunk := HUNK.match(line):
-                old, new = int(hunk[1]), int(hunk[2])
-            elif old is not None and line:
-                if line[0] == "-":
-                    out.add(("removed", old_path, old))
-                    old += 1
-                elif line[0] == "+":
-                    out.add(("added", new_path, new))
-                    new += 1
-                elif line[0] == " ":
-                    old, new = old + 1, new + 1
-    return sorted(out)
+def _rest(a: Column) -> Column:
+    return F.slice(a, F.lit(2), F.size(a))
 
 
 def patch_rows(patch: Column) -> Column:
-    """touched_lines as array<struct<side, path, line>>; none for null."""
+    """Distinct lines removed from old files and added to new ones, sorted, as array<struct<side, path, line>>; none for null.
 
-    @pandas_udf("array<struct<side: string, path: string, line: int>>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"side": s, "path": p, "line": n} for s, p, n in touched_lines(t)] if t else [] for t in texts], dtype=object)
+    A hunk's old text is its lines with a blank or a minus, its new text those with a blank or
+    a plus; so a line's place among them, counted from the hunk's start, is its number. Other
+    lines belong to neither. Parts without both file names have no rows.
+    """
 
-    return run(patch)
+    def path(head: Column, mark: str, prefix: str) -> Column:
+        named = F.get(F.filter(head, lambda x: x.startswith(f"{mark * 3} ")), F.lit(0))
+        return F.regexp_replace(F.substring(named, 5, 1 << 30), f"^{prefix}/", "")
+
+    def side(name: str, sign: str, hunk: Column, file: Column) -> Column:
+        start = F.regexp_extract(hunk, rf"[{sign}](\d+)", 1).cast("int")
+        own = F.filter(_rest(F.split(hunk, "\n")), lambda x: x.startswith(" ") | x.startswith(sign))
+        numbered = F.transform(own, lambda x, i: F.when(x.startswith(sign), F.struct(F.lit(name).alias("side"), file.alias("path"), (start + i).alias("line"))))
+        return F.filter(numbered, lambda x: x.isNotNull())
+
+    def of_file(part: Column) -> Column:
+        pieces = F.split(part, HUNK_START)
+        head = F.split(F.get(pieces, F.lit(0)), "\n")
+        old, new = path(head, "-", "a"), path(head, "+", "b")
+        rows = F.flatten(F.transform(_rest(pieces), lambda h: F.concat(side("removed", "-", h, old), side("added", "+", h, new))))
+        return F.filter(rows, lambda x: old.isNotNull() & new.isNotNull())
+
+    found = F.flatten(F.transform(_rest(F.split(patch, FILE_START)), of_file))
+    return F.array_sort(F.array_distinct(F.coalesce(found, F.array().cast("array<struct<side: string, path: string, line: int>>"))))
 
 
 def patch_lines(patches: DataFrame, keep: list[str], patch: str = "model_patch") -> DataFrame:
