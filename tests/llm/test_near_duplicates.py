@@ -120,6 +120,20 @@ def test_suffix_dedup(make, texts):
     assert suffixes.dedup_bytes(make([])).collect() == []
 
 
+def test_anchors_of_sliced_texts(monkeypatch):
+    """Each window has the anchor that it has in the whole text."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 101, n).astype(np.uint8)) for n in (3, 2500, 0, 700, 99, 100)]
+
+    def windows():
+        return {(int(k), w): int(a) for a, k, f, t in zip(*suffixes.regions(texts), strict=True) for w in range(f, t + 1)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 99) for t in texts)
+    monkeypatch.setattr(suffixes, "SLICE", 333)
+    assert windows() == whole
+
+
 def test_common_prefixes_from_the_transform():
     rng = np.random.default_rng(1)
     for _ in range(40):
