@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.graph import components
-from tracewise.llm.shared import hits, store
+from tracewise.llm.shared import hits, release, store
 from tracewise.llm.shingles import mix, shingle_sets
 
 #: Bins of a set's histogram, and bits of the filter over documents with candidates.
@@ -211,22 +211,30 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     rivals = store(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("key").alias("least")).where("rows > 1 and least is not null").select("doc_id", "least"), "rivals")
     full = full.join(rivals, "doc_id", "left").where("least is null or key = least")
     classes = store(full.groupBy("key").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "central", "prefix", "bins"))), "classes")
+    wide, rows = rows, store(rows.select("doc_id", "n", "key"), "rows")
+    release(wide)
     several = store(classes.select(F.explode("prefix").alias("s")).groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s"), "columns")
     entries = hits(classes.select("rep", "n", "central", F.explode("prefix").alias("s")), several, "s").join(several, "s", "left_semi")
     entries = store(entries, "entries")
+    bins = store(classes.select("rep", "n", *(F.get("bins", F.lit(k)).alias(f"b{k}") for k in range(BINS // 8))), "bins")
+    wide, classes = classes, store(classes.select("key", "rep"), "classes")
+    release(wide, several)
     heads = entries.groupBy("s").agg(F.max(F.struct("central", (-F.col("rep")).alias("rep"), "n")).alias("head"))
     shared = store(entries.join(heads, "s").select("s", "rep", "n", (-F.col("head.rep")).alias("head"), F.col("head.n").alias("head_n")), "shared")
+    release(entries)
     stars = shared.where((F.col("rep") != F.col("head")) & sizes_fit(F.col("n"), F.col("head_n"), per_mille)).select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    bins = store(classes.select("rep", "n", *(F.get("bins", F.lit(k)).alias(f"b{k}") for k in range(BINS // 8))), "bins")
     stars = stars.alias("p").join(bins.alias("x"), F.col("p.a") == F.col("x.rep")).join(bins.alias("y"), F.col("p.b") == F.col("y.rep")).where(near_enough(per_mille)).select("a", "b")
     stars = store(stars, "stars")
     near = store(verified(stars, whole_sets(docs, members(stars), size), per_mille), "links")
+    release(stars)
     labels = components(near)
     # classes of different unions that share a column; the largest union of a column needs no pairs within itself
     marked = shared.select("s", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     marked = store(marked, "marked")
+    release(shared)
     unions = marked.groupBy("s", "label").agg(F.count("*").alias("m")).groupBy("s").agg(F.count("*").alias("unions"), F.max(F.struct("m", "label"))["label"].alias("main")).where("unions > 1")
     split = store(marked.join(unions, "s").select("s", "rep", "label", "main").join(bins, "rep"), "split")
+    release(marked, bins)
     x, y = split.where("label != main").alias("x"), split.alias("y")
     once = (F.col("y.label") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))  # a pair counts each column once
     rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & once & sizes_fit(F.col("x.n"), F.col("y.n"), per_mille) & near_enough(per_mille))
@@ -234,9 +242,11 @@ def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     rest = rest.select(*ends, F.least("x.n", "y.n").alias("m"), F.greatest("x.n", "y.n").alias("n")).groupBy("a", "b", "m", "n").agg(F.count("*").alias("overlap"))
     rest = rest.where(enough_overlap(per_mille)).select("a", "b")
     rest = store(rest, "rest")
+    release(split)
     far = verified(rest, whole_sets(docs, members(rest), size), per_mille)
     united = components(near.union(far))
+    release(rest)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "key")).otherwise(F.col("key"))
     found = rows.join(rivals, "doc_id", "left").select("doc_id", "n", own.alias("key"))
-    found = found.join(classes.select("key", "rep"), "key", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
+    found = found.join(classes, "key", "left").join(united.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id"))

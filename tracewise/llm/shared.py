@@ -46,6 +46,15 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(*stored: DataFrame) -> None:
+    """Drop stored tables ahead of the rest, so that they don't stand on disk beside later ones. Nothing may read them after this, lazy plans included."""
+    for df in stored:
+        names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+        for path in [p for p in _written if p.rsplit("/", 1)[-1] in names]:
+            drop(df.sparkSession, path)
+            _written.remove(path)
+
+
 def take_written() -> list[str]:
     """The scratch tables written since the last call. The caller drops them once nothing reads them any more."""
     out = list(_written)
