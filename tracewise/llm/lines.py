@@ -41,7 +41,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import SPACE, boxed, hits, let, quoted, store, unboxed, with_hit
+from tracewise.llm.shared import SPACE, boxed, hits, let, quoted, release, store, unboxed, with_hit
 
 WORDS = 5
 #: Buckets of the rarity count.
@@ -168,8 +168,10 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     once = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == here))
     shared = store(shared_entries(entries_of(once, levels, per_mille), per_mille), "shared")
     entries = store(open_entries(shared, per_mille), "open")
+    release(shared)
     # a class is known by its first place from here on
-    entries = store(entries.join(hits(classes, entries.select("h1").distinct(), "h1"), "h1").select("token", "n", "pos", "most", "h1", "h2", "first"), "open")
+    unplaced, entries = entries, store(entries.join(hits(classes, entries.select("h1").distinct(), "h1"), "h1").select("token", "n", "pos", "most", "h1", "h2", "first"), "open")
+    release(unplaced)
 
     # whole sets of the classes that are left, with the parities of their tokens in SKETCH bits
     wanted = entries.select("first.doc_id", F.xxhash64("h1", "h2", "first.doc_id", "first.line_no").alias("at"), "h1", "h2", "first").distinct()
@@ -178,7 +180,8 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     texts = some.groupBy(here.alias("id"), "h1", "h2").agg(F.first("line").alias("line")).join(wanted.select(F.col("first").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
     sets = texts.select("id", tokens(F.col("line"), levels).alias("set"))
     sets = store(sets.select("id", "set", *(parity(F.col("set"), k).alias(f"s{k}") for k in range(SKETCH // 64))), "sets")
-    entries = store(entries.select(F.col("first").alias("id"), "token", "n", "pos", "most").join(sets.drop("set"), "id"), "entries")
+    unsketched, entries = entries, store(entries.select(F.col("first").alias("id"), "token", "n", "pos", "most").join(sets.drop("set"), "id"), "entries")
+    release(wanted, unsketched)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes x that are similar to their y."""
@@ -195,6 +198,7 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     kept = entries.columns
     rest = split.where("_hit").join(found, "id", "left_anti").select(*kept).union(split.where("not _hit").select(*kept))
     similar = store(found.union(verified(rest.alias("x").join(entries.alias("y"), later).select(*ends))), "similar")
+    release(entries, sets, found)
     similar = similar.select(F.col("id").alias("first"), F.lit(True).alias("similar"))
     gone = classes.join(similar, "first", "left").withColumn("similar", F.coalesce("similar", F.lit(False)))
     return places, gone.where("copies > 1 or similar").select("h1", "h2", "first", "similar")
@@ -206,6 +210,7 @@ def dedup_lines(docs: DataFrame, per_mille: int = 800, text: str = "text") -> Da
     places, gone = later_matches(own, per_mille)
     lost = places.join(gone, ["h1", "h2"]).where(F.col("similar") | (F.struct("doc_id", "line_no") != F.col("first")))
     removed = store(lost.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone")), "removed")
+    release(places, gone)
     lines = F.split("text", "\n")
     keep = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     plain = boxed(docs, doc_id=F.col("doc_id"), text=F.col(quoted(text)))
