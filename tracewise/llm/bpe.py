@@ -15,6 +15,7 @@ named in keep.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -254,7 +255,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
             for part, texts in _texts(batch, text):
@@ -273,6 +274,16 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 else:
                     yield pa.RecordBatch.from_arrays([part.column(key), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # nothing here makes reference cycles, and looking for them walks the caches over and over
+        looking = gc.isenabled()
+        gc.disable()
+        try:
+            yield from encoded(batches)
+        finally:
+            if looking:
+                gc.enable()
+
     out = "ids array<int>, decoded string" if emit == "ids" else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {out}")
 
