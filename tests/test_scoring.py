@@ -85,3 +85,24 @@ def test_labels_and_numbers(spark):
     assert one(spark, text.qualified_name(F.lit("m:A.b:c"))) == "A.b:c"
     assert one(spark, text.joined_or(letters(""))) == "none"
     assert one(spark, text.image_name(F.lit("django__django-1"))) == "django_1776_django-1"
+
+
+def test_ragged_trials_are_an_error_when_strict(spark):
+    even = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.0)], "id string, trial int, score double")
+    assert scoring.statistics(even, strict=True).first()["mean"] == 0.5
+    with pytest.raises(Exception, match="trials of different length"):
+        scoring.statistics(even.union(spark.createDataFrame([("b", 0, 1.0)], even.schema)), strict=True).collect()
+
+
+def test_time_limit_gives_zeros(spark):
+    def scorer(answers, truth):
+        import time
+
+        if "slow" in truth:
+            time.sleep(30)
+        return [float(a == truth) for a in answers]
+
+    rows = [("a", [["x"], ["y"]], ["x"]), ("b", [["x"], ["y"], []], ["slow"]), ("c", [], ["x"]), ("d", None, ["x"]), ("e", [["z"]], ["z"])]
+    df = spark.createDataFrame(rows, "id string, p array<array<string>>, t array<string>")
+    got = {r["id"]: r["s"] for r in df.select("id", scoring.time_limited(scorer, F.col("p"), F.col("t"), 0.5).alias("s")).collect()}
+    assert got == {"a": [1.0, 0.0], "b": [0.0, 0.0, 0.0], "c": [], "d": [], "e": [1.0]}

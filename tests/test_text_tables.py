@@ -109,3 +109,64 @@ def test_instances(spark, wanted, expected):
     ids = spark.createDataFrame([("django__django-1",), ("sympy__sympy-2",)], "instance_id string")
     assert keyed.instance_ids(ids, wanted).count() == expected
     assert keyed.instance_ids(ids, wanted, ids.where(F.lit(True))).count() == 0
+
+
+def test_printed_parameters(spark):
+    df = spark.createDataFrame([('{"a": [1, true, null, "x"]}',), ("oops",), (None,)], "v string")
+    assert [r[0] for r in df.select(values.printed(F.col("v"))).collect()] == ["{'a': [1, True, None, 'x']}\n", None, None]
+
+
+def test_inspections_with_a_missing_side(spark):
+    rows = [("i", "buggy", ["e"], ["1"]), ("i", "patched", ["e"], ["2"]), ("j", "buggy", ["e"], ["1"]), ("k", "patched", ["e"], ["1"])]
+    df = spark.createDataFrame(rows, "instance_id string, side string, expr array<string>, value array<string>").withColumn("exception", F.lit(None).cast("array<string>"))
+    got = {r["instance_id"]: (r["buggy_value"], r["patched_value"]) for r in keyed.inspection_pairs(df, ["instance_id"]).collect()}
+    assert got == {"i": (["1"], ["2"]), "j": (None, None), "k": (None, None)}
+
+
+def test_trace_pair_with_patch_lines(spark):
+    events = spark.createDataFrame([("m", "i", 0, "buggy", "f.py", 1), ("m", "i", 0, "patched", "f.py", 2), ("m", "i", 0, "patched", "g.py", 3), ("m", "j", 0, "buggy", "f.py", 4)], "agent string, instance_id string, test_id int, side string, filepath string, line_number int")
+    lines = spark.createDataFrame([("m", "i", "removed", "f.py", 9), ("m", "i", "added", "f.py", 8), ("m", "i", "added", "f.py", 7), ("m", "j", "added", "f.py", 1)], "agent string, instance_id string, side string, path string, line int")
+    got = {r["line_number"]: r["patch_lines"] for r in keyed.trace_pair(events, "m", "i", lines=lines).collect()}
+    assert got == {1: [9], 2: [7, 8], 3: []}
+    assert keyed.trace_pair(events, "m", "i").columns == events.columns
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{k}", k) for k in range(20)], "instance_id string, n int")
+    seen, path = [], str(tmp_path / "out")
+
+    def work(df, fail_after):
+        seen.append(df.count())
+        if len(seen) > fail_after:
+            raise RuntimeError("stopped")
+        return df
+
+    with pytest.raises(RuntimeError):
+        sinks.append_by_batches(rows, lambda df: work(df, 2), ["instance_id"], path, batches=4)
+    done = sum(seen[:2])
+    seen.clear()
+    sinks.append_by_batches(rows, lambda df: work(df, 99), ["instance_id"], path, batches=4)
+    assert sum(seen) == 20 - done
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == sorted((f"i{k}", k) for k in range(20))
+
+
+def test_gold_apart_and_sorted_files(spark, tmp_path):
+    rows = spark.createDataFrame([("gold", "b"), ("m", "c"), ("m", "a")], "agent string, instance_id string")
+    sinks.write_gold_apart(rows, str(tmp_path / "rest"), str(tmp_path / "gold"))
+    assert [r["instance_id"] for r in spark.read.parquet(str(tmp_path / "gold")).collect()] == ["b"]
+    assert spark.read.parquet(str(tmp_path / "rest")).where("agent = 'gold'").count() == 0
+    sinks.write_sorted(rows, str(tmp_path / "sorted"), "instance_id")
+    files = sorted((tmp_path / "sorted").glob("part-*"))
+    assert [json.loads(x)["instance_id"] for f in files for x in f.read_text().splitlines()] == ["a", "b", "c"]
+
+
+def test_error_reports(spark):
+    def infos(text):
+        return spark.createDataFrame([(text,)], "v string").select(outcomes.error_infos(F.col("v"))).first()[0]
+
+    assert infos(None) is None
+    assert infos('{"info_list": []}') == []
+    assert [tuple(x) for x in infos('{"info_list": [{"lineno": 3, "exception_type": "KeyError"}]}')] == [(3, "KeyError")]
+    for wrong in ('{"info_list": [{"lineno": 3}]}', "{}", "nope"):
+        with pytest.raises(Exception):  # noqa: B017
+            infos(wrong)

@@ -59,3 +59,44 @@ def test_structural_filters(spark):
     assert [r["path"] for r in left.collect()] == ["root['seen_variables']['n']"]
     assert d.where(structdiff.shallow(1)).count() == 3
     assert d.where(structdiff.shallow(0)).count() == 0
+
+
+def test_ranges_of_any_width_and_repeated_points(spark):
+    import random
+
+    rng = random.Random(3)
+    ranges = [("a", s, s + rng.choice([0, 1, 2, 3, 7, 8, 9, 100, 10**6, -1]), k) for k, s in enumerate(rng.randint(-5000, 5000) for _ in range(80))] + [("a", -(2**61), 2**61, 80)]
+    points = [("a", rng.randint(-6000, 6000), {"k": k}) for k in range(150)] * 2 + [("b", 1, None), ("a", None, None)]
+    got = traces.innermost(spark.createDataFrame(points, "path string, line bigint, extra map<string, int>"), spark.createDataFrame(ranges, "path string, s bigint, e bigint, q int"), ["path"], "line", "s", "e", ["q"])
+
+    def start(at):
+        return max(r[1] for r in ranges if r[1] <= at <= r[2])
+
+    rows = got.collect()
+    assert sorted((r["line"], r["extra"]["k"]) for r in rows) == sorted((at, x["k"]) for p, at, x in points[:300])
+    assert all(ranges[r["q"]][1] == start(r["line"]) for r in rows)
+
+
+def test_a_parameter_that_differs_sends_the_walk_back(spark):
+    def side(name, given, seen):
+        rows = trace(name, seen)
+        at = NAMES.index("parameters")
+        return [(*r[:at], given, *r[at + 1 :]) if r[NAMES.index("function_name")] == "f" and r[NAMES.index("event_type")] == "Line" else r for r in rows]
+
+    def found(*rows):
+        return divergence.first_divergence(spark.createDataFrame([x for r in rows for x in r], EVENTS).withColumn("excluded", F.lit(False))).first()
+
+    near = found(side("buggy", '{"v": 1.000001}', '{"v": 1.0}'), side("patched", '{"v": 2}', '{"v": 2.0}'))
+    assert near["buggy_event_id"] != 3  # equal to five decimals: the caller handed it over
+    one_sided = found(side("buggy", "{}", "{}"), side("patched", '{"v": 2}', '{"v": 2}'))
+    assert one_sided["buggy_event_id"] != 3
+    changed = found(side("buggy", '{"v": 1}', '{"v": 5}'), side("patched", '{"v": 2}', '{"v": 2}'))
+    assert (changed["buggy_event_id"], changed["diff_path"]) == (3, "root['seen_variables']['v']")
+
+
+def test_keep_entries(spark):
+    rows = [("values_changed", "root['a']", "1", "2"), ("type_changes", "root['b']", "1", "null"), ("values_changed", None, "1", "2")]
+    d = spark.createDataFrame(rows, "kind string, path string, old_value string, new_value string")
+    left = structdiff.keep_entries(d, lambda kind, path, old, new: (kind == "type_changes") | (new == "2"))
+    assert [r["path"] for r in left.orderBy("path").collect()] == ["root['a']", "root['b']"]
+    assert structdiff.keep_entries(d, lambda kind, path, old, new: F.lit(None).cast("boolean")).count() == 0

@@ -172,6 +172,16 @@ def simplified(value: Column, depth: int) -> Column:
     return run(value)
 
 
+def printed(value: Column) -> Column:
+    """Serialised value as Python prints it, with the line end. Null for what isn't JSON."""
+
+    @pandas_udf("string")
+    def run(text: pd.Series) -> pd.Series:
+        return _mapped(lambda t: f"{parse(t)}\n", text)
+
+    return run(value)
+
+
 def sanitised(value: Column) -> Column:
     """Serialised value whose infinite numbers and, then, wide whole numbers are text."""
 

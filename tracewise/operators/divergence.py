@@ -120,16 +120,23 @@ def state_diff(a: dict, b: dict, repo: str, limit: int | None) -> tuple[str, str
     return min(kept)[2:0:-1] if kept else None
 
 
-def _from_caller(a: dict, b: dict, paths: str) -> bool:
-    """Whether a differing variable is a parameter that still has its value on both sides, so the difference came in with the call."""
+def _variables(row: dict, key: str) -> dict:
+    found = values.parse(row.get(key) or "{}")
+    return found if isinstance(found, dict) else {}
+
+
+def _equal(a, b, digits: int = 5) -> bool:
+    return next(values.difference(values.rounded(a, digits), values.rounded(b, digits)), None) is None
+
+
+def _from_caller(a: dict, b: dict, path: str) -> bool:
+    """Whether the differing variable is a parameter of either side and still has its value on both, so the difference came in with the call. A value that is missing is None."""
     from re import findall
 
-    name = (findall(r"\['(.*?)'\]", paths) + ["", ""])[1]
-    for row in (a, b):
-        given, seen = (values.parse(row.get(k) or "{}") or {} for k in ("parameters", "seen_variables"))
-        if not isinstance(given, dict) or name not in given or values.dump(given[name]) != values.dump((seen or {}).get(name)):
-            return False
-    return True
+    name = (findall(r"\['(.*?)'\]", path) + ["", ""])[1]
+    given = [_variables(row, "parameters") for row in (a, b)]
+    seen = [_variables(row, "seen_variables") for row in (a, b)]
+    return any(name in g for g in given) and all(_equal(s.get(name), g.get(name)) for s, g in zip(seen, given, strict=True))
 
 
 def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: int, matches: Callable[[dict, dict], bool] = same_place) -> tuple | None:
@@ -149,7 +156,7 @@ def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: i
                 started = started or p.patched or q.patched or p.name in WRAPPERS
                 if p.name in RANDOM or p.name in WRAPPERS:
                     continue
-                if (p.patched or q.patched) and not p.raised and not q.raised and x.depth > 1:
+                if p.patched and not p.raised and not q.raised and x.depth > 1:
                     continue
                 x, y = p, q
                 continue

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewise.functions.scores import reproduction
 from tracewise.functions.text import last_match, numbered_lines
 from tracewise.operators.selection import expanded, sorted_letter
+from tracewise.schemas import ERROR_INFO
 
 # How a failing line and an exception show in a run's output, and the two fixed options.
 FAILING_LINE = r'File "/testbed/reproducer\.py", line (\d+)'
@@ -30,6 +31,18 @@ def exception_name(output: Column, code: Column) -> Column:
     return F.when(code != 0, F.when(F.coalesce(name, F.lit("")) != "", name).when(known, "Exception").otherwise("Timeout"))
 
 
+def error_infos(text: Column) -> Column:
+    """Lines and exceptions of an error report; an error if it isn't one, or lacks a field. Null stays null."""
+
+    def whole(info: Column) -> Column:
+        found = info["info_list"]
+        lacking = found.isNull() | F.exists(found, lambda x: x.isNull() | x["lineno"].isNull() | x["exception_type"].isNull())
+        wrong = F.raise_error(F.lit("error report lacks a field")).cast("array<struct<lineno: int, exception_type: string>>")
+        return F.when(F.coalesce(lacking, F.lit(False)), wrong).otherwise(found)
+
+    return F.when(text.isNotNull(), whole(F.from_json(text, ERROR_INFO, {"mode": "FAILFAST"})))
+
+
 def option(line: Column, name: Column) -> Column:
     return F.when(line.isNull(), F.lit(PASSED)).otherwise(F.concat(F.lit("The test failed at line "), line, F.lit(" with exception: "), name, F.lit(".")))
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import signal
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from tracewise.functions.scores import SCORES, choice_score
 from tracewise.functions.text import priced, token_count
@@ -40,12 +46,16 @@ def score_trials(predictions: DataFrame, truths: DataFrame, on: list[str], task:
     return joined.select(*on, "trial", SCORES[task](F.col("answer"), F.col("truth")).alias("score"))
 
 
-def statistics(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean over trials of the trial means, and their standard error (null for one trial)."""
+def statistics(scores: DataFrame, by: list[str] | None = None, strict: bool = False) -> DataFrame:
+    """Mean over trials of the trial means, and their standard error (null for one trial). With strict, trials of different length are an error."""
     by = by or []
     means = scores.groupBy(*by, "trial").agg(F.avg("score").alias("m"), F.count("*").alias("n"))
     out = means.groupBy(*by).agg(F.avg("m").alias("mean"), (F.stddev_samp("m") / F.sqrt(F.count("*").cast("double"))).alias("sem"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return out.where(F.col("least").isNotNull()).select(*by, "mean", "sem", (F.col("least") != F.col("most")).alias("ragged"))
+    ragged = F.col("least") != F.col("most")
+    if strict:
+        error = F.raise_error(F.lit("trials of different length")).cast("double")
+        out = out.withColumns({c: F.when(ragged, error).otherwise(F.col(c)) for c in ("mean", "sem")})
+    return out.where(F.col("least").isNotNull()).select(*by, "mean", "sem", ragged.alias("ragged"))
 
 
 def usage(tokens: DataFrame, prices: DataFrame) -> DataFrame:
@@ -57,9 +67,41 @@ def usage(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.join(prices, "model", "left").select("model", *kinds, cost.alias("cost"), F.coalesce(priced(cost), counters).alias("display"))
 
 
-def guarded(score: Column) -> Column:
-    """A score that is 0 where it can't be computed."""
-    return F.coalesce(score, F.lit(0.0))
+def time_limited(scorer: Callable[[list, object], list[float]], predictions: Column, truth: Column, seconds: float = 30.0) -> Column:
+    """Scores of a row's predictions by a scorer written in Python; zeros for all of them where it takes longer than the limit.
+
+    For scorers that built-in functions can't express. A worker scores in its main thread, so
+    an alarm can stop it there; other errors fail the task.
+    """
+
+    @pandas_udf("array<double>")
+    def run(predicted: pd.Series, truths: pd.Series) -> pd.Series:
+        def late(signum, frame):
+            raise TimeoutError
+
+        before = signal.signal(signal.SIGALRM, late)
+        out = []
+        try:
+            for answers, t in zip(predicted, truths, strict=True):
+                answers = [] if answers is None else _plain(answers)
+                signal.setitimer(signal.ITIMER_REAL, seconds)
+                try:
+                    scores = [float(s) for s in scorer(answers, _plain(t))]
+                except TimeoutError:
+                    scores = [0.0] * len(answers)
+                finally:
+                    signal.setitimer(signal.ITIMER_REAL, 0)
+                out.append(scores)
+        finally:
+            signal.signal(signal.SIGALRM, before)
+        return pd.Series(out, dtype=object)
+
+    return run(predictions, truth)
+
+
+def _plain(value):
+    """Lists for the arrays that a batch holds."""
+    return [_plain(x) for x in value] if isinstance(value, np.ndarray | list) else value
 
 
 def set_scores(predicted: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:

@@ -112,7 +112,3 @@ def expanded(seed: Column, extra: Column, unknown: str, k: int = 4) -> Column:
     """Seed options and new extra ones, the first k of them, and a sentinel; null if there are fewer than k."""
     joined = F.concat(seed, F.array_except(extra, seed))
     return F.when(F.size(F.array_union(seed, extra)) >= k, F.concat(F.slice(joined, 1, k), F.array(F.lit(unknown))))
-
-
-def pairs_similarity(left: Column, right: Column) -> Column:
-    return similarity(left, right)

@@ -17,6 +17,11 @@ def diffs(pairs: DataFrame, old: str, new: str, keep: list[str], digits: int = 3
     return pairs.select(*keep, F.explode(diff_entries(F.col(old), F.col(new), digits=digits)).alias("d")).select(*keep, "d.*")
 
 
+def keep_entries(df: DataFrame, keep: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
+    """Entries for which keep(kind, path, old_value, new_value) is true. Entries without a path belong to kinds that hold no entries, and go."""
+    return df.where(F.col("path").isNotNull() & F.coalesce(keep(*(F.col(c) for c in ("kind", "path", "old_value", "new_value"))), F.lit(False)))
+
+
 def _keys() -> Column:
     return paths.keys(F.col("path"))
 

@@ -103,12 +103,25 @@ def functions_by_target(stacks: DataFrame, targets: DataFrame, on: list[str]) ->
     return names.groupBy(*on).agg(F.array_sort(F.collect_set("name")).alias("functions"))
 
 
-def innermost(points: DataFrame, ranges: DataFrame, on: list[str], at: str, start: str, end: str, keep: list[str], bucket: int = 1024) -> DataFrame:
-    """The range with the largest start that holds each point. Ranges meet points by buckets of the axis, so no pair outside a bucket is formed."""
-    spans = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    joined = points.withColumn("_b", F.floor(F.col(at) / bucket)).join(spans, [*on, "_b"]).where((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
-    best = F.max_by(F.struct(*keep), F.struct(F.col(start), -F.col(end)))
-    return joined.groupBy(*points.columns).agg(best.alias("_r")).select(*points.columns, "_r.*")
+def innermost(points: DataFrame, ranges: DataFrame, on: list[str], at: str, start: str, end: str, keep: list[str]) -> DataFrame:
+    """The range with the largest start that holds each point; points in no range go.
+
+    Ranges meet points by buckets of the axis, no pair outside a bucket is formed. A range
+    lies in buckets of the first power of two that isn't below its length, so in two of them
+    at most; a point is looked up once for each power that occurs among the ranges of its
+    keys. Repeated points are looked up once and all returned; ranges that hold nothing go.
+    """
+    widths = ranges.where(F.col(start) <= F.col(end)).withColumn("_k", F.length(F.bin(F.col(end) - F.col(start))))
+
+    def bucket(x: str) -> Column:
+        return F.call_function("shiftright", F.col(x).cast("bigint"), F.col("_k"))
+
+    spans = widths.withColumn("_b", F.explode(F.array_distinct(F.array(bucket(start), bucket(end))))).select(*on, "_k", "_b", *{start, end, *keep} - set(on))
+    powers = widths.groupBy(*on).agg(F.collect_set("_k").alias("_k"))  # 64 at most
+    asked = points.select(*on, at).distinct().join(powers, on).withColumn("_k", F.explode("_k"))
+    met = asked.withColumn("_b", bucket(at)).join(spans, [*on, "_k", "_b"]).where((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
+    found = met.groupBy(*on, at).agg(F.max_by(F.struct(*keep), F.struct(F.col(start), -F.col(end))).alias("_r"))
+    return points.join(found, [*on, at]).select(*points.columns, "_r.*")
 
 
 def first_difference(a: DataFrame, b: DataFrame, key: list[str], order: str, compared: list[str]) -> DataFrame:

@@ -86,7 +86,7 @@ def generate(asked: DataFrame, provider: Provider, model: str, on: list[str], n:
 def evaluate(task: Task, predictions: DataFrame, truths: DataFrame, on: list[str], by: list[str] | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Scores of every trial, and their statistics."""
     found = scoring.score_trials(scoring.trials(predictions), truths, on, task.score, strict)
-    return found, scoring.statistics(found, by)
+    return found, scoring.statistics(found, by, strict)
 
 
 def build_questions(validated: DataFrame, agents: str = "agent", instance: str = "instance_id", effect: bool = True, seed: int = 42) -> DataFrame:

@@ -11,6 +11,7 @@ ALLOWED = "map<string, map<string, array<string>>>"
 
 STACKS = "target string, stack array<array<string>>"
 PBT = "instance_id string, pbt string"
+ERROR_INFO = "struct<info_list: array<struct<lineno: int, exception_type: string>>>"
 
 EVENTS = (
     "agent string, instance_id string, test_id int, side string, event_id bigint, event_type string, filepath string, "

@@ -81,15 +81,22 @@ def empty_traces(events: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(events.select(*schemas.TRACE_KEY).distinct(), schemas.TRACE_KEY, "left_anti")
 
 
-def trace_pair(events: DataFrame, agent: str, instance_id: str, test_id: int = 0) -> DataFrame:
-    return events.where((F.col("agent") == agent) & (F.col("instance_id") == instance_id) & (F.col("test_id") == test_id))
+def trace_pair(events: DataFrame, agent: str, instance_id: str, test_id: int = 0, lines: DataFrame | None = None) -> DataFrame:
+    """Both sides' events of a test. lines (agent, instance_id, PATCH_LINES) adds patch_lines, the lines of the event's file that the patch removed (buggy side) or added (patched side)."""
+    one = (F.col("agent") == agent) & (F.col("instance_id") == instance_id)
+    pair = events.where(one & (F.col("test_id") == test_id))
+    if lines is None:
+        return pair
+    touched = lines.where(one).groupBy(F.when(F.col("side") == "removed", "buggy").otherwise("patched").alias("side"), F.col("path").alias("filepath")).agg(F.array_sort(F.collect_set("line")).alias("patch_lines"))
+    return pair.join(touched, ["side", "filepath"], "left").select(*events.columns, F.coalesce("patch_lines", F.array().cast("array<int>")).alias("patch_lines"))
 
 
 def inspection_pairs(inspections: DataFrame, on: list[str]) -> DataFrame:
-    """Inspections that have both sides, side by side."""
+    """Inspections side by side. Where one side is missing, all values are null, of the other side too."""
     values = ["expr", "value", "exception"]
-    a, b = (inspections.where(F.col("side") == s).select(*on, *(F.col(c).alias(f"{s}_{c}") for c in values)) for s in ("buggy", "patched"))
-    return a.join(b, on)
+    a, b = (inspections.where(F.col("side") == s).select(*on, *(F.col(c).alias(f"{s}_{c}") for c in values), F.lit(True).alias(f"_{s}")) for s in ("buggy", "patched"))
+    both = F.col("_buggy") & F.col("_patched")
+    return a.join(b, on, "full").select(*on, *(F.when(both, F.col(f"{s}_{c}")).alias(f"{s}_{c}") for s in ("buggy", "patched") for c in values))
 
 
 def instance_ids(instances: DataFrame, wanted: str | list[str], exclusions: DataFrame | None = None) -> DataFrame:

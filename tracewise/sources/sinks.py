@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,31 @@ def append_new(rows: DataFrame, existing: DataFrame | None, on: list[str], path:
     (only_new(rows, existing, on) if existing is not None else rows).write.mode("append").parquet(path)
 
 
+def append_by_batches(pending: DataFrame, work: Callable[[DataFrame], DataFrame], on: list[str], path: str, batches: int = 16) -> None:
+    """Append work(rows) batch by batch, so that a run that failed goes on where it stopped: keys that path has aren't worked on again.
+
+    Keys are dealt to batches by hash. A batch is one write, which shows in whole or not at all.
+    """
+    spark = pending.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for k in range(batches):
+        rows = pending.where(F.pmod(F.xxhash64(*on), F.lit(batches)) == k)
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        append_new(work(only_new(rows, spark.read.parquet(path), on) if there else rows), None, on, path)
+
+
+def write_sorted(rows: DataFrame, path: str, *keys: str) -> None:
+    """JSON lines in the order of keys, within files and from file to file."""
+    rows.orderBy(*keys).write.mode("overwrite").json(path)
+
+
+def write_gold_apart(rows: DataFrame, path: str, gold_path: str) -> None:
+    """Rows of gold in a place of their own, the others without them."""
+    gold = F.col("agent").eqNullSafe(F.lit("gold"))
+    rows.where(gold).write.mode("overwrite").parquet(gold_path)
+    rows.where(~gold).write.mode("overwrite").parquet(path)
+
+
 def write_by_agent(rows: DataFrame, path: str) -> None:
     """One folder per agent; gold is one of them."""
     rows.write.mode("overwrite").partitionBy("agent").parquet(path)
