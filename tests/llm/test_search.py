@@ -1,16 +1,20 @@
 """Operators that index words, against brute force: benchmark decontamination and ranked search."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tracewise.llm import decontamination
+from tracewise.llm import decontamination, ranking
 from tracewise.llm.fmindex import FMIndex, suffix_order
+from tracewise.llm.shared import store
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -106,3 +110,76 @@ def test_empty_tables_and_benchmarks(spark, make):
     got = decontamination.digests(decontamination.find(make([(1, "a b")]), none)).collect()
     assert [(r["n_words"], r["n_hit"], r["contaminated"]) for r in got] == [(2, 0, False)]
     assert decontamination.find(make([]), none).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.dictionaries(st.integers(0, 30), st.integers(1, 5), min_size=1), min_size=1, max_size=4))
+def test_treaps_are_ordered_by_document_and_by_impact(terms):
+    rows = [sorted(t.items()) for t in terms]
+    treaps = ranking.Treaps(np.array([len(r) for r in rows]), np.array([d for r in rows for d, _ in r]), np.array([v for r in rows for _, v in r]))
+    for root, own in zip(treaps.roots.tolist(), rows, strict=True):
+        seen = []
+
+        def walk(k, most, seen=seen):
+            if k >= 0:
+                assert treaps.impact[k] <= most
+                walk(int(treaps.left[k]), treaps.impact[k])
+                seen.append((int(treaps.doc[k]), int(treaps.impact[k])))
+                walk(int(treaps.right[k]), treaps.impact[k])
+
+        walk(root, 99)
+        assert seen == own
+
+
+def ranked(docs, items, top=10):
+    tf = [(k, doc, Counter(plain(text))) for k, (doc, text) in enumerate(docs)]
+    tf = [x for x in tf if x[2]]
+    n_docs, n_words = len(tf), sum(sum(c.values()) for *_, c in tf)
+    df = Counter(t for *_, c in tf for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for _, doc, c in tf:
+            m = 25 + 75 * sum(c.values()) * n_docs // n_words
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in plain(text) if c[t])
+            scores += [(-score, doc is None, doc or 0)] if score > 0 else []
+        out += [(item, rank, None if none else doc, -s) for rank, (s, none, doc) in enumerate(sorted(scores)[:top], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SHARD": 300}, {"BLOCK": 150}])
+def test_ranks_are_those_of_brute_force(spark, make, corpus, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(ranking, k, v)
+    docs, items = corpus
+    docs = docs + [(k, docs[k - 300][1]) for k in range(300, 312)]  # ties beyond the limit
+    items = [(i, t) for i, t in items if i] + [items[0], (None, "zz E7"), ("none", "nowhere")]
+    got = [tuple(r) for r in ranking.search(make(docs).repartition(3), spark.createDataFrame(items, "item_id string, text string")).collect()]
+    assert sorted(got, key=str) == ranked(docs, items)
+
+
+def test_an_index_of_all_terms_gives_the_same(spark, make, corpus):
+    docs, items = corpus
+    bench = spark.createDataFrame(items[:9], "item_id string, text string")
+    everything = store(ranking.index(make(docs)), "all-terms")
+    words = {w for _, t in docs for w in plain(t)}
+    assert {r[0] for r in everything.select(F.explode("terms")).collect()} == words
+    got = [tuple(r) for r in ranking.search(make(docs), bench, top=3, indexed=everything).collect()]
+    assert sorted(got, key=str) == ranked(docs, items[:9], 3)
+
+
+def test_subtrees_are_pruned():
+    rng = np.random.default_rng(2)
+    impacts = rng.integers(1, 1000, 4000) ** 2
+    treaps = ranking.Treaps(np.array([2000, 2000]), np.tile(np.arange(2000), 2), impacts)
+    best = ranking.Best(1, 10)
+    scored = ranking.traverse(treaps, np.arange(2000), np.zeros(2, np.int64), treaps.roots, np.array([1, 2]), best)
+    want = impacts[:2000] + 2 * impacts[2000:]
+    assert best.score[0].tolist() == sorted(want.tolist(), reverse=True)[:10] and 10 <= scored < 400
+
+
+def test_ranking_empty_tables(spark, make):
+    none = spark.createDataFrame([], "item_id string, text string")
+    assert ranking.search(make([(1, "a b")]), none).collect() == []
+    assert ranking.search(make([]), spark.createDataFrame([("q", "a")], "item_id string, text string")).collect() == []
+    assert ranking.search(make([(1, None), (2, "--")]), spark.createDataFrame([("q", "a")], "item_id string, text string")).collect() == []

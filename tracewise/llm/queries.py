@@ -88,6 +88,12 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digests(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewise.llm.ranking import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encode_decode": op1_bpe_encode_decode,
     "op2_line_dedup": op2_line_dedup,
@@ -100,6 +106,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
-SQL: dict[str, str] = {}
+#: Words of a text: A-Z as a-z, then runs of letters, digits and characters beyond ASCII.
+_PLAIN = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL: dict[str, str] = {
+    "op11_benchmark_decontamination": f"""
+with d as (select doc_id, coalesce({_PLAIN}, []) as w from documents),
+i as (select cast(item_id as varchar) as item_id, {_PLAIN} as w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[k : k + 9], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from i where len(w) > 0)),
+sizes as (select distinct n from windows),
+grams as (select doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes)),
+found as (select doc_id, k, n, item_id from grams join windows using (n, g)),
+hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(k, k + n)) as place from (select distinct doc_id, k, n from found)) group by doc_id),
+own as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from found) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (doc_id) left join own using (doc_id)""",
+    "op13_ranked_lexical_search": f"""
+with d as (select doc_id, unnest({_PLAIN}) as term from documents),
+tf as (select doc_id, term, count(*) as tf from d group by all),
+lengths as (select doc_id, sum(tf)::bigint as n from tf group by doc_id),
+total as (select count(*) as docs, sum(n)::bigint as words from lengths),
+weights as (select term, cast(floor(1000 * ln((2.0::double * docs + 2) / (2.0::double * count(*) + 1))) as bigint) as w from tf, total group by term, docs),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_PLAIN}) as term from benchmark) group by all),
+scored as (
+  select item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) as bigint) as score
+  from q join weights using (term) join tf using (term) join lengths using (doc_id), total group by item_id, doc_id),
+ranked as (select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10""",
+}
