@@ -88,6 +88,12 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return digests(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewise.llm.collocations import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewise.llm.ranking import search
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_columns": op9_media_columns,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
 
@@ -126,6 +133,26 @@ hit as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnes
 own as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items from (select distinct doc_id, item_id from found) group by doc_id)
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
 from d left join hit using (doc_id) left join own using (doc_id)""",
+    "op12_phrase_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+total as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+grams as (select lang, size, array_to_string(w[k : k + size - 1], ' ') as phrase
+  from (select lang, w, size, unnest(range(1, len(w) - size + 2)) as k from w, (values (1), (2), (3)) as s(size))),
+f as (select lang, size, phrase, count(*) as n from grams group by all having count(*) >= 10),
+own as (select lang, phrase, size, n as a, string_split(phrase, ' ') as w from f where size > 1),
+cut as (select lang, phrase, size, a, w, unnest(range(1, size)) as k from own),
+cuts as (
+  select c.lang, c.phrase, c.a, c.k, x.n as l, y.n as r, (1000000::hugeint * c.a * c.a) // (x.n::hugeint * y.n) as score
+  from cut c join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 : c.size], ' ')),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (select lang, phrase, max(a) as a from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from own where size = 3) group by all),
+kept as (select w.* from worst w left join longer x using (lang, phrase) where x.a is null or 100 * x.a < 50 * w.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score from ranked join total using (lang) where rank <= 2000""",
     "op13_ranked_lexical_search": f"""
 with d as (select doc_id, unnest({_PLAIN}) as term from documents),
 tf as (select doc_id, term, count(*) as tf from d group by all),
