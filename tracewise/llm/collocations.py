@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import store
+from tracewise.llm.shared import shuffles_dropped, store
 from tracewise.llm.shingles import mix
 from tracewise.llm.terms import parts
 
@@ -145,7 +145,9 @@ def sketch(texts: DataFrame, size: int, bits: list[np.ndarray], most: int, least
     sparse = texts.mapInArrow(run, "row int, slice int, cells binary, n binary")
     merged = sparse.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, bits binary")
     out = np.zeros((2, most // 8), np.uint8)
-    for r in merged.toArrow().to_pylist():  # at most 2 x most / 8 bytes
+    with shuffles_dropped(texts.sparkSession):
+        found = merged.toArrow()  # at most 2 x most / 8 bytes
+    for r in found.to_pylist():
         at = r["slice"] * (SLICE // 8)
         out[r["row"], at : at + SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
     return out

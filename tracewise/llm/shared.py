@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,21 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+#: Setting by which Spark removes an action's shuffle files when the action ends, not when the driver's garbage goes.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """For actions whose plan isn't run again: their shuffle files go with them."""
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts the lineage.
 
@@ -34,10 +50,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     _written.append(path)
-    # Spark removes a finished job's shuffle files once the driver has collected its plan as garbage
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
