@@ -100,9 +100,13 @@ def reproduction(before_code: Column, after_code: Column) -> Column:
     )
 
 
+# Fixed value: where a divergence shows that is a return or an exception.
+AT_RETURN = "The return statement in the provided function"
+
+
 def location(event_type: Column, statement: Column) -> Column:
     """Where a divergence shows: a sentence for returns and exceptions, else the statement."""
-    return F.when(event_type.isin("Return", "Exception"), "The return statement in the provided function").otherwise(statement)
+    return F.when(event_type.isin("Return", "Exception"), AT_RETURN).otherwise(statement)
 
 
 def moment(before_type: Column, after_type: Column) -> Column:

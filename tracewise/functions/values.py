@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,13 +46,12 @@ def kind_of(v) -> str:
     return {dict: "dict", list: "list", str: "str", bool: "bool", int: "int", float: "float", type(None): "NoneType"}[type(v)]
 
 
-def rounded(v, digits: int, unordered: frozenset[str] = frozenset(), field: str = ""):
-    """v with numbers rounded, keys sorted, and the sequences of unordered fields sorted."""
+def rounded(v, digits: int):
+    """v with numbers rounded and keys sorted."""
     if isinstance(v, dict):
-        return {k: rounded(v[k], digits, unordered, k) for k in sorted(v)}
+        return {k: rounded(v[k], digits) for k in sorted(v)}
     if isinstance(v, list):
-        items = [rounded(x, digits, unordered) for x in v]
-        return sorted(items, key=lambda x: json.dumps(x, sort_keys=True)) if field in unordered else items
+        return [rounded(x, digits) for x in v]
     return round(v, digits) + 0.0 if isinstance(v, float) else v
 
 
@@ -71,31 +71,65 @@ def flat(v, path: str = "root") -> Iterator[tuple[str, object]]:
         yield path, v
 
 
-def difference(a, b, path: str = "root") -> Iterator[tuple[str, str, object, object]]:
-    """(kind, path, old, new) of two canonical values, topmost differences only."""
-    if type(a) is not type(b) and not (isinstance(a, int | float) and isinstance(b, int | float) and not isinstance(a, bool) and not isinstance(b, bool)):
+def difference(a, b, path: str = "root", unordered: frozenset[str] = frozenset(), field: str = "") -> Iterator[tuple[str, str, object, object]]:
+    """(kind, path, old, new) of two canonical values, topmost differences only.
+
+    Types are those of JSON: a whole number and a decimal one differ in type. Lists of plain
+    values are aligned by their longest matching blocks, so that an insertion is one added
+    item; they are compared place by place where that gives no more differences, and so are
+    lists that hold containers. The lists of unordered fields, nested ones included, are sets:
+    items without an equal one are removed or added, at their place in their list.
+    """
+    if type(a) is not type(b):
         yield "type_changes", path, a, b
     elif isinstance(a, dict):
         for k in a:
             if k in b:
-                yield from difference(a[k], b[k], f"{path}['{k}']")
+                yield from difference(a[k], b[k], f"{path}['{k}']", unordered, k)
             else:
                 yield "dictionary_item_removed", f"{path}['{k}']", a[k], None
         for k in b:
             if k not in a:
                 yield "dictionary_item_added", f"{path}['{k}']", None, b[k]
     elif isinstance(a, list):
-        for k in range(max(len(a), len(b))):
-            if k >= len(b):
-                yield "iterable_item_removed", f"{path}[{k}]", a[k], None
-            elif k >= len(a):
-                yield "iterable_item_added", f"{path}[{k}]", None, b[k]
-            else:
-                yield from difference(a[k], b[k], f"{path}[{k}]")
+        if field in unordered:
+            yield from _as_sets(a, b, path)
+            return
+        by_place = list(_paired(a, b, path, unordered, field))
+        plain = not any(isinstance(x, dict | list) for x in (*a, *b))
+        aligned = list(_aligned(a, b, path)) if plain and len(by_place) > 1 else by_place
+        yield from aligned if len(aligned) < len(by_place) else by_place
     elif a != b:
         yield "values_changed", path, a, b
 
 
+def _paired(a: list, b: list, path: str, unordered: frozenset[str] = frozenset(), field: str = "", i: int = 0, j: int = 0) -> Iterator[tuple]:
+    """Items with the same place, counted from i and j; then what one list has beyond the other."""
+    for k, (x, y) in enumerate(zip(a, b, strict=False)):
+        yield from difference(x, y, f"{path}[{i + k}]", unordered, field)
+    for k in range(len(b), len(a)):
+        yield "iterable_item_removed", f"{path}[{i + k}]", a[k], None
+    for k in range(len(a), len(b)):
+        yield "iterable_item_added", f"{path}[{j + k}]", None, b[k]
+
+
+def _aligned(a: list, b: list, path: str) -> Iterator[tuple]:
+    """Differences between the matching blocks of two lists of plain values."""
+    x, y = ([(kind_of(v), v) for v in items] for items in (a, b))
+    for kind, i, i_end, j, j_end in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
+        if kind != "equal":
+            yield from _paired(a[i:i_end], b[j:j_end], path, i=i, j=j)
+
+
+def _as_sets(a: list, b: list, path: str) -> Iterator[tuple]:
+    """Items of one list that the other lacks; repetitions don't count."""
+    x, y = ({dump(v): (k, v) for k, v in reversed([*enumerate(items)])} for items in (a, b))
+    for k, v in sorted((x[d] for d in x.keys() - y.keys()), key=lambda i: i[0]):
+        yield "iterable_item_removed", f"{path}[{k}]", v, None
+    for k, v in sorted((y[d] for d in y.keys() - x.keys()), key=lambda i: i[0]):
+        yield "iterable_item_added", f"{path}[{k}]", None, v
+
+
 def unordered_fields(repo: str) -> frozenset[str]:
     return frozenset(UNORDERED[""] + UNORDERED.get(repo, []))
 
@@ -109,6 +143,7 @@ def pruned(v, depth: int):
     return {k: pruned(x, depth - 1) for k, x in v.items()} if isinstance(v, dict) else [pruned(x, depth - 1) for x in v]
 
 
+# The names in stubs that stand for containers.
 def stub(v: dict | list) -> dict:
     """What stands for a container that is cut off: its class, with the names or the number of what it holds."""
     if isinstance(v, list):
@@ -152,7 +187,7 @@ def diff_entries(old: Column, new: Column, repo: Column | None = None, digits: i
         def one(x, y, name):
             try:
                 fields = unordered_fields(name or "")
-                found = difference(rounded(parse(x), digits, fields), rounded(parse(y), digits, fields))
+                found = difference(rounded(parse(x), digits), rounded(parse(y), digits), unordered=fields)
                 return [{"kind": k, "path": p, "old_value": None if "added" in k else dump(o), "new_value": None if "removed" in k else dump(n), "old_type": kind_of(o), "new_type": kind_of(n)} for k, p, o, n in found]
             except ValueError:
                 return []

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewise.functions import values
-from tracewise.functions.paths import CONTAINERS
+from tracewise.functions.paths import CONTAINERS, QUOTED, SEGMENT
+from tracewise.functions.scores import AT_RETURN
+from tracewise.operators.scoring import time_limit
 from tracewise.schemas import DIVERGENCE, PAIR_KEY
+from tracewise.sources.scratch import stored
+
 
 # Calls that are never entered because they draw at random, or because they only wrap another.
 RANDOM = [
@@ -43,6 +49,7 @@ class Block:
     parent: Block | None
     depth: int
     patched: bool = False
+    call: dict = field(default_factory=dict)
     raised: bool = False
     events: list[Event] = field(default_factory=list)
     callees: dict[int, Block] = field(default_factory=dict)
@@ -75,7 +82,7 @@ def tree(rows: list[dict]) -> tuple[Block | None, bool]:
         event = Event(r["event_id"], r["event_type"], r, bool(r["excluded"]))
         now.events.append(event)
         if event.type == "Function":
-            callee = Block(r["function_name"], now, now.depth + 1, r["function_name"] in patched)
+            callee = Block(r["function_name"], now, now.depth + 1, r["function_name"] in patched, call=r)
             now.callees[event.id] = callee
             if now is top and entry is None:
                 entry = callee
@@ -104,16 +111,13 @@ def _state(row: dict) -> dict:
 
 def state_diff(a: dict, b: dict, repo: str, limit: int | None) -> tuple[str, str] | None:
     """(kind, path) of a shallowest difference of two events' states."""
-    from re import findall
-
-    fields = values.unordered_fields(repo)
     try:
-        found = list(values.difference(values.rounded(_state(a), 3, fields), values.rounded(_state(b), 3, fields)))
+        found = list(values.difference(*(values.rounded(_state(x), 3) for x in (a, b)), unordered=values.unordered_fields(repo)))
     except ValueError:
         return None
 
     def depth(path: str) -> int:
-        segments = findall(r"\[(.*?)\]", path)
+        segments = re.findall(SEGMENT, path)
         return len(segments) - bool(segments and segments[0].strip("'\"") in CONTAINERS)
 
     kept = [(depth(p), p, k) for k, p, _, _ in found if limit is None or depth(p) <= limit]
@@ -125,22 +129,40 @@ def _variables(row: dict, key: str) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+def view(row: dict, path: str) -> dict:
+    """What of an event's state a difference shows: the differing variable on a line, else what the block returned or raised."""
+    if row["event_type"] == "Line":
+        name = variable_of(path)
+        seen = _variables(row, "seen_variables")
+        return {name: seen[name]} if name in seen else {}
+    returned, raised = values.parse(row.get("return_value") or "null"), row.get("exception_type")
+    out = {"__exception__": [raised, row.get("exception_value")], "__return__": returned}
+    if raised is not None and returned is None:
+        del out["__return__"]
+    elif raised is None:
+        del out["__exception__"]
+    return out
+
+
+def variable_of(path: str) -> str:
+    """The second quoted key of a path."""
+    names = re.findall(QUOTED, path)
+    return names[1] if len(names) > 1 else ""
+
+
 def _equal(a, b, digits: int = 5) -> bool:
     return next(values.difference(values.rounded(a, digits), values.rounded(b, digits)), None) is None
 
 
-def _from_caller(a: dict, b: dict, path: str) -> bool:
-    """Whether the differing variable is a parameter of either side and still has its value on both, so the difference came in with the call. A value that is missing is None."""
-    from re import findall
-
-    name = (findall(r"\['(.*?)'\]", path) + ["", ""])[1]
-    given = [_variables(row, "parameters") for row in (a, b)]
-    seen = [_variables(row, "seen_variables") for row in (a, b)]
-    return any(name in g for g in given) and all(_equal(s.get(name), g.get(name)) for s, g in zip(seen, given, strict=True))
+def _from_caller(views: list[dict], frames: list[dict]) -> bool:
+    """Whether variables that differ are parameters of either side's call and have the values that the call gave them, so the difference came in with it. A value that is missing is None."""
+    given = [_variables(f, "parameters") for f in frames]
+    names = (views[0].keys() | views[1].keys()) & (given[0].keys() | given[1].keys())
+    return bool(names) and all(_equal(v.get(n), g.get(n)) for n in names for v, g in zip(views, given, strict=True))
 
 
 def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: int, matches: Callable[[dict, dict], bool] = same_place) -> tuple | None:
-    """(buggy row, patched row, kind, path, seen_pmf) of the first divergence, or None."""
+    """(buggy row, patched row, kind, path, buggy call, seen_pmf) of the first divergence, or None. Parameters are those of the call that opened a block."""
     (x, px), (y, py) = tree(buggy), tree(patched)
     started = not (px and py)
     limit = limit if agent == "gold" else None
@@ -165,52 +187,66 @@ def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: i
             found = state_diff(a.row, b.row, repo, limit)
             if found is None:
                 continue
-            if a.type == b.type == "Line" and _from_caller(a.row, b.row, found[1]):
+            if a.type == b.type == "Line" and _from_caller([view(e.row, found[1]) for e in (a, b)], [x.call, y.call]):
                 x, y = (x.parent, y.parent) if x.parent and y.parent else (None, None)
                 continue
-            return a.row, b.row, *found, px or py
+            return a.row, b.row, *found, x.call, bool(px and py)
         started = True
         a, b = x.last_event(), y.last_event()
         found = state_diff(a.row, b.row, repo, limit) if a and b else None
         if found is not None:
-            return a.row, b.row, *found, px or py
+            return a.row, b.row, *found, x.call, bool(px and py)
         x, y = (x.parent, y.parent) if x.parent and y.parent else (None, None)
     return None
 
 
-def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place) -> DataFrame:
-    """Per (agent, instance, test) with both sides: the divergence, and a status of ok, empty or error.
+def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place, seconds: float = 600.0, longer: dict[str, float] | None = None, most_events: int = 5_000_000) -> DataFrame:
+    """Per (agent, instance, test) with both sides: the divergence, and a status.
 
-    events: EVENTS and excluded. One trace pair is a group; pairs, not traces, are what grows.
+    ok, empty, or error with its kind. A pair is walked in one task, apart from the others: one
+    that takes more than its seconds (longer: by instance) or has more than most_events is a row
+    with error: time or error: size, and an oversized one is never gathered. events: EVENTS and excluded.
     """
-    both = events.groupBy(*PAIR_KEY).agg(F.countDistinct("side").alias("n")).where("n = 2").select(*PAIR_KEY)
-    ready = events.join(both, PAIR_KEY, "left_semi")
+    side = F.col("side")
+    sizes = events.groupBy(*PAIR_KEY).agg(F.count("*").alias("_n"), F.bool_or(side == "buggy").alias("_a"), F.bool_or(side == "patched").alias("_b")).where("_a and _b")
+    fits = F.col("_n") <= most_events
+    ready = events.join(sizes.where(fits).select(*PAIR_KEY), PAIR_KEY, "left_semi")
     names = [c.split()[0] for c in DIVERGENCE.split(", ")]
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        agent, instance, test = key
-        out = dict.fromkeys(names)
+    longer = longer or {}
+
+    def walked(left: pa.Table, right: pa.Table, agent: str, instance: str) -> dict:
+        rows = [t.sort_by("event_id").to_pylist() for t in (left, right)]
+        found = walk(*rows, agent, str(instance).split("__")[0], limit, matches)
+        if not found:
+            return {"status": "empty"}
+        a, b, kind, path, call, pmf = found
+        ended = {"Return", "Exception"} & {a["event_type"], b["event_type"]}
+        return {
+            "status": "ok", "function_name": call.get("function_name") or "<module>", "file_path": b["filepath"], "buggy_event_id": a["event_id"], "patched_event_id": b["event_id"],
+            "buggy_event_type": a["event_type"], "patched_event_type": b["event_type"], "buggy_statement": a["statement"], "patched_statement": b["statement"],
+            "location": AT_RETURN if a["event_type"] in ("Return", "Exception") else a["statement"], "before_or_after": "after" if ended else "before",
+            "buggy_lineno": a["line_number"], "patched_lineno": b["line_number"], "buggy_function_param": call.get("parameters"), "diff_kind": kind, "diff_path": path,
+            "buggy_variables": values.dump(view(a, path)), "patched_variables": values.dump(view(b, path)), "seen_pmf": pmf,
+        }
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        key = dict(zip(PAIR_KEY, (k.as_py() for k in key), strict=True))
         try:
-            rows = [f.sort_values("event_id").astype(object).where(lambda d: d.notna(), None).to_dict("records") for f in (left, right)]
-            found = walk(*rows, agent, str(instance).split("__")[0], limit, matches)
-            out["status"] = "ok" if found else "empty"
-            if found:
-                a, b, kind, path, pmf = found
-                ended = {"Return", "Exception"} & {a["event_type"], b["event_type"]}
-                out |= {
-                    "function_name": a["function_name"], "file_path": a["filepath"], "buggy_event_id": a["event_id"], "patched_event_id": b["event_id"],
-                    "buggy_event_type": a["event_type"], "patched_event_type": b["event_type"], "buggy_statement": a["statement"], "patched_statement": b["statement"],
-                    "location": "The return statement in the provided function" if a["event_type"] in ("Return", "Exception") else a["statement"], "before_or_after": "after" if ended else "before",
-                    "buggy_lineno": a["line_number"], "patched_lineno": b["line_number"], "buggy_function_param": a["parameters"], "diff_kind": kind, "diff_path": path,
-                    "buggy_variables": a["seen_variables"], "patched_variables": b["seen_variables"], "seen_pmf": pmf,
-                }
-        except (ValueError, KeyError, TypeError) as e:
-            out["status"] = f"error: {type(e).__name__}"
-        return pd.DataFrame([dict(zip(PAIR_KEY, key, strict=True)) | out])
+            with time_limit(longer.get(key["instance_id"], seconds)):
+                out = walked(left, right, key["agent"], key["instance_id"])
+        except TimeoutError:
+            out = {"status": "error: time"}
+        except (ValueError, KeyError, TypeError, RecursionError, MemoryError) as e:
+            out = {"status": f"error: {type(e).__name__}"}
+        return pa.Table.from_pylist([key | dict.fromkeys(names) | out], schema=kinds)
 
     # renamed copies, as both sides come from one table
-    sides = [ready.where(F.col("side") == s).toDF(*ready.columns).select(*(F.col(c).alias(c) for c in ready.columns)).groupBy(*PAIR_KEY) for s in ("buggy", "patched")]
-    return sides[0].cogroup(sides[1]).applyInPandas(run, f"agent string, instance_id string, test_id int, {DIVERGENCE}")
+    sides = [ready.where(side == s).toDF(*ready.columns).select(*(F.col(c).alias(c) for c in ready.columns)).groupBy(*PAIR_KEY) for s in ("buggy", "patched")]
+    columns = f"agent string, instance_id string, test_id int, {DIVERGENCE}"
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    kinds = pa.schema([(c.split()[0], arrow[c.split()[1]]) for c in columns.split(", ")])
+    done = sides[0].cogroup(sides[1]).applyInArrow(run, columns)
+    return done.unionByName(sizes.where(~fits).select(*PAIR_KEY, F.lit("error: size").alias("status")), allowMissingColumns=True)
 
 
 def first_useful(found: DataFrame) -> DataFrame:
@@ -219,9 +255,49 @@ def first_useful(found: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def first_useful_in_waves(events: DataFrame, most_waves: int = 64, **how) -> DataFrame:
+    """first_useful(first_divergence(events)), test by test: each wave walks the next test of what has no divergence yet.
+
+    Later tests of solved instances aren't read where events are partitioned by the pair's key
+    on disk, and aren't shuffled elsewhere. A wave's rows are written to the shared folder. As an
+    error ends an instance's search only with its last test, so do all waves here. What is left
+    after most_waves goes in one last wave.
+    """
+    side = F.col("side")
+    both = events.groupBy(*PAIR_KEY).agg(F.bool_or(side == "buggy").alias("a"), F.bool_or(side == "patched").alias("b")).where("a and b")
+    turn = F.row_number().over(Window.partitionBy("agent", "instance_id").orderBy("test_id"))
+    tests = stored(both.select(*PAIR_KEY, turn.alias("_turn")), "tests")
+    done, open_ = [], tests.select("agent", "instance_id").distinct()
+    for wave in range(1, most_waves + 1):
+        turn_ = F.col("_turn") == wave if wave < most_waves else F.col("_turn") >= wave
+        asked = stored(tests.where(turn_).join(open_, ["agent", "instance_id"], "left_semi").select(*PAIR_KEY), "asked")
+        if asked.isEmpty():
+            break
+        found = stored(first_divergence(events.join(asked, PAIR_KEY, "left_semi"), **how), "wave")
+        done.append(found)
+        open_ = asked.select("agent", "instance_id").distinct().join(found.where("status = 'ok'"), ["agent", "instance_id"], "left_anti")
+    return first_useful(reduce(DataFrame.unionByName, done)) if done else first_useful(first_divergence(events, **how))
+
+
+def with_counts(found: DataFrame, events: DataFrame) -> DataFrame:
+    """found with buggy_line_count and patched_line_count: how many events other than calls had been at the event's line, file and function, itself included.
+
+    Only events at the places that were picked take part.
+    """
+    place = ["filepath", "line_number", "function_name"]
+    out = found
+    for side in ("buggy", "patched"):
+        picked = found.where("status = 'ok'").select(*PAIR_KEY, F.col(f"{side}_event_id").alias("event_id"))
+        own = events.where(F.col("side") == side).select(*PAIR_KEY, "event_id", "event_type", *place)
+        at = picked.join(own, [*PAIR_KEY, "event_id"]).select(*PAIR_KEY, F.col("event_id").alias("_last"), *(F.col(c).alias(f"_{c}") for c in place))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
+        met = own.join(at, PAIR_KEY).where((F.col("event_id") <= F.col("_last")) & (F.col("event_type") != "Function") & reduce(lambda x, y: x & y, same))
+        counts = met.groupBy(*PAIR_KEY).agg(F.count("*").alias(f"{side}_line_count"))
+        out = out.join(counts, PAIR_KEY, "left")
+    return out
+
+
 def simplify_parameters(found: DataFrame, variables: int = 4, parameters: int = 3) -> DataFrame:
     """Serialised variables and parameters pruned to their depths."""
     out = found.withColumn("buggy_function_param", values.simplified(F.col("buggy_function_param"), parameters))
     return out.withColumns({c: values.simplified(F.col(c), variables) for c in ("buggy_variables", "patched_variables")})
-
-

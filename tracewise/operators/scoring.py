@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import signal
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,22 @@ def usage(tokens: DataFrame, prices: DataFrame) -> DataFrame:
     return sums.join(prices, "model", "left").select("model", *kinds, cost.alias("cost"), F.coalesce(priced(cost), counters).alias("display"))
 
 
+@contextmanager
+def time_limit(seconds: float):
+    """TimeoutError for what takes longer. In the main thread, which a worker's functions run in."""
+
+    def late(signum, frame):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def time_limited(scorer: Callable[[list, object], list[float]], predictions: Column, truth: Column, seconds: float = 30.0) -> Column:
     """Scores of a row's predictions by a scorer written in Python; zeros for all of them where it takes longer than the limit.
 
@@ -76,24 +93,15 @@ def time_limited(scorer: Callable[[list, object], list[float]], predictions: Col
 
     @pandas_udf("array<double>")
     def run(predicted: pd.Series, truths: pd.Series) -> pd.Series:
-        def late(signum, frame):
-            raise TimeoutError
-
-        before = signal.signal(signal.SIGALRM, late)
         out = []
-        try:
-            for answers, t in zip(predicted, truths, strict=True):
-                answers = [] if answers is None else _plain(answers)
-                signal.setitimer(signal.ITIMER_REAL, seconds)
-                try:
+        for answers, t in zip(predicted, truths, strict=True):
+            answers = [] if answers is None else _plain(answers)
+            try:
+                with time_limit(seconds):
                     scores = [float(s) for s in scorer(answers, _plain(t))]
-                except TimeoutError:
-                    scores = [0.0] * len(answers)
-                finally:
-                    signal.setitimer(signal.ITIMER_REAL, 0)
-                out.append(scores)
-        finally:
-            signal.signal(signal.SIGALRM, before)
+            except TimeoutError:
+                scores = [0.0] * len(answers)
+            out.append(scores)
         return pd.Series(out, dtype=object)
 
     return run(predictions, truth)

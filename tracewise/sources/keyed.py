@@ -60,6 +60,32 @@ def evaluation_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("source_path", "stated_mean", "stated_sem", "instance_id", F.posexplode("scores").alias("trial", "score"))
 
 
+def generations(spark: SparkSession, path: str) -> DataFrame:
+    """instance_id, trial, answer of generation files, with the token usage they state."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.GENERATION_FILE, {"mode": "FAILFAST"}).alias("v"), F.col("_metadata.file_path").alias("source_path"))
+    rows = whole.select("source_path", "v.token_usage.*", F.explode("v.predictions").alias("instance_id", "answers"))
+    return rows.select("*", F.posexplode("answers").alias("trial", "a")).select("source_path", "completion_tokens", "prompt_tokens", "total_tokens", "instance_id", "trial", F.col("a.answer").alias("answer"))
+
+
+def listed_traces(spark: SparkSession, path: str, suffix: str = "*.jsonl") -> DataFrame:
+    """path and length of the files below a folder, and an error for those that are empty. Contents aren't read.
+
+    Scans leave empty files out; the listing that Spark makes for any scan has them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(path)
+    every = spark.createDataFrame([(x,) for x in files.inputFiles()], "path string")
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  both forms of local paths occur
+    own = files.select(same(F.col("_metadata.file_path")).alias("_at"), "length")
+    found = every.withColumn("_at", same(F.col("path"))).join(own, "_at", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+    return found.withColumn("error", F.when(F.col("length") == 0, F.concat(F.lit("empty trace: "), F.substring_index("path", "/", -1))))
+
+
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct instance_id of a text list: one a line, quotes, commas and what follows a # aside."""
+    line = F.regexp_extract(F.regexp_replace("value", "#.*", ""), r"([^\s\"',\[\]]+)", 1)
+    return spark.read.text(path).select(line.alias("instance_id")).where("instance_id != ''").distinct()
+
+
 def property_tests(spark: SparkSession, path: str) -> DataFrame:
     """instance_id and normalised source of a JSON array of tests."""
     return spark.read.schema(schemas.PBT).option("multiLine", True).json(path).select("instance_id", properties_called(F.col("pbt")).alias("pbt"))

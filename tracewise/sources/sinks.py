@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.operators.joins import only_new
@@ -64,8 +66,9 @@ def context_and_truth(questions: DataFrame, renames: dict[str, str], context: li
 
 
 def write_questions(questions: DataFrame, path: str, renames: dict[str, str], context: list[str], truth: list[str]) -> None:
+    """Keyed JSON of contexts and of truths, a folder of each per agent."""
     for name, part in zip(("context", "ground_truths"), context_and_truth(questions, renames, context, truth), strict=True):
-        part.write.mode("overwrite").partitionBy("agent").json(f"{path}/{name}")
+        write_keyed_json(part, f"{path}/{name}", ["instance_id"], by="agent")
 
 
 def allow_list(rows: DataFrame) -> DataFrame:
@@ -80,5 +83,81 @@ def keyed_json_text(rows: DataFrame, key: str = "instance_id") -> DataFrame:
     return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(*rest).alias("v")))))).alias("value"))
 
 
+def write_keyed_json(rows: DataFrame, path: str, keys: list[str], value: Column | None = None, by: str | None = None, wrap: str | None = None, head: Column | None = None, files: int | None = None) -> None:
+    """{key: value}, or {key: {key: value}} for two keys, as JSON text files that the keyed readers take.
+
+    Tasks hold ranges of the keys in order and write a file each, which is one JSON object with a
+    line per innermost key; so no task or row holds the table, and one file is one JSON document
+    where the rows make one partition. value: the JSON value of a row, its other columns
+    as an object if not given. by: a folder per value of this column. wrap: the object is under
+    this name; head: JSON members, the same in all rows, that stand before it. Rows without a
+    key are under "null"; keys are to be unique. files: how many ranges; else by their size. An empty table gives no rows when read.
+    """
+    rest = [c for c in rows.columns if c not in {*keys, by}]
+    text = value if value is not None else F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})
+    own = [F.lit("") if by is None else F.col(by).cast("string"), *(F.col(k).cast("string") for k in keys)]
+    lines = rows.select(*(c.alias(f"k{i}") for i, c in enumerate(own)), text.alias("v"), (F.lit(None).cast("string") if head is None else head).alias("head"))
+    order = [f"k{i}" for i in range(len(own))]
+    inside = len(keys) > 1
+
+    def start(head: str | None) -> str:
+        return "{" + (f"{head}, " if head else "") + (f"{json.dumps(wrap)}: {{" if wrap else "")
+
+    end = "}}" if wrap else "}"
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        folder, outer, first, n = None, None, True, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for where, *key, v, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if first or where != folder:
+                    if not first:
+                        out.append((folder, "}" * inside + end))
+                    out.append((where, start(h)))
+                    folder, outer, comma = where, (), ""
+                if inside and (key[0],) != outer:
+                    out.append((where, ("}, " if outer else "") + f"{json.dumps(key[0] or 'null', ensure_ascii=False)}: {{"))
+                    outer, comma = (key[0],), ""
+                out.append((where, f"{comma}{json.dumps(key[-1] or 'null', ensure_ascii=False)}: {v if v is not None else 'null'}"))
+                comma, first = ", ", False
+            yield _text(out, n)
+            n += len(out)
+        if not first:
+            yield _text([(folder, "}" * inside + end)], n)
+
+    done = lines.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order).mapInArrow(run, "folder string, n bigint, value string")
+    if by is None:
+        done.select("value").write.mode("overwrite").text(path)
+    else:  # the writer would sort by folder alone, which needn't keep the lines' order
+        done.withColumnRenamed("folder", by).sortWithinPartitions(by, "n").select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
+
+
+def _text(rows: list[tuple], n: int) -> pa.RecordBatch:
+    folders, lines = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(lines, pa.string())], ["folder", "n", "value"])
+
+
+def write_generation_json(predictions: DataFrame, usage: DataFrame, path: str) -> None:
+    """{token_usage: {...}, predictions: {instance_id: [{answer: [...]}]}}. usage: one row; every file states it."""
+    total = usage.select(F.to_json(F.struct("completion_tokens", "prompt_tokens", "total_tokens")).alias("_u"))
+    rows = predictions.join(F.broadcast(total.limit(1)))
+    answers = F.to_json(F.transform("predictions", lambda a: F.struct(a.alias("answer"))))
+    write_keyed_json(rows.select("instance_id", "predictions", "_u"), path, ["instance_id"], answers, wrap="predictions", head=F.concat(F.lit('"token_usage": '), "_u"))
+
+
+def write_evaluation_json(found: DataFrame, statistics: DataFrame, path: str) -> None:
+    """{statistics: {mean, sem}, raw: {instance_id: [scores]}}. found: instance_id, trial, score; every file states the statistics."""
+    total = statistics.select(F.to_json(F.struct("mean", "sem"), {"ignoreNullFields": "false"}).alias("_s"))
+    lists = found.groupBy("instance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "score"))), lambda x: x["score"]).alias("scores"))
+    rows = lists.join(F.broadcast(total.limit(1)))
+    write_keyed_json(rows, path, ["instance_id"], F.to_json("scores"), wrap="raw", head=F.concat(F.lit('"statistics": '), "_s"))
+
+
+def write_allow_list(rows: DataFrame, path: str) -> None:
+    """{agent: {instance_id: [functions]}}, all sorted."""
+    own = rows.select("agent", "instance_id", F.explode("functions").alias("f")).groupBy("agent", "instance_id").agg(F.array_sort(F.collect_set("f")).alias("functions"))
+    write_keyed_json(own, path, ["agent", "instance_id"], F.to_json("functions"))
+
+
 def exclude_columns(rows: DataFrame, *names: str) -> DataFrame:
     return rows.drop(*names)
