@@ -58,48 +58,46 @@ def greedy(pool, anchors, k):
 
 @pytest.fixture(scope="module")
 def larger():
-    """Brands here have more parts than fifteen."""
+    """Some thirty pools."""
     return "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
-def brands(spark, larger):
+def pools(spark, larger):
     out = {}
     for r in sorted(spark.read.parquet(f"{larger}/part.parquet").collect(), key=lambda r: r["p_partkey"]):
-        out.setdefault(r["p_brand"], ([], []))[r["p_size"] > 16].append((r["p_partkey"], r["p_name"]))
-    assert min(len(a) + len(b) for a, b in out.values()) > 15
+        out.setdefault(r["p_partkey"] // 64, ([], []))[r["p_size"] > 16].append((r["p_partkey"], r["p_name"]))
+    assert len(out) > 25
     return out
 
 
 @pytest.mark.parametrize("name", ["similarity_pairs_all", "avg_max_similarity_all"])
-def test_whole_brands_equal_sql(spark, larger, brands, name):
+def test_whole_pools_equal_sql(spark, larger, pools, name):
     got = [r.asDict() for r in __spark_entry__.queries()[name](spark, larger).collect()]
     assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()[name], larger))
-    sizes = [(len(a), len(a) + len(b)) for a, b in brands.values()]
-    assert len(got) == sum(n * (n - 1) // 2 if name == "similarity_pairs_all" else a for a, n in sizes)
+    assert len(got) == sum(len(a) * len(b) if name == "similarity_pairs_all" else len(a) for a, b in pools.values())
 
 
-def test_anchors_of_whole_brands(spark, larger, brands):
+def test_anchors_of_whole_pools(spark, larger, pools):
     got = {}
     for r in __spark_entry__.queries()["hard_anchor_topk_all"](spark, larger).collect():
-        got.setdefault(r["p_brand"], []).append((r["p_partkey"], r["relevance"]))
-    for b, (small, large) in brands.items():
-        values = {k: mean(x, [n for _, n in large]) for k, x in small}
-        assert sorted(v for _, v in got[b]) == pytest.approx(sorted(values.values())[-2:], abs=1e-8)
-        assert all(v == pytest.approx(values[k], abs=1e-8) for k, v in got[b])
+        got.setdefault(r["pool"], {})[r["rank"]] = r["relevance"]
+    for b, (small, large) in pools.items():
+        values = sorted((mean(x, [n for _, n in large]) for _, x in small), reverse=True)
+        assert [got[b][k] for k in (1, 2)] == pytest.approx(values[:2], abs=1e-8)
 
 
-def test_diverse_choice_of_whole_brands(spark, larger, brands):
-    got = {r["p_brand"]: r["chosen"] for r in __spark_entry__.queries()["mmr_select_all"](spark, larger).collect()}
-    assert got == {b: "|".join(greedy([n for _, n in large], [n for _, n in small], 3)) for b, (small, large) in brands.items()}
+def test_diverse_choice_of_whole_pools(spark, larger, pools):
+    got = {r["pool"]: r["chosen"] for r in __spark_entry__.queries()["mmr_select_all"](spark, larger).collect()}
+    assert got == {b: "|".join(greedy([n for _, n in large], [n for _, n in small], 3)) for b, (small, large) in pools.items()}
 
 
-def test_questions_of_whole_brands(spark, larger, brands):
-    got = {r["p_brand"]: (r["choices"].split("|"), r["answer"]) for r in __spark_entry__.queries()["question_choices"](spark, larger).collect()}
-    for b, pools in brands.items():
+def test_questions_of_whole_pools(spark, larger, pools):
+    got = {r["pool"]: (r["choices"].split("|"), r["answer"]) for r in __spark_entry__.queries()["question_choices"](spark, larger).collect()}
+    for b, pools in pools.items():
         small, large = ([n for _, n in p] for p in pools)
         choices, answer = got[b]
-        right = [] if b[-1] == "1" else [max(small, key=lambda x: mean(x, large))]
+        right = [] if b % 5 == 1 else [max(small, key=lambda x: mean(x, large))]
         wrong = greedy(large, right, 3) if right else greedy(large + small, [], 4)
         assert sorted(choices[:4]) == sorted(right + wrong) and choices[4:] == [selection.NONE, selection.UNKNOWN]
         assert [choices["abcdef".index(x)] for x in answer] == (right or [selection.NONE])

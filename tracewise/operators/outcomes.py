@@ -13,6 +13,7 @@ from tracewise.schemas import ERROR_INFO
 # How a failing line and an exception show in a run's output, and the two fixed options.
 FAILING_LINE = r'File "/testbed/reproducer\.py", line (\d+)'
 EXCEPTION_LINE = r"(?m)^(.*(?:Error|Exception|ImproperlyConfigured)(?::?).*)$"
+EXCEPTION_NAME = r"^(.*(?:Error|Exception|ImproperlyConfigured))"
 UNKNOWN = "The question cannot be answered based on the explanation alone."
 PASSED = "The test passed."
 
@@ -25,7 +26,7 @@ def failing_line(output: Column, code: Column) -> Column:
 def exception_name(output: Column, code: Column) -> Column:
     """Name of the last exception; Timeout where no line shows either; Exception where only the line is known."""
     line = last_match(output, EXCEPTION_LINE)
-    name = F.regexp_extract(line, r"^(.*(?:Error|Exception|ImproperlyConfigured))", 1)
+    name = F.regexp_extract(line, EXCEPTION_NAME, 1)
     name = F.trim(F.regexp_replace(F.substring_index(name, ":", 1), r"[+|]", ""))
     known = F.regexp_like(output, F.lit(FAILING_LINE))
     return F.when(code != 0, F.when(F.coalesce(name, F.lit("")) != "", name).when(known, "Exception").otherwise("Timeout"))

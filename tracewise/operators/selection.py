@@ -21,7 +21,9 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def hash_order(seed: int, *keys: Column | str) -> Column:
-    return F.xxhash64(F.lit(seed), *keys)
+    """A digest of seed and keys as text, apart by a separator: an order that other engines can repeat. Null keys are empty."""
+    own = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in own)))
 
 
 def hard_anchors(pool: DataFrame, by: list[str], item: str, others: DataFrame, k: int) -> DataFrame:

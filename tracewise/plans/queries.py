@@ -210,108 +210,66 @@ def expression_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- similarity and selection --------------------------------------------------------------------
 
 
-def _brand_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per brand, the names of its parts with the smallest keys: five correct, ten not."""
-    part = t(spark, sf_dir, "part")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return part.select("p_brand", "p_partkey", "p_name", (F.row_number().over(w) - 1).alias("pos")).where("pos < 15")
-
+def _pool_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts with their places within their pools of 64 consecutive keys; small ones are those up to size 16."""
+    return t(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 64).alias("pool"), "p_partkey", "p_name", (F.col("p_size") <= 16).alias("small"), F.col("p_partkey").alias("pos"))
 
-def _brand_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All parts with their places within their brands; small ones are those up to size 16."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    return t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", (F.col("p_size") <= 16).alias("small"), (F.row_number().over(w) - 1).alias("pos"))
 
-
-def _brand_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per brand, the names of its small and of its other parts by key."""
+def _pool_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per pool, the names of its small and of its other parts by key."""
 
     def names(cond: Column):
         return F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("p_partkey", "p_name")))), lambda s: s["p_name"])
 
-    return t(spark, sf_dir, "part").groupBy("p_brand").agg(names(F.col("p_size") <= 16).alias("small"), names(F.col("p_size") > 16).alias("large"))
+    return _pool_parts(spark, sf_dir).groupBy("pool").agg(names(F.col("small")).alias("small"), names(~F.col("small")).alias("large"))
 
 
-_POOLS = "pools AS (SELECT * FROM (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM part) WHERE pos < 15)"
+_POOLS = "p AS (SELECT p_partkey // 64 AS pool, p_partkey, p_name, p_size <= 16 AS small FROM part)"
 _SIM = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}), 1)"
 
 
-@query(f"""WITH {_POOLS} SELECT a.p_brand, a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS d, round({_SIM.format(a="a.p_name", b="b.p_name")}, 9) AS s
-FROM pools a JOIN pools b ON a.p_brand = b.p_brand AND a.pos < b.pos""")
-def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = _brand_pools(spark, sf_dir)
-    a, b = pools.alias("a"), pools.alias("b")
-    both = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.pos") < F.col("b.pos")))
-    return both.select("a.p_brand", F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), F.levenshtein("a.p_name", "b.p_name").cast("bigint").alias("d"), F.round(text.similarity(F.col("a.p_name"), F.col("b.p_name")), 9).alias("s"))
-
-
-@query(f"""WITH {_POOLS} SELECT a.p_partkey, round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS mean, round(max({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS best
-FROM pools a JOIN pools b ON a.p_brand = b.p_brand AND b.pos >= 5 WHERE a.pos < 5 GROUP BY 1""")
-def avg_max_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = _brand_pools(spark, sf_dir)
-    others = pools.where("pos >= 5").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("pool"))
-    both = pools.where("pos < 5").join(others, "p_brand")
-    return both.select("p_partkey", F.round(text.mean_similarity(F.col("p_name"), F.col("pool")), 9).alias("mean"), F.round(text.best_similarity(F.col("p_name"), F.col("pool")), 9).alias("best"))
-
-
-@query(f"""WITH {_POOLS}, s AS (SELECT a.p_brand, a.p_partkey, a.pos, round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS r
-FROM pools a JOIN pools b ON a.p_brand = b.p_brand AND b.pos >= 5 WHERE a.pos < 5 GROUP BY 1, 2, 3)
-SELECT p_brand, p_partkey, r AS relevance FROM s QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY r DESC, pos) <= 2""")
-def hard_anchor_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = _brand_pools(spark, sf_dir)
-    found = selection.hard_anchors(pools.where("pos < 5"), ["p_brand"], "p_name", pools.where("pos >= 5").select("p_brand", "p_name"), 2)
-    return found.select("p_brand", "p_partkey", F.round("relevance", 9).alias("relevance"))
-
-
-@query(f"""WITH RECURSIVE {_POOLS}, anchors AS (SELECT p_brand, p_name FROM pools WHERE pos < 2), pool AS (SELECT p_brand, p_name, pos FROM pools WHERE pos >= 2),
-rel AS (SELECT p.p_brand, p.p_name, p.pos, coalesce(max({_SIM.format(a="p.p_name", b="a.p_name")}), 0) AS rel FROM pool p LEFT JOIN anchors a USING (p_brand) GROUP BY 1, 2, 3),
-step AS (SELECT p_brand, 0 AS k, []::VARCHAR[] AS chosen, []::BIGINT[] AS ats FROM (SELECT DISTINCT p_brand FROM rel)
-UNION ALL SELECT p_brand, k + 1, list_append(chosen, p_name), list_append(ats, pos) FROM (SELECT s.p_brand, s.k, s.chosen, s.ats, r.p_name, r.pos,
-row_number() OVER (PARTITION BY s.p_brand ORDER BY 0.7 * r.rel - (1 - 0.7) * coalesce(list_max(list_transform(s.chosen, lambda c: {_SIM.format(a="r.p_name", b="c")})), 0) DESC, r.pos) AS n
-FROM step s JOIN rel r ON s.p_brand = r.p_brand AND NOT list_contains(s.ats, r.pos) WHERE s.k < 3) WHERE n = 1)
-SELECT p_brand, array_to_string(chosen, '|') AS chosen FROM step WHERE k = 3""")
-def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def names(cond: str):
-        return F.transform(F.filter(F.array_sort(F.collect_list(F.struct("pos", "p_name"))), lambda s: s["pos"] < 2 if cond == "<" else s["pos"] >= 2), lambda s: s["p_name"])
-
-    lists = _brand_pools(spark, sf_dir).groupBy("p_brand").agg(names("<").alias("anchors"), names(">=").alias("pool"))
-    return lists.where(F.size("pool") >= 3).select("p_brand", F.array_join(selection.diverse(F.col("pool"), F.col("anchors"), 3), "|").alias("chosen"))
-
-
-@query(f"""SELECT a.p_brand, a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS d, round({_SIM.format(a="a.p_name", b="b.p_name")}, 9) AS s
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+@query(f"""WITH {_POOLS} SELECT a.pool, a.p_partkey AS x, b.p_partkey AS y, CAST(levenshtein(a.p_name, b.p_name) AS BIGINT) AS d, round({_SIM.format(a="a.p_name", b="b.p_name")}, 9) AS s
+FROM p a JOIN p b ON a.pool = b.pool AND a.small AND NOT b.small""")
 def similarity_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every pair of parts of a brand."""
-    part = t(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
-    a, b = part.alias("a"), part.alias("b")
-    both = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return both.select("a.p_brand", F.col("a.p_partkey").alias("x"), F.col("b.p_partkey").alias("y"), F.levenshtein("a.p_name", "b.p_name").cast("bigint").alias("d"), F.round(text.similarity(F.col("a.p_name"), F.col("b.p_name")), 9).alias("s"))
+    """Every small part of a pool against every other one of it; a pool has 64 parts whatever the table's size."""
+    part = _pool_parts(spark, sf_dir)
+    others = part.where("not small").groupBy("pool").agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("o"))
+    both = part.where("small").join(others, "pool").select("pool", F.col("p_partkey").alias("x"), F.col("p_name").alias("a"), F.explode("o").alias("o"))
+    return both.select("pool", "x", F.col("o.p_partkey").alias("y"), F.levenshtein("a", "o.p_name").cast("bigint").alias("d"), F.round(text.similarity(F.col("a"), F.col("o.p_name")), 9).alias("s"))
 
 
-@query(f"""SELECT a.p_partkey, round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS mean, round(max({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS best
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_size > 16 WHERE a.p_size <= 16 GROUP BY 1""")
+@query(f"""WITH {_POOLS} SELECT a.p_partkey, round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS mean, round(max({_SIM.format(a="a.p_name", b="b.p_name")}), 9) AS best
+FROM p a JOIN p b ON a.pool = b.pool AND NOT b.small WHERE a.small GROUP BY 1""")
 def avg_max_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every small part against all others of its brand."""
-    pools = _brand_parts(spark, sf_dir)
-    others = pools.where("not small").groupBy("p_brand").agg(F.array_sort(F.collect_list("p_name")).alias("pool"))
-    both = pools.where("small").join(others, "p_brand")
-    return both.select("p_partkey", F.round(text.mean_similarity(F.col("p_name"), F.col("pool")), 9).alias("mean"), F.round(text.best_similarity(F.col("p_name"), F.col("pool")), 9).alias("best"))
+    """Every small part against all others of its pool."""
+    pools = _pool_parts(spark, sf_dir)
+    others = pools.where("not small").groupBy("pool").agg(F.array_sort(F.collect_list("p_name")).alias("others"))
+    both = pools.where("small").join(others, "pool")
+    return both.select("p_partkey", F.round(text.mean_similarity(F.col("p_name"), F.col("others")), 9).alias("mean"), F.round(text.best_similarity(F.col("p_name"), F.col("others")), 9).alias("best"))
 
 
-@query()
+@query(f"""WITH {_POOLS}, s AS (SELECT a.pool, a.p_partkey, coalesce(round(avg({_SIM.format(a="a.p_name", b="b.p_name")}), 9), 0) AS r FROM p a LEFT JOIN p b ON a.pool = b.pool AND NOT b.small WHERE a.small GROUP BY 1, 2),
+k AS (SELECT pool, r, row_number() OVER (PARTITION BY pool ORDER BY r DESC) AS rank FROM s)
+SELECT pool, CAST(rank AS INT) AS rank, r AS relevance FROM k WHERE rank <= 2""")
 def hard_anchor_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = _brand_parts(spark, sf_dir)
-    found = selection.hard_anchors(pools.where("small"), ["p_brand"], "p_name", pools.where("not small").select("p_brand", "p_name"), 2)
-    return found.select("p_brand", "p_partkey", F.round("relevance", 9).alias("relevance"))
-
-
-@query()
+    """The relevance of each pool's two best anchors."""
+    pools = _pool_parts(spark, sf_dir)
+    found = selection.hard_anchors(pools.where("small"), ["pool"], "p_name", pools.where("not small").select("pool", "p_name"), 2)
+    return found.select("pool", F.col("rank").cast("int").alias("rank"), F.round("relevance", 9).alias("relevance"))
+
+
+@query(f"""WITH RECURSIVE {_POOLS}, rel AS (SELECT x.pool, x.p_name, x.p_partkey AS pos, coalesce(max({_SIM.format(a="x.p_name", b="a.p_name")}), 0) AS rel FROM p x LEFT JOIN p a ON a.pool = x.pool AND a.small WHERE NOT x.small GROUP BY 1, 2, 3),
+step AS (SELECT pool, 0 AS k, []::VARCHAR[] AS chosen, []::BIGINT[] AS ats FROM (SELECT DISTINCT pool FROM rel)
+UNION ALL SELECT pool, k + 1, list_append(chosen, p_name), list_append(ats, pos) FROM (SELECT s.pool, s.k, s.chosen, s.ats, r.p_name, r.pos,
+row_number() OVER (PARTITION BY s.pool ORDER BY 0.7 * r.rel - (1 - 0.7) * coalesce(list_max(list_transform(s.chosen, lambda c: {_SIM.format(a="r.p_name", b="c")})), 0) DESC, r.pos) AS n
+FROM step s JOIN rel r ON s.pool = r.pool AND NOT list_contains(s.ats, r.pos) WHERE s.k < 3) WHERE n = 1)
+SELECT pool, array_to_string(chosen, '|') AS chosen FROM step WHERE k = 3""")
 def mmr_select_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = _brand_lists(spark, sf_dir).where(F.size("large") >= 3)
-    return lists.select("p_brand", F.array_join(selection.diverse(F.col("large"), F.col("small"), 3), "|").alias("chosen"))
+    lists = _pool_lists(spark, sf_dir).where(F.size("large") >= 3)
+    return lists.select("pool", F.array_join(selection.diverse(F.col("large"), F.col("small"), 3), "|").alias("chosen"))
 
 
-@query()
+@query("""SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('42' || chr(31) || p_brand || chr(31) || p_partkey), p_partkey) <= 3""")
 def hash_sample_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.sample_rows(t(spark, sf_dir, "part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 3)
 
@@ -326,17 +284,20 @@ def choices_sorted_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def question_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each brand's parts, the small ones are the correct options."""
-    lists = _brand_lists(spark, sf_dir)
-    done = selection.assemble(F.col("small"), F.col("large"), F.substring("p_brand", -1, 1) == "1", 42, "p_brand")
-    return lists.select("p_brand", done.alias("q")).select("p_brand", F.array_join("q.choices", "|").alias("choices"), F.array_join("q.answer", "").alias("answer"))
+    """Of each pool's parts, the small ones are the correct options; every fifth pool has none."""
+    lists = _pool_lists(spark, sf_dir)
+    done = selection.assemble(F.col("small"), F.col("large"), F.col("pool") % 5 == 1, 42, "pool")
+    return lists.select("pool", done.alias("q")).select("pool", F.array_join("q.choices", "|").alias("choices"), F.array_join("q.answer", "").alias("answer"))
 
 
-@query("""SELECT conv_id, string_agg(chr((96 + k)::INT) || ') ' || role, chr(10) ORDER BY k) AS choices FROM
-(SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations) WHERE k <= 26 GROUP BY 1""")
+@query("""SELECT conv_id, (k - 1) // 26 AS block, string_agg(chr((97 + (k - 1) % 26)::INT) || ') ' || role, chr(10) ORDER BY k) AS choices FROM
+(SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS k FROM conversations) GROUP BY 1, 2""")
 def labelled_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"]).alias("r"))
-    return lists.select("conv_id", text.labelled_choices(F.slice("r", 1, 26)).alias("choices"))
+    """All turns of a conversation, in blocks of as many as there are letters."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role")
+    rows = t(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(w) - 1)
+    lists = rows.groupBy("conv_id", F.floor(F.col("k") / 26).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "role"))), lambda s: s["role"]).alias("r"))
+    return lists.select("conv_id", "block", text.labelled_choices(F.col("r")).alias("choices"))
 
 
 # --- traces --------------------------------------------------------------------------------------
@@ -365,7 +326,10 @@ def call_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.with_block(_trace_events(spark, sf_dir)).select("user_id", "event_id", "block_id")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, event_id % 5 AS k, event_type, coalesce(sum(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM events),
+o AS (SELECT x.user_id, x.event_id, x.k, x.event_type, x.depth, coalesce(max(y.event_id), -1) AS owner FROM e x LEFT JOIN e y ON x.user_id = y.user_id AND y.k = 0 AND y.depth + 1 = x.depth AND y.event_id < x.event_id GROUP BY 1, 2, 3, 4, 5),
+b AS (SELECT user_id, owner, count(*) AS n, max(event_id) FILTER (k = 1) AS r FROM o WHERE owner >= 0 GROUP BY 1, 2)
+SELECT 'repo__x-' || c.user_id AS instance_id, c.event_id AS block, CAST(c.owner AS BIGINT) AS parent_id, c.event_type AS name, CAST(c.depth + 1 AS INT) AS block_depth, b.n AS n_events, b.r AS return_event FROM o c LEFT JOIN b ON b.user_id = c.user_id AND b.owner = c.event_id WHERE c.k = 0""")
 def call_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.blocks(_trace_events(spark, sf_dir)).select("instance_id", "block", "parent_id", "name", "block_depth", "n_events", "return_event")
 
@@ -427,12 +391,6 @@ def json_diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structdiff.diffs(e, "was", "props", ["user_id", "event_id"]).select("user_id", "event_id", "kind", "path", "old_value", "new_value")
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 5) = round(l_extendedprice - l_extendedprice * l_discount, 5) AS same FROM lineitem WHERE l_linenumber = 1""")
-def tolerant_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_extendedprice") - F.col("l_extendedprice") * F.col("l_discount")
-    return t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", values.same_value(F.to_json(F.struct(a.alias("x"))), F.to_json(F.struct(b.alias("x")))).alias("same"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 5) = round(l_extendedprice - l_extendedprice * l_discount, 5) AS same FROM lineitem""")
 def tolerant_equality_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item."""
@@ -471,18 +429,12 @@ def trace_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structdiff.shallowest(structdiff.cascade(d, ["instance_id", "event_id"], stages), ["instance_id", "event_id"]).select("instance_id", "event_id", "kind", "path")
 
 
-@query()
+@query("""SELECT event_id, '{"a":{"b":{"k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '},"c":[1,2,{"py/object":"builtins.dict"}]}}' AS v FROM events""")
 def simplify_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.concat(F.lit('{"a": {"b": '), F.col("props"), F.lit(', "c": [1, 2, {"d": 1}]}}'))
     return t(spark, sf_dir, "events").select("event_id", values.simplified(nested, 2).alias("v"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN '{"x":"Infinity"}' ELSE '{"x":' || CAST(event_id AS VARCHAR) || '}' END AS v FROM (SELECT event_id FROM events) WHERE event_id % 4 <> 0""")
-def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat(F.lit('{ "x" : '), F.col("event_id").cast("string"), F.lit("}"))
-    return t(spark, sf_dir, "events").where("event_id % 4 <> 0").select("event_id", values.sanitised(raw).alias("v"))
-
-
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"x":"inf","y":["' || CAST(9007199254740992 + event_id AS VARCHAR) || '",' || CAST(event_id AS VARCHAR) || ']}'
 WHEN 1 THEN '{"x":' || CAST(9007199254740992 + event_id AS VARCHAR) || '}' WHEN 2 THEN '{"x":"-inf"}' ELSE '{"x":' || CAST(event_id AS VARCHAR) || '}' END AS v FROM events""")
 def canonical_json_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,9 +470,9 @@ def title_case_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT page_id, CASE WHEN m = '' THEN '<unknown_module>' ELSE m END AS module, string_split(string_split(q, ':')[-1], '.')[-1] AS simple, regexp_replace(q, '^[^:]*:', '') AS qualified FROM
-(SELECT page_id, url AS q, array_to_string(list_filter(string_split(regexp_replace('src/' || page_id || '/' || substr(url, 9, 12) || '.py', '^src/', '').replace('.py', ''), '/'), lambda x: x <> ''), '.') AS m FROM pages)""")
+(SELECT page_id, url AS q, array_to_string(list_filter(string_split(regexp_replace(regexp_replace('src/' || page_id || '/' || substr(url, 9) || '.py', '^src/', ''), '\\.py$', ''), '/'), lambda x: x <> ''), '.') AS m FROM pages)""")
 def dotted_module(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.lit("src/"), F.col("page_id").cast("string"), F.lit("/"), F.substring("url", 9, 12), F.lit(".py"))
+    path = F.concat(F.lit("src/"), F.col("page_id").cast("string"), F.lit("/"), F.expr("substring(url, 9)"), F.lit(".py"))
     return t(spark, sf_dir, "pages").select("page_id", text.dotted_module(path).alias("module"), text.simple_name(F.col("url")).alias("simple"), text.qualified_name(F.col("url")).alias("qualified"))
 
 
@@ -550,14 +502,6 @@ def outcome_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.seeded(runs).select("o_orderkey", "before", "after")
 
 
-@query("""SELECT doc_id, side, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.py' AS path, CASE side WHEN 'added' THEN '2,3' ELSE '2' END AS lines FROM documents, (VALUES ('added'), ('removed')) s(side) WHERE doc_id % 2 = 0""")
-def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string"), F.lit(".py"))
-    patch = F.concat(F.lit("diff --git a/x b/x\n--- a/"), name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,3 +1,4 @@ def f\n a\n-b\n+c\n+d\n e\n"))
-    lines = patches.patch_lines(t(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", patch.alias("model_patch")), ["doc_id"])
-    return patches.lines_by_file(lines, ["doc_id"]).select("doc_id", "side", "path", F.array_join("lines", ",").alias("lines"))
-
-
 @query("""SELECT doc_id, side, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.py' AS path, CASE side WHEN 'added' THEN '2,3' ELSE '2' END AS lines FROM documents, (VALUES ('added'), ('removed')) s(side)""")
 def diff_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document."""
@@ -567,7 +511,7 @@ def diff_lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patches.lines_by_file(lines, ["doc_id"]).select("doc_id", "side", "path", F.array_join("lines", ",").alias("lines"))
 
 
-@query()
+@query("""SELECT doc_id, 'A.f' || doc_id || '.<locals>.<lambda>,g' AS names FROM documents""")
 def modified_qualnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("class A:\n    def f"), F.col("doc_id").cast("string"), F.lit("(self):\n        return [x for x in (lambda: 1)()]\n\ndef g():\n    return 2\n"))
     docs = t(spark, sf_dir, "documents").select("doc_id", F.lit("m.py").alias("path"), code.alias("text"))

@@ -137,6 +137,22 @@ def _text(rows: list[tuple], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(lines, pa.string())], ["folder", "n", "value"])
 
 
+def write_json_array(rows: DataFrame, path: str, *order: str) -> None:
+    """[{...}, ...] in JSON text files, one array each, over ranges of the order."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("v"))
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            lines = [("[" if before == "[" and k == 0 else ", ") + v for k, v in enumerate(batch.column("v").to_pylist())]
+            before = ", " if lines else before
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        if before != "[":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    own.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_generation_json(predictions: DataFrame, usage: DataFrame, path: str) -> None:
     """{token_usage: {...}, predictions: {instance_id: [{answer: [...]}]}}. usage: one row; every file states it."""
     total = usage.select(F.to_json(F.struct("completion_tokens", "prompt_tokens", "total_tokens")).alias("_u"))
