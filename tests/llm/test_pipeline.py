@@ -4,12 +4,14 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
 from tests.llm.test_documents import plain_counts
 from tests.llm.test_near_duplicates import components, plain_lines
+from tracewise.llm import shared
 
 
 @pytest.fixture(scope="module")
@@ -79,8 +81,6 @@ CLASHING = ["kept", "n_words", "clean", "base_failed", "_w", "_l", "_c", "_patte
 
 def test_any_table_passes_through(spark, tmp_path):
     """Nulls, an empty text, repeated rows, a shared doc_id, names that the stages use themselves."""
-    from pyspark.sql import functions as F
-
     prose = [" ".join(f"word{(7 * i + j * j) % 97}x{j % (11 + i)}" for j in range(70)) for i in range(4)]
     rows = [(1, prose[0]), (2, prose[1]), (2, prose[1]), (3, None), (4, ""), (None, prose[2]), (5, prose[0]), (6, prose[0] + " end"), (7, prose[3]), (None, None)]
     for given in (rows, []):
@@ -97,4 +97,18 @@ def test_any_table_passes_through(spark, tmp_path):
 
 def test_run_is_registered(spark, sf_dir, stages):
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
-    assert corpus_pipeline.run(spark, sf_dir).count() == len(stages[5])
+    first = corpus_pipeline.run(spark, sf_dir)
+    second = corpus_pipeline.run(spark, sf_dir)
+    assert first.count() == second.count() == len(stages[5])
+
+
+def test_a_run_leaves_nothing_but_its_result(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 89}x{j}" for j in range(80))) for i in range(1, 9)], "doc_id bigint, text string").withColumn("n_chars", F.lit(1).cast("bigint"))
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    for module in (shared, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda spark: f"file://{tmp_path}/scratch")
+    runs = [corpus_pipeline.run(spark, f"{tmp_path}/sf") for _ in range(2)]
+    left = [p for p in (tmp_path / "scratch").iterdir() if not p.name.startswith(".")]
+    assert [p.name.split("-")[0] for p in left] == ["pipeline", "pipeline"]
+    assert [[q.name for q in p.iterdir() if not q.name.startswith(".")] for p in left] == [["4"], ["4"]]
+    assert runs[0].count() == runs[1].count() > 0

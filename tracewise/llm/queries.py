@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewise.llm.shared import table
 
-#: Setting with the key of the keyed permutations and digests (Spark redacts settings named so), and the key where it is unset.
-KEY_SETTING, KEY = "spark.tracewise.pii.secret", "tracewise-demo-key"
+#: Setting with the key of the keyed permutations and digests (Spark redacts settings named so).
+KEY_SETTING = "spark.tracewise.pii.secret"
+
+
+@cache
+def _random_key() -> str:
+    return secrets.token_hex(32)
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or KEY
+    """The key that is set; else a random one that this process keeps to itself: values stay linked within it, and nobody can undo them later."""
+    return spark.conf.get(KEY_SETTING, None) or spark.sparkContext.getConf().get(KEY_SETTING) or _random_key()
 
 
 def tokenizer(name: str) -> str:

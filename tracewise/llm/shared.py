@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,29 @@ from pyspark.sql import functions as F
 #: One class of white space for every operator here: blank, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[str] = []
+#: Scratch tables that this process wrote: the only ones that release() may drop. Who drops the rest is told by collected().
+_mine: set[str] = set()
+_collector: ContextVar[list[str] | None] = ContextVar("collector", default=None)
+
+
+@contextmanager
+def collected():
+    """The paths of the scratch tables written inside. Who opens this drops them, once nothing reads them any more; other callers' tables aren't among them."""
+    out: list[str] = []
+    token = _collector.set(out)
+    try:
+        yield out
+    finally:
+        _collector.reset(token)
+
+
+def collecting() -> bool:
+    return _collector.get() is not None
+
+
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tracewise-')}"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='tracewise-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_folder()
 
 
 #: Setting by which Spark removes an action's shuffle files when the action ends, not when the driver's garbage goes.
@@ -52,29 +74,24 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffles_dropped(spark):
         df.write.parquet(path)
-    _written.append(path)
+    _mine.add(path)
+    if collecting():
+        _collector.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _mine.discard(path)
 
 
 def release(*stored: DataFrame) -> None:
     """Drop stored tables ahead of the rest, so that they don't stand on disk beside later ones. Nothing may read them after this, lazy plans included."""
     for df in stored:
         names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
-        for path in [p for p in _written if p.rsplit("/", 1)[-1] in names]:
+        for path in [p for p in _mine if p.rsplit("/", 1)[-1] in names]:
             drop(df.sparkSession, path)
-            _written.remove(path)
-
-
-def take_written() -> list[str]:
-    """The scratch tables written since the last call. The caller drops them once nothing reads them any more."""
-    out = list(_written)
-    _written.clear()
-    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
