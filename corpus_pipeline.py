@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages over documents: quality rules, line dedup, near duplicates, personal data, packing.
 
-Each stage works on all that its predecessor kept, written as Parquet in between. The
-scratch tables of a stage go when the next one starts, as its result is written by then.
+Each stage works on all that its predecessor kept, written as Parquet in between. A run owns its
+scratch tables: those of a stage go once its result is written, and that result goes once the
+next stage's is. What run() returns is a written table, which other runs don't touch. A stage that
+is called by itself leaves its scratch tables until the stage after it is called for the same
+sf_dir, as its result is written by then.
 
 Cases: null texts go with the first stage, as they have no words. Rows without a doc_id are
 kept by the stages that compare documents. Rows that share a doc_id are one document: they
@@ -13,26 +16,37 @@ their names. An empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewise.llm import jaccard, lines, packing, pii, rules
 from tracewise.llm.queries import pii_key, tokenizer
-from tracewise.llm.shared import drop, quoted, shared_folder, store, table, take_written, with_hit
+from tracewise.llm.shared import collected, collecting, drop, quoted, shared_folder, shuffles_dropped, store, table, with_hit
 
-_scratch: list[str] = []
+#: Scratch tables of stages that were called by themselves: (sf_dir, stage) -> paths.
+_left: dict[tuple[str, int], list[str]] = {}
 
 
-def _begin(spark: SparkSession) -> None:
-    while _scratch:
-        drop(spark, _scratch.pop())
-    take_written()
+def _stage(number: int):
+    """A stage that, called outside of a run, drops the scratch tables of the stage before it."""
 
+    def add(f):
+        @wraps(f)
+        def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            if collecting():
+                return f(spark, docs, sf_dir)
+            for path in _left.pop((sf_dir, number - 1), []):
+                drop(spark, path)
+            with collected() as written:
+                out = f(spark, docs, sf_dir)
+            _left.setdefault((sf_dir, number), []).extend(written)
+            return out
 
-def _end(df: DataFrame) -> DataFrame:
-    _scratch.extend(take_written())
-    return df
+        return staged
+
+    return add
 
 
 def _on_texts(docs: DataFrame, stage, keep: Column | None = None) -> DataFrame:
@@ -44,41 +58,41 @@ def _on_texts(docs: DataFrame, stage, keep: Column | None = None) -> DataFrame:
     return done.select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"_rest.{quoted(c)}") for c in docs.columns))
 
 
+@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base check or are probably poor go. Null and empty texts fail it."""
-    _begin(spark)
     own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_rest"), "text")
-    return _end(rules.score(own, keep=("_rest",)).where("kept").select("_rest.*"))
+    return rules.score(own, keep=("_rest",)).where("kept").select("_rest.*")
 
 
+@_stage(1)
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies and near copies of lines are taken out of the texts. Documents that lost all their words so go."""
-    _begin(spark)
     left = (F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return _end(_on_texts(docs, lines.dedup_lines, left))
+    return _on_texts(docs, lines.dedup_lines, left)
 
 
+@_stage(2)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
-    _begin(spark)
     found = jaccard.join(docs, size=5, per_mille=800)
     copies = store(found.where("component_id < doc_id").select("doc_id").distinct(), "copies")
     own = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_rest"), "doc_id")
     split = with_hit(own, copies, "doc_id")  # only what may be a copy is shuffled
     maybe = split.where("_hit").join(copies, "doc_id", "left_anti").select("_rest.*")
-    return _end(maybe.unionByName(split.where("not _hit").select("_rest.*")))
+    return maybe.unionByName(split.where("not _hit").select("_rest.*"))
 
 
+@_stage(3)
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers, dates, addresses and secrets become pseudonyms."""
-    _begin(spark)
-    return _end(_on_texts(docs, lambda d: pii.pseudonymise(d, pii_key(spark), counts=False)))
+    return _on_texts(docs, lambda d: pii.pseudonymise(d, pii_key(spark), counts=False))
 
 
+@_stage(4)
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 1024 tokens."""
-    _begin(spark)
-    return _end(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -94,11 +108,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/stage{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.schema(docs.schema).parquet(path)
+        with collected() as scratch:
+            out = stage(spark, docs, sf_dir)
+            with shuffles_dropped(spark):
+                out.write.parquet(f"{folder}/{k}")
+        for path in [*scratch, *([f"{folder}/{k - 1}"] if k else [])]:
+            drop(spark, path)
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{k}")
     return docs
