@@ -269,6 +269,31 @@ def test_decoder_reads_alternating_components_and_runs():
     assert thumb.ravel().tolist() == [y + 128 for y in luma]
 
 
+@pytest.mark.parametrize("first", [1, 2])
+@pytest.mark.parametrize("sampling", [0x11, 0x22])
+def test_decoder_reads_a_scan_for_each_component(spark, first, sampling):
+    """Two components, a scan each, in either order; with tables that change in between."""
+    rng = np.random.default_rng(first)
+    seg, payload = media._segment, rng.integers(0, 256, 64 * 6, dtype=np.uint8).tobytes()
+    other = rng.integers(0, 256, 64 * 2, dtype=np.uint8).tobytes()
+
+    def scan(data):
+        whole = media.encode_payload(data)
+        at = whole.index(b"\xff\xda")
+        return whole[at + 2 + int.from_bytes(whole[at + 2 : at + 4], "big") : -2]
+
+    sof = seg(0xC0, bytes([8, 0, 48, 2, 0, 2, 1, sampling, 0, 2, 0x11, 0]))
+    tables = {1: media._tables(), 2: media._tables() + seg(0xDD, bytes([0, 7]))}
+    parts = [tables[k] + seg(0xDA, bytes([1, k, 0, 0, 63, 0])) + scan(payload if k == 1 else other) for k in (first, 3 - first)]
+    frame = b"\xff\xd8" + sof + b"".join(parts) + b"\xff\xd9"
+    [[(parsed, thumb)]] = media.thumbnails([frame])
+    assert (parsed.width, parsed.height, len(parsed.scans)) == (512, 48, 2)
+    assert thumb.tobytes() == payload
+    table = spark.createDataFrame([(1, bytearray(frame)), (2, bytearray(b"\xff\xd8" + sof + parts[first - 2] + b"\xff\xd9"))], "doc_id int, media binary")
+    got = {r["doc_id"]: r["frames"] for r in media.media_features(table).collect()}
+    assert got[1] == 1
+
+
 def test_classifier_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")

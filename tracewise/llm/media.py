@@ -7,8 +7,8 @@ The frame's own Huffman tables give each block 16 bits (code lengths fall as mag
 grow), which also keeps 0xFF out of the scan.
 
 Reading back doesn't rely on that: it parses the markers, removes stuffing, Huffman-decodes
-the scans of any baseline frame (several components, sampling factors, restart intervals),
-and reconstructs the luminance thumbnail from DC values only. Restart intervals of frames
+the scans of any baseline frame (components together or a scan each, sampling factors, restart
+intervals, tables that change between scans), and reconstructs the luminance thumbnail from DC values only. Restart intervals of frames
 with the same tables are decoded in step as numpy arrays.
 
 Cases: null text is the empty text, whose payload is 64 zero bytes. Equal texts give equal
@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import pairwise
 
@@ -90,8 +91,19 @@ def huffman_table(counts: bytes, values: bytes) -> np.ndarray:
 _huffman = lru_cache(maxsize=64)(huffman_table)
 
 
+@dataclass
+class Scan:
+    """A scan with the tables that held when it began."""
+
+    parts: list[tuple[int, int, int]]  # component index, DC table, AC table
+    huffman: dict[int, tuple[bytes, bytes]]
+    quant: dict[int, int]
+    interval: int
+    data: bytes
+
+
 class Frame:
-    """One parsed baseline frame: sizes, tables, and its scan's restart intervals."""
+    """One parsed baseline frame: sizes, and its scans, each with one or more components."""
 
     def __init__(self):
         self.quant: dict[int, int] = {}
@@ -99,17 +111,33 @@ class Frame:
         self.interval = 0
         self.width = self.height = 0
         self.parts: list[tuple[int, int, int, int]] = []  # id, horizontal, vertical, quantiser
-        self.scan: list[tuple[int, int, int]] = []  # component index, DC table, AC table
-        self.data = b""
+        self.scans: list[Scan] = []
+
+    @property
+    def luma(self) -> Scan:
+        """The scan that holds the first component."""
+        found = [s for s in self.scans if any(c == 0 for c, _, _ in s.parts)]
+        if not found:
+            raise ValueError("no scan of the first component")
+        return found[0]
 
     @property
     def most(self) -> tuple[int, int]:
         return max(h for _, h, _, _ in self.parts), max(v for _, _, v, _ in self.parts)
 
+    @property
+    def samples(self) -> tuple[int, int]:
+        """Samples of the first component across and down."""
+        (_, h, v, _), most = self.parts[0], self.most
+        return -(-self.width * h // most[0]), -(-self.height * v // most[1])
+
     @property
     def units(self) -> tuple[int, int]:
-        """Minimum coded units across and down."""
-        h, v = self.most if len(self.scan) > 1 else (1, 1)
+        """Minimum coded units of the first component's scan across and down: blocks, where it is alone in it."""
+        if len(self.luma.parts) == 1:
+            wide, high = self.samples
+            return -(-wide // 8), -(-high // 8)
+        h, v = self.most
         return -(-self.width // (8 * h)), -(-self.height // (8 * v))
 
 
@@ -152,11 +180,11 @@ def parse(media: bytes) -> list[Frame]:
             raise ValueError("not a baseline frame")
         elif marker == 0xDA:
             ids = [p[0] for p in frame.parts]
-            frame.scan = [(ids.index(body[1 + 2 * k]), body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
+            parts = [(ids.index(body[1 + 2 * k]), body[2 + 2 * k] >> 4, body[2 + 2 * k] & 15) for k in range(body[0])]
             end = at
             while (end := media.index(b"\xff", end)) >= 0 and (media[end + 1] == 0 or 0xD0 <= media[end + 1] <= 0xD7):
                 end += 2
-            frame.data = media[at:end]
+            frame.scans.append(Scan(parts, dict(frame.huffman), dict(frame.quant), frame.interval, media[at:end]))
             at = end
     return frames
 
@@ -172,15 +200,16 @@ def split_intervals(data: bytes) -> list[bytes]:
 
 def decode_dc(frames: list[Frame]) -> list[np.ndarray]:
     """Luminance thumbnails, one sample for each block, of frames that share tables and layout."""
-    first = frames[0]
-    lookups = [(_huffman(*first.huffman[dc]), _huffman(*first.huffman[16 + ac])) for _, dc, ac in first.scan]
-    blocks = [(c, k) for k, (c, _, _) in enumerate(first.scan) for _ in range(first.parts[c][1] * first.parts[c][2] if len(first.scan) > 1 else 1)]
+    first, scan = frames[0], frames[0].luma
+    alone = len(scan.parts) == 1
+    lookups = [(_huffman(*scan.huffman[dc]), _huffman(*scan.huffman[16 + ac])) for _, dc, ac in scan.parts]
+    blocks = [(c, k) for k, (c, _, _) in enumerate(scan.parts) for _ in range(1 if alone else first.parts[c][1] * first.parts[c][2])]
     luma = [k for k, (c, _) in enumerate(blocks) if c == 0]
     chunks, count = [], []
     for f in frames:
         total = f.units[0] * f.units[1]
-        step = f.interval or total
-        parts = split_intervals(f.data)
+        step = f.luma.interval or total
+        parts = split_intervals(f.luma.data)
         chunks += parts
         count += [min(step, total - k * step) for k in range(len(parts))]
     count = np.array(count)
@@ -189,7 +218,7 @@ def decode_dc(frames: list[Frame]) -> list[np.ndarray]:
     ahead = np.ndarray((len(buffer) - 8,), ">u8", buffer, strides=(1,))
     order = np.argsort(-count, kind="stable")
     position = (starts[order] * 8).astype(np.int64)
-    value = np.zeros((len(first.scan), len(order)), np.int64)
+    value = np.zeros((len(scan.parts), len(order)), np.int64)
     out = np.zeros((int(count.max()), len(luma), len(order)), np.int16)
     live = np.searchsorted(-count[order], -np.arange(int(count.max())), "left")
 
@@ -221,21 +250,20 @@ def decode_dc(frames: list[Frame]) -> list[np.ndarray]:
                 todo = todo[done[todo] < 64] if (done[todo] < 64).any() else todo[:0]
         position[:n] = at
     back = np.argsort(order)
-    scale = first.quant[first.parts[0][3]]
+    scale = scan.quant[first.parts[0][3]]
     thumbs, k = [], 0
     for f in frames:
         total = f.units[0] * f.units[1]
-        step = f.interval or total
+        step = f.luma.interval or total
         n = -(-total // step)
         got = np.concatenate([out[: count[j], :, back[j]] for j in range(k, k + n)]) if n > 1 and step != total else None
         if got is None:
             got = out[:total, :, back[k]]
         k += n
-        h, v = (f.parts[0][1], f.parts[0][2]) if len(f.scan) > 1 else (1, 1)
+        h, v = (1, 1) if alone else (f.parts[0][1], f.parts[0][2])
         across, down = f.units
         grid = got.reshape(down, across, v, h).transpose(0, 2, 1, 3).reshape(down * v, across * h)
-        most = f.most if len(f.scan) > 1 else (h, v)
-        high, wide = -(-f.height * v // (8 * most[1])), -(-f.width * h // (8 * most[0]))
+        wide, high = (-(-n // 8) for n in f.samples)
         samples = np.clip((grid[:high, :wide].astype(np.int32) * scale + 4) // 8 + 128, 0, 255)
         thumbs.append(samples.astype(np.uint8))
     return thumbs
@@ -247,7 +275,7 @@ def thumbnails(media: list[bytes]) -> list[list[tuple[Frame, np.ndarray]]]:
     alike = defaultdict(list)
     for i, frames in enumerate(parsed):
         for j, f in enumerate(frames):
-            alike[tuple(f.huffman.items()), tuple(f.quant.items()), tuple(f.parts), tuple(f.scan), f.interval].append((i, j))
+            alike[tuple(f.luma.huffman.items()), tuple(f.luma.quant.items()), tuple(f.parts), tuple(f.luma.parts), f.luma.interval].append((i, j))
     out: list[list] = [[None] * len(frames) for frames in parsed]
     for places in alike.values():
         for (i, j), thumb in zip(places, decode_dc([parsed[i][j] for i, j in places]), strict=True):
