@@ -43,6 +43,26 @@ def test_pair_index_equals_the_library_on_every_character():
         assert " ".join(v[1] for v in values) == " ".join(map(str, e.ids))
 
 
+def test_caches_are_bounded_in_bytes(monkeypatch):
+    """Long pieces without blanks, more than the bound: results stay those of the library, entries in use stay, old ones go."""
+    import random
+
+    monkeypatch.setattr(bpe, "PIECES", 1 << 16)
+    monkeypatch.setattr(bpe, "WORDS", 1 << 16)
+    monkeypatch.setattr(bpe, "GROUP", 40)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    model = bpe.PairIndex(path)
+    encoder = bpe.Encoder(model, lambda ids: (len(ids), " ".join(map(str, ids)), ""))
+    texts = ["often " + "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(120)) for _ in range(300)]
+    library = Tokenizer.from_file(path)
+    most = 0
+    for text, values in zip(texts, encoder.texts(texts), strict=True):
+        assert " ".join(v[1] for v in values).split() == [str(i) for i in library.encode(text, add_special_tokens=False).ids]
+        most = max(most, sum(bpe._piece_bytes(k, v) for d in (encoder.pieces, encoder.pieces.older) for k, v in d.items()))
+    assert "often" in encoder.pieces and most < 2 * (1 << 16) + 2 * 40 * 10_000
+    assert len(encoder.pieces) + len(encoder.pieces.older) < 150
+
+
 def test_packing(make, texts):
     rows = [*texts, *enumerate(ODD, 1000), (5000, "word " * 5000)]
     library = Tokenizer.from_file(BYTES)

@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import starmap
 from operator import itemgetter
 
 import numpy as np
@@ -29,10 +30,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's caches of pieces and of words; see Recent.
-PIECES, WORDS = 400_000, 300_000
-#: Pieces that are cut before the new ones among them are encoded in one index.
-GROUP = 200_000
+#: Bytes of a worker's caches of pieces and of words; see Recent.
+PIECES, WORDS = 1 << 27, 1 << 26
+#: Pieces, and eights of characters, that are cut before the new pieces among them are encoded in one index.
+GROUP = 400_000
 #: A pair of symbols as one number: the left one shifted so far, and the right one.
 SHIFT = 20
 
@@ -143,11 +144,18 @@ class PairIndex:
 
 
 class Recent(dict):
-    """A bounded cache: at most 2 * size entries and those that came with one group. Entries in use stay."""
+    """A bounded cache: at most 2 * size bytes and what came with one group. Entries in use stay.
 
-    def __init__(self, size: int):
+    weight tells the bytes of an entry. They are counted when it is new, so that hits cost nothing.
+    """
+
+    def __init__(self, size: int, weight):
         super().__init__()
-        self.size, self.older = size, {}
+        self.size, self.weight, self.bytes, self.older = size, weight, 0, {}
+
+    def learn(self, entries: list[tuple]) -> None:
+        self.update(entries)
+        self.bytes += sum(starmap(self.weight, entries))
 
     def missing(self, keys: set) -> list:
         """Of keys, those that aren't known. The others are entries from now on."""
@@ -155,16 +163,24 @@ class Recent(dict):
         if self.older:
             older = self.older
             known = [k for k in new if k in older]
-            self.update((k, older[k]) for k in known)
+            self.learn([(k, older[k]) for k in known])
             new.difference_update(known)
         return list(new)
 
     def trim(self) -> None:
-        if len(self) > self.size:
-            self.older = dict(self)
+        if self.bytes > self.size:
+            self.older, self.bytes = dict(self), 0
             self.clear()
 
 
+def _piece_bytes(piece: str, value: tuple) -> int:
+    return 300 + 4 * len(piece) + sum(4 * len(v) for v in value if isinstance(v, str))
+
+
+def _word_bytes(word: str, ids: list[int]) -> int:
+    return 200 + 4 * len(word) + 40 * len(ids)
+
+
 class Encoder:
     """Cuts texts into pieces that encode apart from one another, and keeps what it has encoded.
 
@@ -175,7 +191,7 @@ class Encoder:
         self.model, self.form = model, form
         self.pattern = regex.compile(WORD_PATTERN)
         self.marks = regex.compile("|".join(map(regex.escape, model.special))) if model.special else None
-        self.pieces, self.words = Recent(PIECES), Recent(WORDS)
+        self.pieces, self.words = Recent(PIECES, _piece_bytes), Recent(WORDS, _word_bytes)
 
     def cut(self, text: str) -> list[str]:
         """Pieces between which no token reaches. Special tokens are pieces of their own."""
@@ -209,8 +225,8 @@ class Encoder:
         new = self.pieces.missing(pieces)
         cut = [self.tokens_of(p) if p not in special else [] for p in new]
         unseen = words.missing({w for t in cut for w in t})
-        words.update(zip(unseen, self.model.encode_words([w.encode("utf-8") for w in unseen]) if unseen else (), strict=True))
-        self.pieces.update((p, form(words[t[0]] if len(t) == 1 else [i for w in t for i in words[w]] if t else [special[p]])) for p, t in zip(new, cut, strict=True))
+        words.learn(list(zip(unseen, self.model.encode_words([w.encode("utf-8") for w in unseen]) if unseen else (), strict=True)))
+        self.pieces.learn([(p, form(words[t[0]] if len(t) == 1 else [i for w in t for i in words[w]] if t else [special[p]])) for p, t in zip(new, cut, strict=True)])
 
     def texts(self, texts: list[str | None]) -> Iterator[list]:
         """For each text, the cached values of its pieces in order."""
@@ -219,7 +235,7 @@ class Encoder:
         for text in [*texts, None]:
             if text is not None:
                 group.append(self.cut(text))
-                size += len(group[-1])
+                size += len(group[-1]) + len(text) // 8
             if group and (text is None or size > GROUP):
                 self.learn(set().union(*group))
                 for pieces in group:
