@@ -1,11 +1,11 @@
-"""Queries of files and walks against their SQL."""
+"""Queries of files, questions and walks against their SQL."""
 
 import duckdb
 import pytest
 
-from tracewise.plans import files, queries, walks
+from tracewise.plans import files, queries, questions, walks
 
-NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (files.__name__, walks.__name__) and n in queries.SQL]
+NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (files.__name__, questions.__name__, walks.__name__) and n in queries.SQL]
 
 
 @pytest.fixture(scope="module")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewise.functions import paths
 from tracewise.functions.values import diff_entries
+from tracewise.operators.selection import hash_order
 
 
 def diffs(pairs: DataFrame, old: str, new: str, keep: list[str], digits: int = 3) -> DataFrame:
@@ -96,7 +97,7 @@ def cascade(df: DataFrame, event: list[str], stages: list[Callable[[], Column]])
 
 def shallowest(df: DataFrame, event: list[str], seed: int = 42) -> DataFrame:
     """One difference per event: of least depth, and among those the first by a hash of seed and path."""
-    w = Window.partitionBy(*event).orderBy(paths.depth(F.col("path")), F.xxhash64(F.lit(seed), "path"), "path")
+    w = Window.partitionBy(*event).orderBy(paths.depth(F.col("path")), hash_order(seed, "path"), "path")
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
@@ -109,8 +110,10 @@ def variable_view(seen: Column, name: Column) -> Column:
     return F.get(F.map_values(F.map_filter(F.from_json(seen, "map<string, string>"), lambda k, v: k == name)), F.lit(0))
 
 
-def view_of(event_type: Column, seen: Column, variables: Column, return_value: Column, exception_type: Column) -> Column:
-    """Variables that differ, for a line; the return value or the exception otherwise."""
+def view_of(event_type: Column, seen: Column, variables: Column, return_value: Column, exception_type: Column, exception_value: Column) -> Column:
+    """What an event shows of a difference, by name: on a line the variables that differ, as far as they were seen; else the exception's type and text, or the value that came back, or both."""
     lines = F.map_filter(F.from_json(seen, "map<string, string>"), lambda k, v: F.array_contains(variables, k))
-    other = F.when(event_type == "Exception", F.create_map(F.lit("__exception__"), exception_type)).otherwise(F.create_map(F.lit("__return__"), return_value))
+    raised = F.to_json(F.array(exception_type, exception_value), {"ignoreNullFields": "false"})
+    only_raised, only_back = F.create_map(F.lit("__exception__"), raised), F.create_map(F.lit("__return__"), return_value)
+    other = F.when(exception_type.isNull(), only_back).when(return_value.isNull(), only_raised).otherwise(F.map_concat(only_raised, only_back))
     return F.when(event_type == "Line", lines).otherwise(other)
