@@ -15,7 +15,7 @@ from tracewise.functions import values
 from tracewise.functions.paths import CONTAINERS, QUOTED, SEGMENT
 from tracewise.functions.scores import AT_RETURN
 from tracewise.operators.scoring import time_limit
-from tracewise.schemas import DIVERGENCE, PAIR_KEY
+from tracewise.schemas import DIVERGENCE, EVENTS, PAIR_KEY
 from tracewise.sources.scratch import stored
 
 
@@ -200,12 +200,13 @@ def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: i
     return None
 
 
-def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place, seconds: float = 600.0, longer: dict[str, float] | None = None, most_events: int = 5_000_000) -> DataFrame:
+def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place, seconds: float = 600.0, longer: dict[str, float] | None = None, most_events: int = 1_000_000) -> DataFrame:
     """Per (agent, instance, test) with both sides: the divergence, and a status.
 
-    ok, empty, or error with its kind. A pair is walked in one task, apart from the others: one
-    that takes more than its seconds (longer: by instance) or has more than most_events is a row
-    with error: time or error: size, and an oversized one is never gathered. events: EVENTS and excluded.
+    ok, empty, or error with its kind. Pairs are dealt out by their key and walked one after the
+    other as they come by, each in one task. One that takes more than its seconds (longer: by
+    instance) or has more than most_events is a row with error: time or error: size, and an
+    oversized one is never gathered. events: EVENTS and excluded.
     """
     side = F.col("side")
     sizes = events.groupBy(*PAIR_KEY).agg(F.count("*").alias("_n"), F.bool_or(side == "buggy").alias("_a"), F.bool_or(side == "patched").alias("_b")).where("_a and _b")
@@ -214,8 +215,7 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
     names = [c.split()[0] for c in DIVERGENCE.split(", ")]
     longer = longer or {}
 
-    def walked(left: pa.Table, right: pa.Table, agent: str, instance: str) -> dict:
-        rows = [t.sort_by("event_id").to_pylist() for t in (left, right)]
+    def walked(rows: tuple[list[dict], list[dict]], agent: str, instance: str) -> dict:
         found = walk(*rows, agent, str(instance).split("__")[0], limit, matches)
         if not found:
             return {"status": "empty"}
@@ -229,23 +229,36 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
             "buggy_variables": values.dump(view(a, path)), "patched_variables": values.dump(view(b, path)), "seen_pmf": pmf,
         }
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        key = dict(zip(PAIR_KEY, (k.as_py() for k in key), strict=True))
+    def outcome(key: tuple, rows: tuple[list[dict], list[dict]]) -> dict:
         try:
-            with time_limit(longer.get(key["instance_id"], seconds)):
-                out = walked(left, right, key["agent"], key["instance_id"])
+            with time_limit(longer.get(key[1], seconds)):
+                out = walked(rows, key[0], key[1])
         except TimeoutError:
             out = {"status": "error: time"}
         except (ValueError, KeyError, TypeError, RecursionError, MemoryError) as e:
             out = {"status": f"error: {type(e).__name__}"}
-        return pa.Table.from_pylist([key | dict.fromkeys(names) | out], schema=kinds)
+        return dict(zip(PAIR_KEY, key, strict=True)) | dict.fromkeys(names) | out
+
+    def run(batches):
+        now, rows = None, ([], [])
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                key = tuple(row[c] for c in PAIR_KEY)
+                if key != now:
+                    if now is not None:
+                        done.append(outcome(now, rows))
+                    now, rows = key, ([], [])
+                rows[row["side"] == "patched"].append(row)
+            yield pa.RecordBatch.from_pylist(done, schema=kinds)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([outcome(now, rows)], schema=kinds)
 
-    # renamed copies, as both sides come from one table
-    sides = [ready.where(side == s).toDF(*ready.columns).select(*(F.col(c).alias(c) for c in ready.columns)).groupBy(*PAIR_KEY) for s in ("buggy", "patched")]
     columns = f"agent string, instance_id string, test_id int, {DIVERGENCE}"
     arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
     kinds = pa.schema([(c.split()[0], arrow[c.split()[1]]) for c in columns.split(", ")])
-    done = sides[0].cogroup(sides[1]).applyInArrow(run, columns)
+    read = ready.where(side.isin("buggy", "patched")).select(*(c.split()[0] for c in EVENTS.split(", ")), "excluded")
+    done = read.repartition(*PAIR_KEY).sortWithinPartitions(*PAIR_KEY, "event_id").mapInArrow(run, columns)
     return done.unionByName(sizes.where(~fits).select(*PAIR_KEY, F.lit("error: size").alias("status")), allowMissingColumns=True)
 
 
@@ -282,10 +295,11 @@ def first_useful_in_waves(events: DataFrame, most_waves: int = 64, **how) -> Dat
 def with_counts(found: DataFrame, events: DataFrame) -> DataFrame:
     """found with buggy_line_count and patched_line_count: how many events other than calls had been at the event's line, file and function, itself included.
 
-    Only events at the places that were picked take part.
+    Only events at the places that were picked take part. found is written first, as it is read
+    for each side.
     """
     place = ["filepath", "line_number", "function_name"]
-    out = found
+    out = found = stored(found, "found")
     for side in ("buggy", "patched"):
         picked = found.where("status = 'ok'").select(*PAIR_KEY, F.col(f"{side}_event_id").alias("event_id"))
         own = events.where(F.col("side") == side).select(*PAIR_KEY, "event_id", "event_type", *place)
