@@ -50,7 +50,7 @@ PHONE = (
 DATE = r"(?<![\d\-])\d{4}-\d{2}-\d{2}(?![\d\-])|(?<![\d./])\d{2}/\d{2}/\d{4}(?![\d/])|(?<![\d./])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<![\d.\-])\d{13,19}(?![\d\-]|\.\d)|(?<![\d\-])\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?![\d\-])"
+CARD = r"(?<![\d.\-])\d{13,19}(?![\d\-]|\.\d)|(?<![\d\-])\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?![\d\-])|(?<![\d\-])\d{4}([ \-])\d{6}\2\d{5}(?![\d\-])"
 
 
 def any_of(*patterns: str) -> str:
@@ -112,7 +112,12 @@ def card(m: Column, key: str) -> Column:
     check = F.pmod(10 - F.pmod(luhn_sum(F.concat(moved, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
     full = F.concat(moved, check)
     gap = F.regexp_extract(m, r"[ \-]", 0)
-    grouped = F.when(gap == "", full).otherwise(F.concat_ws("", *(x for k in range(4) for x in ([gap] if k else []) + [F.substring(full, 4 * k + 1, 4)])))
+
+    def parted(*sizes: int) -> Column:
+        starts = [1 + sum(sizes[:k]) for k in range(len(sizes))]
+        return F.concat_ws("", *(x for k, (a, size) in enumerate(zip(starts, sizes, strict=True)) for x in ([gap] if k else []) + [F.substring(full, a, size)]))
+
+    grouped = F.when(gap == "", full).when(n == 15, parted(4, 6, 5)).otherwise(parted(4, 4, 4, 4))
     return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, grouped).otherwise(m)
 
 
