@@ -105,12 +105,18 @@ def same_place(a: dict, b: dict) -> bool:
     return (a["event_type"], a["function_name"], a["statement"]) == (b["event_type"], b["function_name"], b["statement"])
 
 
+#: What of an event is compared.
+STATE = ("seen_variables", "return_value", "exception_type", "exception_value")
+
+
 def _state(row: dict) -> dict:
-    return {k: row.get(k) if k.startswith("exception") else values.parse(row.get(k) or "null") for k in ("seen_variables", "return_value", "exception_type", "exception_value")}
+    return {k: row.get(k) if k.startswith("exception") else values.parse(row.get(k) or "null") for k in STATE}
 
 
 def state_diff(a: dict, b: dict, repo: str, limit: int | None) -> tuple[str, str] | None:
-    """(kind, path) of a shallowest difference of two events' states."""
+    """(kind, path) of a shallowest difference of two events' states. States of the same text, as most are, aren't parsed."""
+    if all(a.get(k) == b.get(k) for k in STATE):
+        return None
     try:
         found = list(values.difference(*(values.rounded(_state(x), 3) for x in (a, b)), unordered=values.unordered_fields(repo)))
     except ValueError:
