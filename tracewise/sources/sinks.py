@@ -72,13 +72,13 @@ def write_questions(questions: DataFrame, path: str, renames: dict[str, str], co
 
 
 def allow_list(rows: DataFrame) -> DataFrame:
-    """agent, and instance_id -> sorted functions as one JSON object."""
+    """agent, and instance_id -> sorted functions as one JSON object: for a look at a list. write_allow_list writes lists of any size."""
     own = rows.groupBy("agent", "instance_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("functions")))).alias("functions"))
     return own.groupBy("agent").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("instance_id", "functions"))))).alias("value"))
 
 
 def keyed_json_text(rows: DataFrame, key: str = "instance_id") -> DataFrame:
-    """One row: {key: {other columns}} with sorted keys. For files of the size of a benchmark, as all rows meet in it."""
+    """One row: {key: {other columns}} with sorted keys. For a look at a small table, as all rows meet in it; write_keyed_json writes tables of any size."""
     rest = [c for c in rows.columns if c != key]
     return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.struct(*rest).alias("v")))))).alias("value"))
 
@@ -155,18 +155,16 @@ def write_json_array(rows: DataFrame, path: str, *order: str) -> None:
 
 def write_generation_json(predictions: DataFrame, usage: DataFrame, path: str) -> None:
     """{token_usage: {...}, predictions: {instance_id: [{answer: [...]}]}}. usage: one row; every file states it."""
-    total = usage.select(F.to_json(F.struct("completion_tokens", "prompt_tokens", "total_tokens")).alias("_u"))
-    rows = predictions.join(F.broadcast(total.limit(1)))
+    total = usage.select(F.to_json(F.struct("completion_tokens", "prompt_tokens", "total_tokens"))).first()[0]
     answers = F.to_json(F.transform("predictions", lambda a: F.struct(a.alias("answer"))))
-    write_keyed_json(rows.select("instance_id", "predictions", "_u"), path, ["instance_id"], answers, wrap="predictions", head=F.concat(F.lit('"token_usage": '), "_u"))
+    write_keyed_json(predictions.select("instance_id", "predictions"), path, ["instance_id"], answers, wrap="predictions", head=F.lit(f'"token_usage": {total}'))
 
 
 def write_evaluation_json(found: DataFrame, statistics: DataFrame, path: str) -> None:
     """{statistics: {mean, sem}, raw: {instance_id: [scores]}}. found: instance_id, trial, score; every file states the statistics."""
-    total = statistics.select(F.to_json(F.struct("mean", "sem"), {"ignoreNullFields": "false"}).alias("_s"))
+    total = statistics.select(F.to_json(F.struct("mean", "sem"), {"ignoreNullFields": "false"})).first()[0]
     lists = found.groupBy("instance_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trial", "score"))), lambda x: x["score"]).alias("scores"))
-    rows = lists.join(F.broadcast(total.limit(1)))
-    write_keyed_json(rows, path, ["instance_id"], F.to_json("scores"), wrap="raw", head=F.concat(F.lit('"statistics": '), "_s"))
+    write_keyed_json(lists, path, ["instance_id"], F.to_json("scores"), wrap="raw", head=F.lit(f'"statistics": {total}'))
 
 
 def write_allow_list(rows: DataFrame, path: str) -> None:
