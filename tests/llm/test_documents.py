@@ -193,6 +193,18 @@ def test_permutations_are_one_to_one(spark):
     assert sorted(r["y"] for r in x.collect()) == list(range(189 * 7))
 
 
+def plain_examples(turns):
+    """The text of each example, turn by turn, as the template says."""
+    marks = {"user": ("[INST] ", " [/INST]"), "system": ("[SYS] ", " [/SYS]"), "assistant": ("[ANS] ", " </s>")}
+    safe = lambda x: re.sub(r"([\\<\[])", r"\\\1", x)
+    out, text, open_ = [], "<s>", True
+    for role, said in turns:
+        a, b = marks.get(role, (f"[ROLE={safe(role).replace(']', chr(92) + ']')}] ", " [/ROLE]"))
+        text, open_ = text + a + safe(said) + b, role != "assistant"
+        out += [] if open_ else [text]
+    return out + [text] * open_
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 1, "assistant", "b\\"), (1, 0, "user", "a"), (1, 2, "odd]ro[le<", "x [/INST] \\</s>"), (2, 0, "assistant", ""), (2, 1, "assistant", "\\["), (3, 0, "user", None), (3, 0, "user", None), (None, None, None, " </s>")]
     rows += [(4, k, "assistant" if k % 2 else "user", f"t{k} [ANS] ") for k in range(300)]
@@ -207,8 +219,11 @@ def test_chat_round_trip(spark):
         assert got[c]["n_turns"] == len(t)
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in t).encode()).hexdigest()
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        texts = plain_examples([(r, x) for _, r, x in t])
+        assert (got[c]["examples"], got[c]["formatted_chars"]) == (len(texts), sum(map(len, texts)))
     formatted = chat.format_conversations(df.where("conv_id = 4"))
     examples = chat.texts_of(formatted).orderBy("example").collect()
+    assert [r["context"] + r["reply"] + r["close"] for r in examples] == plain_examples([(r, x) for _, r, x in sorted(turns[4])])
     assert len(examples) == 150
     assert examples[1]["reply"] == "t3 \\[ANS] " and examples[1]["context"].startswith(examples[0]["context"])
     assert chat.digests(df.where("conv_id = 99")).collect() == []

@@ -4,9 +4,9 @@ Every assistant turn becomes an example of its own: all turns before it are cont
 its reply is trainable. A conversation's examples are prefixes of one rendered text, because
 a turn is rendered without regard to later turns. So an example is stored as a span of that
 text (its end, the reply's start and length), which keeps a conversation of n turns at n
-rendered turns rather than n squared. examples() makes a row of each with its reply and the
-place where its context ends; texts_of() writes the contexts out, too. Turns after the last
-reply make one more example without a trainable part, so no turn is lost.
+rendered turns rather than n squared. texts_of() makes a row of each with its context and its
+reply. Turns after the last reply make one more example without a trainable part, so no turn is
+lost.
 
 Template: user `[INST] x [/INST]`, system `[SYS] x [/SYS]`, assistant `[ANS] x </s>`, another
 role r `[ROLE=r] x [/ROLE]`; the text starts with `<s>`. Inside x and r a backslash goes before
@@ -120,15 +120,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return gathered(conversations).mapInArrow(run, f"conv_id {kind}, formatted string, examples array<struct<end: bigint, reply_start: bigint, reply_chars: bigint>>")
 
 
-def examples(formatted: DataFrame) -> DataFrame:
-    """One row per example: where its context ends in the conversation's text, its reply as rendered, and its characters in all."""
-    e = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
-    start, chars = (F.col(f"e.{c}").cast("int") for c in ("reply_start", "reply_chars"))
-    return e.select("conv_id", "example", start.cast("bigint").alias("context_chars"), F.substring("formatted", start + 1, chars).alias("reply"), F.col("e.end").alias("chars"))
-
-
 def texts_of(formatted: DataFrame) -> DataFrame:
-    """One row per example with its context, reply and closing text. Grows with the square of a conversation's turns."""
+    """One row per example: all turns before its reply as context, the reply as rendered, and what closes it. Grows with the square of a conversation's turns, in the task that holds it; nothing of it is shuffled or stored here."""
     e = formatted.select("conv_id", "formatted", F.posexplode("examples").alias("example", "e"))
     start, chars, end = (F.col(f"e.{c}").cast("int") for c in ("reply_start", "reply_chars", "end"))
     return e.select("conv_id", "example", F.substring("formatted", F.lit(1), start).alias("context"), F.substring("formatted", start + 1, chars).alias("reply"), F.substring("formatted", start + chars + 1, end - start - chars).alias("close"))
@@ -158,6 +151,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     """What the formatted output says: turns from its texts, trainable text and characters from its examples, a row each."""
     formatted = store(format_conversations(conversations), "formatted")
     replies = F.transform(F.sort_array(F.collect_list(F.struct("example", "reply"))), lambda x: F.regexp_replace(x["reply"], r"(?s)\\(.)", "$1"))
-    own = examples(formatted).groupBy("conv_id").agg(F.array_join(replies, "").alias("loss"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("examples"))
+    rows = texts_of(formatted).withColumn("chars", sum((F.char_length(c) for c in ("reply", "close")), F.char_length("context")).cast("bigint"))
+    own = rows.groupBy("conv_id").agg(F.array_join(replies, "").alias("loss"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("examples"))
     both = turn_digests(formatted).alias("t").join(own.alias("e"), F.col("t.conv_id").eqNullSafe(F.col("e.conv_id")))
     return both.select("t.conv_id", "n_turns", "turns_sha256", F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"), "formatted_chars", "examples")
