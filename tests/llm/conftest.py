@@ -1,7 +1,7 @@
 import pytest
 
 #: Columns that clash with names the operators use inside.
-EXTRA = {"h1": 1, "key": "k", "raw": "r", "n": 2, "label": 3, "pattern": 4, "rank": 5}
+EXTRA = {"h1": 1, "key": "k", "raw": "r", "n": 2, "label": 3, "pattern": 4, "rank": 5, "anchor": 6, "piece": "p", "token": 7, "h2": 8, "first": 9, "spans": "s", "items": "i", "doc_ids": "d", "terms": "t", "head": 10, "c0": 11, "w": 12, "size": 13}
 
 
 @pytest.fixture(scope="session")
