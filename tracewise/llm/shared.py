@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -64,6 +65,12 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.set(CLEAN_UP, before)
 
 
+def settle(spark: SparkSession) -> None:
+    """Give the driver's unused heap back: a run of many actions leaves plans and records of tasks behind, one action after the other."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts the lineage.
 
@@ -77,6 +84,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     _mine.add(path)
     if collecting():
         _collector.get().append(path)
+        settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
