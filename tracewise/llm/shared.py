@@ -66,7 +66,7 @@ def shuffles_dropped(spark: SparkSession):
 
 
 def settle(spark: SparkSession) -> None:
-    """Give the driver's unused heap back: a run of many actions leaves plans and records of tasks behind, one action after the other."""
+    """Let go of what finished actions left: Spark drops their broadcasts on executors, and their plans and records of tasks, once the driver has collected them as garbage."""
     gc.collect()
     spark._jvm.System.gc()
 
@@ -84,7 +84,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     _mine.add(path)
     if collecting():
         _collector.get().append(path)
-        settle(spark)
+    settle(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
