@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewise.llm.graph import components
-from tracewise.llm.shared import hits, release, store
+from tracewise.llm.shared import batches_of, hits, release, store
 from tracewise.llm.shingles import mix, shingle_sets
 
 #: Bins of a set's histogram, and bits of the filter over documents with candidates.
@@ -45,6 +45,8 @@ FILTER = 1 << 24
 #: Counters of how common shingles are, and how many travel in one row.
 COUNTERS = 1 << 22
 BLOCK = 1 << 15
+#: Texts, or pairs of whole sets, that go to a worker at a time.
+ROWS = 512
 
 
 def _raw(docs: DataFrame) -> DataFrame:
@@ -205,6 +207,11 @@ def members(pairs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, size: int = 3, per_mille: int = 900) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable over links of at least per_mille / 1000."""
+    with batches_of(docs.sparkSession, ROWS):
+        return _join(docs, size, per_mille)
+
+
+def _join(docs: DataFrame, size: int, per_mille: int) -> DataFrame:
     rows = store(incidence(docs, size, per_mille, rarity(docs, size)), "incidence")
     full = rows.where("n > 0 and doc_id is not null")
     # of rows that share a doc_id, the one with the smallest digest stands for the document

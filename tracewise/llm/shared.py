@@ -55,14 +55,24 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """For actions whose plan isn't run again: their shuffle files go with them."""
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for the actions inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """For actions whose plan isn't run again: their shuffle files go with them."""
+    return setting(spark, CLEAN_UP, "true")
+
+
+def batches_of(spark: SparkSession, rows: int):
+    """For actions whose rows may be long: how many go to a Python worker at a time."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def settle(spark: SparkSession) -> None:
