@@ -22,7 +22,6 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
-from itertools import starmap
 from operator import itemgetter
 
 import numpy as np
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bytes of a worker's caches of pieces and of words; see Recent.
-PIECES, WORDS = 1 << 27, 1 << 26
+PIECES, WORDS = 160 << 20, 96 << 20
 #: Pieces, and eights of characters, that are cut before the new pieces among them are encoded in one index.
 GROUP = 400_000
 #: A pair of symbols as one number: the left one shifted so far, and the right one.
@@ -146,7 +145,7 @@ class PairIndex:
 class Recent(dict):
     """A bounded cache: at most 2 * size bytes and what came with one group. Entries in use stay.
 
-    weight tells the bytes of an entry. They are counted when it is new, so that hits cost nothing.
+    weight tells the bytes of entries. They are counted when they are new, so that hits cost nothing.
     """
 
     def __init__(self, size: int, weight):
@@ -155,7 +154,7 @@ class Recent(dict):
 
     def learn(self, entries: list[tuple]) -> None:
         self.update(entries)
-        self.bytes += sum(starmap(self.weight, entries))
+        self.bytes += self.weight(entries)
 
     def missing(self, keys: set) -> list:
         """Of keys, those that aren't known. The others are entries from now on."""
@@ -173,12 +172,17 @@ class Recent(dict):
             self.clear()
 
 
-def _piece_bytes(piece: str, value: tuple) -> int:
-    return 300 + 4 * len(piece) + sum(4 * len(v) for v in value if isinstance(v, str))
+def _key_chars(entries: list[tuple]) -> int:
+    return sum(map(len, map(itemgetter(0), entries)))
 
 
-def _word_bytes(word: str, ids: list[int]) -> int:
-    return 200 + 4 * len(word) + 40 * len(ids)
+def _piece_bytes(entries: list[tuple]) -> int:
+    """About what pieces take with their forms: both grow with the number of ids, which a form begins with."""
+    return 300 * len(entries) + 8 * _key_chars(entries) + 32 * sum(map(itemgetter(0), map(itemgetter(1), entries)))
+
+
+def _word_bytes(entries: list[tuple]) -> int:
+    return 200 * len(entries) + 4 * _key_chars(entries) + 40 * sum(map(len, map(itemgetter(1), entries)))
 
 
 class Encoder:
