@@ -125,6 +125,14 @@ def test_counts_of_the_picked_events(spark):
     assert (got["buggy_event_id"], got["buggy_line_count"], got["patched_line_count"]) == (5, 5, 5)
 
 
+def test_no_join_of_the_walk_gathers_its_keys_in_the_driver(spark):
+    events = marked(spark, trace("buggy", '{"y": 1}'), trace("patched", '{"y": 2}'))
+    found = divergence.first_divergence(events)
+    for plan in (found, divergence.with_counts(found, events)):
+        plan.collect()
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_pair_over_its_budget_leaves_the_others(spark):
     def named(k, rows):
         return [(r[0], f"r__r-{k}", *r[2:]) for r in rows]

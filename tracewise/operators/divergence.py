@@ -217,7 +217,7 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
     side = F.col("side")
     sizes = events.groupBy(*PAIR_KEY).agg(F.count("*").alias("_n"), F.bool_or(side == "buggy").alias("_a"), F.bool_or(side == "patched").alias("_b")).where("_a and _b")
     fits = F.col("_n") <= most_events
-    ready = events.join(sizes.where(fits).select(*PAIR_KEY), PAIR_KEY, "left_semi")
+    ready = events.join(sizes.where(fits).select(*PAIR_KEY).hint("merge"), PAIR_KEY, "left_semi")
     names = [c.split()[0] for c in DIVERGENCE.split(", ")]
     longer = longer or {}
 
@@ -302,18 +302,19 @@ def with_counts(found: DataFrame, events: DataFrame) -> DataFrame:
     """found with buggy_line_count and patched_line_count: how many events other than calls had been at the event's line, file and function, itself included.
 
     Only events at the places that were picked take part. found is written first, as it is read
-    for each side.
+    for each side. Its files are small for their rows, so joins are to be merges: by its size Spark
+    would gather all picked keys in the driver.
     """
     place = ["filepath", "line_number", "function_name"]
     out = found = stored(found, "found")
     for side in ("buggy", "patched"):
         picked = found.where("status = 'ok'").select(*PAIR_KEY, F.col(f"{side}_event_id").alias("event_id"))
         own = events.where(F.col("side") == side).select(*PAIR_KEY, "event_id", "event_type", *place)
-        at = picked.join(own, [*PAIR_KEY, "event_id"]).select(*PAIR_KEY, F.col("event_id").alias("_last"), *(F.col(c).alias(f"_{c}") for c in place))
+        at = picked.hint("merge").join(own, [*PAIR_KEY, "event_id"]).select(*PAIR_KEY, F.col("event_id").alias("_last"), *(F.col(c).alias(f"_{c}") for c in place))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in place]
-        met = own.join(at, PAIR_KEY).where((F.col("event_id") <= F.col("_last")) & (F.col("event_type") != "Function") & reduce(lambda x, y: x & y, same))
+        met = own.join(at.hint("merge"), PAIR_KEY).where((F.col("event_id") <= F.col("_last")) & (F.col("event_type") != "Function") & reduce(lambda x, y: x & y, same))
         counts = met.groupBy(*PAIR_KEY).agg(F.count("*").alias(f"{side}_line_count"))
-        out = out.join(counts, PAIR_KEY, "left")
+        out = out.join(counts.hint("merge"), PAIR_KEY, "left")
     return out
 
 
