@@ -27,6 +27,23 @@ def test_keyed_json_is_written_in_parts_and_read_again(spark, tmp_path):
     assert [k for p in objects(f"{tmp_path}/one") for k in p] == sorted(keys)
 
 
+def test_a_document_is_bounded_whatever_a_task_holds(spark, tmp_path):
+    wide = F.lpad(F.col("id").cast("string"), 1000, "x")
+    rows = spark.range(20000).select((F.col("id") % 2).cast("string").alias("agent"), F.col("id").cast("string").alias("instance_id"), wide.alias("t")).coalesce(1)
+    sinks.write_keyed_json(rows.drop("agent"), f"{tmp_path}/x", ["instance_id"], files=1)
+    sinks.write_keyed_json(rows, f"{tmp_path}/by", ["instance_id"], by="agent", files=1)
+    sinks.write_keyed_json(rows, f"{tmp_path}/two", ["agent", "instance_id"], files=1)
+    sinks.write_json_array(rows.drop("agent"), f"{tmp_path}/a", "instance_id")
+    assert [k for p in objects(f"{tmp_path}/x") for k in p] == sorted(map(str, range(20000)))
+    for agent in "01":
+        assert [k for p in objects(f"{tmp_path}/by/agent={agent}") for k in p] == sorted(str(i) for i in range(20000) if i % 2 == int(agent))
+        assert [k for p in objects(f"{tmp_path}/two") for k in p.get(agent, {})] == sorted(str(i) for i in range(20000) if i % 2 == int(agent))
+    assert [x["instance_id"] for p in objects(f"{tmp_path}/a") for x in p] == sorted(map(str, range(20000)))
+    for p in tmp_path.rglob("part-*"):
+        assert p.stat().st_size < sinks.DOCUMENT + 10_000
+    assert keyed.keyed_json(spark, f"{tmp_path}/x", "struct<t: string>").count() == 20000
+
+
 def test_two_keys_folders_and_empty_tables(spark, tmp_path):
     rows = spark.createDataFrame([("m", "b", ["g", "f"]), ("m", "b", ["f", "a"]), ("n", "a", []), ("m", "a", ["h"]), ("n", None, ["z"])], "agent string, instance_id string, functions array<string>")
     sinks.write_allow_list(rows, f"{tmp_path}/allow")

@@ -6,11 +6,14 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from tracewise.operators.joins import only_new
 
+#: Characters of a JSON document after which a writer begins another file: readers take a file's document as one value.
+DOCUMENT = 1 << 22
+
 
 def write_generation(predictions: DataFrame, usage: DataFrame, path: str) -> None:
     """Predictions and token usage as two tables."""
@@ -86,9 +89,10 @@ def keyed_json_text(rows: DataFrame, key: str = "instance_id") -> DataFrame:
 def write_keyed_json(rows: DataFrame, path: str, keys: list[str], value: Column | None = None, by: str | None = None, wrap: str | None = None, head: Column | None = None, files: int | None = None) -> None:
     """{key: value}, or {key: {key: value}} for two keys, as JSON text files that the keyed readers take.
 
-    Tasks hold ranges of the keys in order and write a file each, which is one JSON object with a
-    line per innermost key; so no task or row holds the table, and one file is one JSON document
-    where the rows make one partition. value: the JSON value of a row, its other columns
+    Tasks hold ranges of the keys in order and write files of them, each of which is one JSON object
+    with a line per innermost key. One ends with the key by which it has DOCUMENT characters, so
+    neither a task nor a reader holds the table, and one file is one JSON document where the rows
+    make one partition of fewer. value: the JSON value of a row, its other columns
     as an object if not given. by: a folder per value of this column. wrap: the object is under
     this name; head: JSON members, the same in all rows, that stand before it. Rows without a
     key are under "null"; keys are to be unique. files: how many ranges; else by their size. An empty table gives no rows when read.
@@ -106,51 +110,60 @@ def write_keyed_json(rows: DataFrame, path: str, keys: list[str], value: Column
     end = "}}" if wrap else "}"
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        folder, outer, first, n = None, None, True, 0
+        now, folder, outer, size, n = [], None, None, 0, 0
         for batch in batches:
-            out: list[tuple] = []
+            done = []
             for where, *key, v, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if first or where != folder:
-                    if not first:
-                        out.append((folder, "}" * inside + end))
-                    out.append((where, start(h)))
-                    folder, outer, comma = where, (), ""
+                if now and (where != folder or size >= DOCUMENT):
+                    done.append((folder, "\n".join([*now, "}" * inside + end])))
+                    now = []
+                if not now:
+                    now, folder, outer, size, comma = [start(h)], where, (), 0, ""
                 if inside and (key[0],) != outer:
-                    out.append((where, ("}, " if outer else "") + f"{json.dumps(key[0] or 'null', ensure_ascii=False)}: {{"))
+                    now.append(("}, " if outer else "") + f"{json.dumps(key[0] or 'null', ensure_ascii=False)}: {{")
                     outer, comma = (key[0],), ""
-                out.append((where, f"{comma}{json.dumps(key[-1] or 'null', ensure_ascii=False)}: {v if v is not None else 'null'}"))
-                comma, first = ", ", False
-            yield _text(out, n)
-            n += len(out)
-        if not first:
-            yield _text([(folder, "}" * inside + end)], n)
+                now.append(f"{comma}{json.dumps(key[-1] or 'null', ensure_ascii=False)}: {v if v is not None else 'null'}")
+                size, comma = size + len(now[-1]) + 1, ", "
+            yield _documents(done, n)
+            n += len(done)
+        if now:
+            yield _documents([(folder, "\n".join([*now, "}" * inside + end]))], n)
 
     done = lines.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order).mapInArrow(run, "folder string, n bigint, value string")
     if by is None:
-        done.select("value").write.mode("overwrite").text(path)
-    else:  # the writer would sort by folder alone, which needn't keep the lines' order
-        done.withColumnRenamed("folder", by).sortWithinPartitions(by, "n").select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
+        _one_a_file(done.select("value")).text(path)
+    else:  # the writer would sort by folder alone, which needn't keep the documents' order
+        _one_a_file(done.withColumnRenamed("folder", by).sortWithinPartitions(by, "n").select(by, "value")).partitionBy(by).text(path)
+
 
+def _documents(rows: list[tuple], n: int) -> pa.RecordBatch:
+    folders, texts = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(texts, pa.string())], ["folder", "n", "value"])
 
-def _text(rows: list[tuple], n: int) -> pa.RecordBatch:
-    folders, lines = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(folders, pa.string()), pa.array(range(n, n + len(rows)), pa.int64()), pa.array(lines, pa.string())], ["folder", "n", "value"])
+
+def _one_a_file(documents: DataFrame) -> DataFrameWriter:
+    return documents.write.mode("overwrite").option("maxRecordsPerFile", 1)
 
 
 def write_json_array(rows: DataFrame, path: str, *order: str) -> None:
-    """[{...}, ...] in JSON text files, one array each, over ranges of the order."""
+    """[{...}, ...] in JSON text files, one array each, over ranges of the order. An array ends with the item by which it has DOCUMENT characters."""
     own = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("v"))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        before = "["
+        now, size = [], 0
         for batch in batches:
-            lines = [("[" if before == "[" and k == 0 else ", ") + v for k, v in enumerate(batch.column("v").to_pylist())]
-            before = ", " if lines else before
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-        if before != "[":
-            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
-
-    own.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+            done = []
+            for v in batch.column("v").to_pylist():
+                now.append((", " if now else "[") + v)
+                size += len(now[-1]) + 1
+                if size >= DOCUMENT:
+                    done.append("\n".join([*now, "]"]))
+                    now, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["value"])
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array(["\n".join([*now, "]"])], pa.string())], ["value"])
+
+    _one_a_file(own.mapInArrow(run, "value string")).text(path)
 
 
 def write_generation_json(predictions: DataFrame, usage: DataFrame, path: str) -> None:
