@@ -71,13 +71,23 @@ def pools(spark, larger):
     return out
 
 
-@pytest.mark.parametrize("name", ["similarity_pairs_all", "avg_max_similarity_all"])
+@pytest.mark.parametrize("name", ["similarity_pairs_all"])
 def test_whole_pools_equal_sql(spark, larger, pools, name):
     got = [r.asDict() for r in __spark_entry__.queries()[name](spark, larger).collect()]
     assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()[name], larger))
     assert len(got) == sum(len(a) * len(b) if name == "similarity_pairs_all" else len(a) for a, b in pools.values())
 
 
+def test_small_parts_meet_all_others_of_their_brand(spark, larger):
+    got = [r.asDict() for r in __spark_entry__.queries()["avg_max_similarity_all"](spark, larger).collect()]
+    assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()["avg_max_similarity_all"], larger))
+    parts = spark.read.parquet(f"{larger}/part.parquet").collect()
+    for r in got[::50]:
+        own = next(p for p in parts if p["p_partkey"] == r["p_partkey"])
+        pool = [p["p_name"] for p in parts if p["p_brand"] == own["p_brand"] and p["p_size"] > 16]
+        assert (r["mean"], r["best"]) == pytest.approx((mean(own["p_name"], pool), max(sim(own["p_name"], x) for x in pool)), abs=2e-9)
+
+
 def test_anchors_of_whole_pools(spark, larger, pools):
     got = {}
     for r in __spark_entry__.queries()["hard_anchor_topk_all"](spark, larger).collect():
