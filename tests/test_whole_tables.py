@@ -71,11 +71,11 @@ def pools(spark, larger):
     return out
 
 
-@pytest.mark.parametrize("name", ["similarity_pairs_all"])
-def test_whole_pools_equal_sql(spark, larger, pools, name):
-    got = [r.asDict() for r in __spark_entry__.queries()[name](spark, larger).collect()]
-    assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()[name], larger))
-    assert len(got) == sum(len(a) * len(b) if name == "similarity_pairs_all" else len(a) for a, b in pools.values())
+def test_every_pair_of_a_brand(spark, larger):
+    got = [r.asDict() for r in __spark_entry__.queries()["similarity_pairs_all"](spark, larger).collect()]
+    assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()["similarity_pairs_all"], larger))
+    sizes = [r["count"] for r in spark.read.parquet(f"{larger}/part.parquet").groupBy("p_brand").count().collect()]
+    assert len(got) == sum(n * (n - 1) // 2 for n in sizes)
 
 
 def test_small_parts_meet_all_others_of_their_brand(spark, larger):
