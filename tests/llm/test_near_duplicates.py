@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 
@@ -146,3 +147,15 @@ def test_common_prefixes_from_the_transform():
             expected |= {(p, o)} if w in seen else set()
             seen.add(w)
         assert got == expected
+
+
+def test_regions_are_gone_from_disk_before_texts_are_shuffled(spark, monkeypatch):
+    dropped, kept = [], []
+    write, let_go = suffixes.store, suffixes.release
+    monkeypatch.setattr(suffixes, "store", lambda df, name: kept.append(name) or write(df, name))
+    monkeypatch.setattr(suffixes, "release", lambda *dfs: dropped.append((list(kept), [f for d in dfs for f in d.inputFiles()])) or let_go(*dfs))
+    passage = hashlib.sha512(b"x").hexdigest() + hashlib.sha512(b"y").hexdigest()
+    docs = spark.createDataFrame([(k, f"{k}" * 50 + passage + f"{k + 1}" * 60) for k in range(4)], "doc_id bigint, text string")
+    assert [r["n_removed"] > 0 for r in suffixes.dedup_bytes(docs).orderBy("doc_id").collect()] == [False, True, True, True]
+    (before, files), = dropped
+    assert before == ["regions", "unique", "copies"] and not any(Path(f.removeprefix("file:")).exists() for f in files)

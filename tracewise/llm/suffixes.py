@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import store, with_hit
+from tracewise.llm.shared import release, shuffles_dropped, store, with_hit
 from tracewise.llm.shingles import BASE, INVERSE, _powers, mix
 
 LEAST = 100
@@ -204,7 +204,10 @@ def _filter(bits: DataFrame) -> np.ndarray:
     """FILTER bits as bytes, those in the column bit set: FILTER / 8 bytes, whatever the input."""
     maps = np.zeros((FILTER // 32768, 4096), np.uint8)
     bit = F.col("bit") + 1  # the bitmap functions count from 1
-    for r in bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).toLocalIterator():
+    found = bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map"))
+    with shuffles_dropped(bits.sparkSession):
+        rows = found.toArrow()
+    for r in rows.to_pylist():
         maps[r["bucket"] - 1] = np.frombuffer(r["map"], np.uint8)
     return maps.ravel()
 
@@ -236,12 +239,14 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = store(raw.mapInArrow(digests, "anchor bigint, key bigint, doc_id bigint, first bigint, more bigint"), "regions")
     same = ["anchor", "key", "more"]
     unique = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n")), "unique")
-    copies = found.join(unique.where("n > 1").select(*same, "at"), same).where(F.struct("doc_id", "first") != F.col("at"))
+    later = found.join(unique.where("n > 1").select(*same, "at"), same).where(F.struct("doc_id", "first") != F.col("at"))
+    copies = store(later.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("more") + least).alias("end")), "copies")
     mixed = unique.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     # any further region that the filter lets through is an occurrence too, and does no harm
     wanted = unique.join(mixed, "anchor", "left_semi").select("at.*")
     place = F.pmod(F.pmod("doc_id", F.lit(FILTER)) * 40503 + F.col("first") * 9973, F.lit(FILTER))
     needed = _filter(wanted.select(place.alias("bit")))
+    release(found, unique)  # before the texts are shuffled, which takes the most disk
 
     def texts_of(batches):
         for part, texts, anchor, number, first, last in kept(batches, needed, lambda a, d, f: np.mod(np.mod(d, FILTER) * 40503 + f * 9973, FILTER)):
@@ -272,7 +277,7 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if block:
             yield done()
 
-    return copies.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("more") + least).alias("end")).union(groups.mapInArrow(expand, "doc_id bigint, begin bigint, end bigint"))
+    return copies.union(groups.mapInArrow(expand, "doc_id bigint, begin bigint, end bigint"))
 
 
 def dedup_bytes(docs: DataFrame, least: int = LEAST, emit: str = "digests") -> DataFrame:
