@@ -90,6 +90,29 @@ def test_a_sketch_loses_nothing_frequent(spark, docs):
     assert frequent <= kept and len(kept) < 1.1 * len(frequent) < len(f) / 2
 
 
+def test_bits_grow_with_what_is_frequent_not_with_cells(spark, docs, monkeypatch):
+    texts = spark.createDataFrame([(lang or "und", bytearray((t or "").encode())) for lang, t in docs], "lang string, raw binary").repartition(4)
+    few, many = (collocations.sketch(texts, 1, [], 1 << k, 10) for k in (16, 25))
+    assert 1 <= np.bitwise_count(few).sum(axis=1).max() and many.nbytes == few.nbytes < 1 << 13
+    monkeypatch.setattr(collocations, "MOST_BITS", 1 << 17)
+    monkeypatch.setattr(collocations, "ROOM", 1 << 20)  # no fold but that of the sketch
+    most = collocations.sketch(texts, 1, [], 1 << 25, 10)
+    assert most.nbytes == 2 * (1 << 17) // 8
+    ids, words = collocations.numbered("\n".join(t or "" for g, t in docs if g == "en").encode())
+    word = collocations.hashes("en", words)
+    found = [{words[ids[p]] for p in next(collocations.levels(ids, word, [row], 1))[0]} for row in (few, many, most)]
+    often = {w for w, n in Counter(words[k] for k in ids.tolist() if k).items() if n >= 10}
+    assert often and all(often <= f for f in found)
+
+
+def test_folds_change_nothing(spark, docs, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_CELLS", 1 << 10)
+    monkeypatch.setattr(collocations, "SLICE", 16)
+    monkeypatch.setattr(collocations, "MOST_BITS", 1 << 7)
+    monkeypatch.setattr(collocations, "BYTES_PER_CELL", 1)
+    assert rows(spark, docs) == brute(docs)
+
+
 def test_scores_beyond_64_bits(spark):
     f = {("x", ("a",)): 4 * 10**12, ("x", ("b",)): 3 * 10**12 + 1, ("x", ("a", "b")): 2 * 10**12 + 7, ("x", ("a", "b", "c")): 10**6, ("x", ("c",)): 10**12 - 3, ("x", ("b", "c")): 10**11 + 9}
     table = spark.createDataFrame([(lang, " ".join(p), len(p), n) for (lang, p), n in f.items()], "lang string, phrase string, size int, n bigint")

@@ -4,10 +4,12 @@ Sketches. Per number of words, each task hashes its phrases to two cells, one pe
 sketch, and sends its counts of cells sparsely, in slices of 2^16 cells. The slices are added up
 where they meet. A cell's count is at least that of any phrase in it, so a phrase with a cell
 below `least` is not frequent, and no frequent one is lost. A phrase is put into the next
-sketch only if both phrases that it consists of but one word may be frequent. What the
-sketches leave goes to the tasks as one bit per cell. A sketch has a cell for about 32 bytes
-of text, MOST_CELLS at most, so the bits stay below 2 x MOST_CELLS / 8 bytes per number of
-words; past that more phrases pass, which costs counting them, not results.
+sketch only if both phrases that it consists of but one word may be frequent. A sketch has a
+cell for about 32 bytes of text, MOST_CELLS at most. What the sketches leave goes to the tasks
+as bits, which don't grow with the text but with what is frequent: cells are folded onto each
+other as long as one bit in ROOM is set at most, and onto MOST_BITS bits in any case. So they
+stay below 2 x MOST_BITS / 8 bytes per number of words; past either bound more phrases pass,
+which costs counting them, not results.
 
 Exact counts. The second pass adds up the phrases that pass, first within parts of a task's
 texts, then by phrase.
@@ -42,6 +44,8 @@ from tracewise.llm.terms import parts
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Bytes of text that phrases are counted in at a time, cells of a slice, bytes of text per cell of a sketch, most cells.
 PART, SLICE, BYTES_PER_CELL, MOST_CELLS = 1 << 23, 1 << 16, 32, 1 << 29
+#: Bits of a row of a filter for each that is set, most bits of a row.
+ROOM, MOST_BITS = 64, 1 << 26
 #: Groups that the first phrases of a language are found in, step by step.
 STEPS = (256, 16, 1)
 #: A-Z as a-z, each end of a piece as a line feed, tab as blank.
@@ -107,8 +111,18 @@ def levels(ids: np.ndarray, word: np.ndarray, bits: list[np.ndarray], longest: i
         ok[place] = True
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """bits for half as many cells, again and again, as long as one bit in ROOM is set at most. A cell's bit lies at its number modulo the cells that are left."""
+    most = int(np.bitwise_count(bits).sum(axis=1, dtype=np.int64).max())
+    while bits.shape[1] > 1 and ROOM * most <= bits.shape[1] * 4:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def sketch(texts: DataFrame, size: int, bits: list[np.ndarray], most: int, least: int) -> np.ndarray:
-    """One bit for each of most cells of two rows: whether phrases of size words that share the cell occur least times together."""
+    """Bits of two rows, folded: whether phrases of size words that share one of most cells occur least times together."""
+    folds = max(1, min(most, MOST_BITS) // SLICE)
 
     def run(batches):
         for part in phrases(batches):
@@ -124,33 +138,35 @@ def sketch(texts: DataFrame, size: int, bits: list[np.ndarray], most: int, least
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), row, np.int32)), pa.array((cell[edge] // SLICE).astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in at], pa.binary()), pa.array([n[a:b].tobytes() for a, b in at], pa.binary())], ["row", "slice", "cells", "n"])
 
     def merge(batches):
-        at, total = None, np.zeros(SLICE, np.int64)
+        at, total, full = None, np.zeros(SLICE, np.int64), np.zeros(SLICE // 8, np.uint8)
 
-        def done():
-            full = np.packbits(total >= least, bitorder="little")
-            if full.any():
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in at] + [pa.array([full.tobytes()], pa.binary())], ["row", "slice", "bits"])
+        def done(key):
+            """Ends a slice; and a fold, if key is of another."""
+            full[:] |= np.packbits(total >= least, bitorder="little")
+            total[:] = 0
+            if key[:2] != at[:2]:
+                if full.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in at[:2]] + [pa.array([full.tobytes()], pa.binary())], ["row", "fold", "bits"])
+                full[:] = 0
 
         for batch in batches:
             for *key, where, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != at:
                     if at is not None:
-                        yield from done()
+                        yield from done(key)
                     at = key
-                    total[:] = 0
                 total[np.frombuffer(where, "<u2")] += np.frombuffer(n, np.uint8)  # a cell stands once in a row
         if at is not None:
-            yield from done()
+            yield from done([])
 
-    sparse = texts.mapInArrow(run, "row int, slice int, cells binary, n binary")
-    merged = sparse.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge, "row int, slice int, bits binary")
-    out = np.zeros((2, most // 8), np.uint8)
+    sparse = texts.mapInArrow(run, "row int, slice int, cells binary, n binary").select("row", (F.col("slice") % folds).alias("fold"), "slice", "cells", "n")
+    merged = sparse.repartition("row", "fold").sortWithinPartitions("row", "fold", "slice").mapInArrow(merge, "row int, fold int, bits binary")
+    out = np.zeros((2, folds * SLICE // 8), np.uint8)
     with shuffles_dropped(texts.sparkSession):
-        found = merged.toArrow()  # at most 2 x most / 8 bytes
-    for r in found.to_pylist():
-        at = r["slice"] * (SLICE // 8)
-        out[r["row"], at : at + SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+        found = merged.toArrow()  # at most 2 x MOST_BITS / 8 bytes
+    for row, fold, own in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        out[row, fold * (SLICE // 8) : (fold + 1) * (SLICE // 8)] = np.frombuffer(own, np.uint8)
+    return folded(out)
 
 
 def counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
