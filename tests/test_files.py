@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tracewise.operators import ordering
 from tracewise.plans import jobs
 from tracewise.sources import keyed, sinks
@@ -135,3 +136,10 @@ def test_forms_of_answers():
     for text, kind in (('{"expressions": ["x ="]}', "expressions"), ('{"answer": "a"}', "choice"), ("[]", "choice"), ('{"before_answer": "a"}', "pair"), ('{"answer": [1]}', "choice")):
         with pytest.raises(ValueError):
             jobs.checked(text, kind)
+
+
+def test_questions_are_formed_once_for_both_files(spark, sf_dir, monkeypatch):
+    plans, write = [], sinks.write_keyed_json
+    monkeypatch.setattr(sinks, "write_keyed_json", lambda rows, *a, **b: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, *a, **b)))
+    assert __spark_entry__.queries()["outcome_questions"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert len(plans) == 2 and not any("Join" in p or "EvalPython" in p for p in plans)

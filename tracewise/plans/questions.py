@@ -12,7 +12,7 @@ from tracewise.operators import joins, outcomes, patches, structdiff, traces
 from tracewise.plans import jobs
 from tracewise.plans.queries import _trace_events, query, t
 from tracewise.sources import keyed, sinks
-from tracewise.sources.scratch import new_path
+from tracewise.sources.scratch import new_path, stored
 
 _OUTCOMES = """r AS (SELECT o_orderkey, o_orderkey % 9 + 1 AS b, o_custkey % 4 AS f, o_orderkey % 6 AS z FROM orders),
 o AS (SELECT o_orderkey, z, 'The test failed at line ' || b || ' with exception: ValueError.' AS bo, CASE WHEN f = 0 THEN 'The test passed.' ELSE 'The test failed at line ' || (f + 3) || ' with exception: Exception.' END AS af, b = f + 3 AND f <> 0 AS same FROM r),
@@ -45,7 +45,8 @@ def outcome_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = keyed.property_tests(spark, f"{path}/tests").withColumnRenamed("pbt", "test_content")
     read = keyed.json_lines(spark, f"{path}/reports", "instance_id string, report string", suffix="*.json")
     extra = read.select("instance_id", F.transform(outcomes.error_infos(F.col("report")), lambda e: outcomes.option(e["lineno"].cast("string"), e["exception_type"])).alias("extra"))
-    asked = outcomes.questions(seeds.join(tests, "instance_id"), extra, ["instance_id"])
+    # both files are dealt out by sampled ranges, so each would form the questions twice
+    asked = stored(outcomes.questions(seeds.join(tests, "instance_id"), extra, ["instance_id"]), "asked")
     sinks.write_keyed_json(asked.select("instance_id", "test_content", "choices"), f"{path}/context", ["instance_id"])
     sinks.write_keyed_json(asked.select("instance_id", "before_answer", "after_answer"), f"{path}/truths", ["instance_id"])
     context = keyed.contexts(spark, f"{path}/context", "struct<test_content: string, choices: array<string>>")
