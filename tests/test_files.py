@@ -143,3 +143,13 @@ def test_questions_are_formed_once_for_both_files(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(sinks, "write_keyed_json", lambda rows, *a, **b: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, *a, **b)))
     assert __spark_entry__.queries()["outcome_questions"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
     assert len(plans) == 2 and not any("Join" in p or "EvalPython" in p for p in plans)
+
+
+def test_a_keyed_document_is_parsed_once(spark, tmp_path):
+    for name, text in (("a", '{"a": {"x": "1", "y": null}, "b": {}, "c": null}'), ("b", "{}")):
+        (tmp_path / f"{name}.json").write_text(text)
+    two = keyed.keyed_json(spark, str(tmp_path), "string", ("outer", "inner"))
+    assert sorted((r["outer"], r["inner"], r["value"]) for r in two.collect()) == [("a", "x", "1"), ("a", "y", None)]
+    one = keyed.keyed_json(spark, str(tmp_path), "map<string, string>")
+    assert sorted(r["instance_id"] for r in one.collect()) == ["a", "b", "c"]
+    assert all(df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1 for df in (one, two))

@@ -20,7 +20,8 @@ def keyed_json(spark: SparkSession, path: str, value: str, levels: tuple[str, ..
     out = spark.read.text(path, wholetext=True).select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("value"), F.col("_metadata.file_path").alias("source_path"))
     for name in levels:
         rest = [c for c in out.columns if c != "value"]
-        out = out.select(*rest, F.explode("value").alias(name, "value"))
+        # without "outer" Spark adds a filter on the map, which parses each document twice more
+        out = out.select(*rest, F.explode_outer("value").alias(name, "value")).where(F.col(name).isNotNull())
     return out
 
 
