@@ -81,15 +81,20 @@ def feistel(x: Column, a: int | Column, b: int | Column, key: str, tweak: str |
         )
 
     wide = F.lit(b).cast("bigint")
-    start = F.struct(((x - F.pmod(x, wide)) / wide).cast("bigint").alias("l"), F.pmod(x, wide).cast("bigint").alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda s: s["l"] * wide + s["r"])
+
+    def permuted(x: Column) -> Column:
+        start = F.struct(((x - F.pmod(x, wide)) / wide).cast("bigint").alias("l"), F.pmod(x, wide).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, turn, lambda s: s["l"] * wide + s["r"])
+
+    return let(x, permuted)
 
 
 def digits_permuted(d: Column, most: int, key: str, tweak: Column) -> Column:
     """Digits, most of them at most, to as many digits. One network serves all lengths."""
     n = F.length(d)
     low, high = (F.element_at(F.array(*(F.lit(10**k).cast("bigint") for k in half)), n + 1) for half in ([k // 2 for k in range(most + 1)], [k - k // 2 for k in range(most + 1)]))
-    return F.lpad(feistel(d.cast("bigint"), low, high, key, tweak).cast("string"), n, F.lit("0"))
+    moved = let(F.struct(low.alias("low"), high.alias("high"), tweak.alias("tweak")), lambda v: feistel(d.cast("bigint"), v["low"], v["high"], key, v["tweak"]))
+    return F.lpad(moved.cast("string"), n, F.lit("0"))
 
 
 def luhn_sum(d: Column) -> Column:
@@ -105,36 +110,47 @@ def luhn_sum(d: Column) -> Column:
 
 def card(m: Column, key: str) -> Column:
     """A Luhn-valid number of the same length and grouping; anything else as it is."""
-    d = F.regexp_replace(m, r"\D", "")
-    n = F.length(d)
-    body = F.substring(d, F.lit(1), n - 1)
-    moved = digits_permuted(body, 18, key, F.concat(F.lit("card"), n.cast("string")))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(moved, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    full = F.concat(moved, check)
-    gap = F.regexp_extract(m, r"[ \-]", 0)
 
-    def parted(*sizes: int) -> Column:
-        starts = [1 + sum(sizes[:k]) for k in range(len(sizes))]
-        return F.concat_ws("", *(x for k, (a, size) in enumerate(zip(starts, sizes, strict=True)) for x in ([gap] if k else []) + [F.substring(full, a, size)]))
+    def grouped(v: Column) -> Column:
+        full, gap = v["full"], v["gap"]
+
+        def parted(*sizes: int) -> Column:
+            starts = [1 + sum(sizes[:k]) for k in range(len(sizes))]
+            return F.concat_ws("", *(x for k, (a, size) in enumerate(zip(starts, sizes, strict=True)) for x in ([gap] if k else []) + [F.substring(full, a, size)]))
+
+        return F.when(gap == "", full).when(v["n"] == 15, parted(4, 6, 5)).otherwise(parted(4, 4, 4, 4))
+
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        moved = let(F.substring(d, F.lit(1), n - 1), lambda body: digits_permuted(body, 18, key, F.concat(F.lit("card"), n.cast("string"))))
+
+        def checked(moved: Column) -> Column:
+            return F.concat(moved, F.pmod(10 - F.pmod(luhn_sum(F.concat(moved, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string"))
+
+        new = let(F.struct(let(moved, checked).alias("full"), F.regexp_extract(m, r"[ \-]", 0).alias("gap"), n.alias("n")), grouped)
+        return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, new).otherwise(m)
 
-    grouped = F.when(gap == "", full).when(n == 15, parted(4, 6, 5)).otherwise(parted(4, 4, 4, 4))
-    return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, grouped).otherwise(m)
+    return let(F.regexp_replace(m, r"\D", ""), of)
 
 
 def phone(m: Column, key: str) -> Column:
     """The digits after the country code are permuted among those of the same count, in the punctuation they have."""
     written = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .\-/(])|^1[ .\-](?=\(?\d{3}[) .\-])", 0)
-    head = F.when(written == "", F.regexp_extract(m, COUNTRY, 0)).otherwise(written)
-    rest = F.substring(m, F.length(head) + 1, F.length(m))
-    d = F.regexp_replace(rest, r"\D", "")
-    n = F.length(d)
-    moved = digits_permuted(d, 14, key, F.when(n == 10, "phone").otherwise(F.concat(F.lit("phone"), n.cast("string"))))
+    head = let(written, lambda written: F.when(written == "", F.regexp_extract(m, COUNTRY, 0)).otherwise(written))
 
     def put(state: Column, c: Column) -> Column:
         digit = c.rlike("[0-9]")
-        return F.struct(F.concat(state["s"], F.when(digit, F.substring(state["d"], F.lit(1), F.lit(1))).otherwise(c)).alias("s"), F.when(digit, F.substring(state["d"], F.lit(2), n)).otherwise(state["d"]).alias("d"))
+        return F.struct(F.concat(state["s"], F.when(digit, F.substring(state["d"], F.lit(1), F.lit(1))).otherwise(c)).alias("s"), F.when(digit, F.substring(state["d"], F.lit(2), F.length(state["d"]))).otherwise(state["d"]).alias("d"))
+
+    def of(head: Column, rest: Column) -> Column:
+        def moved(d: Column) -> Column:
+            n = F.length(d)
+            return digits_permuted(d, 14, key, F.when(n == 10, "phone").otherwise(F.concat(F.lit("phone"), n.cast("string"))))
 
-    return F.aggregate(F.split(rest, "(?!^)"), F.struct(head.alias("s"), moved.alias("d")), put, lambda s: s["s"])
+        start = F.struct(head.alias("s"), let(F.regexp_replace(rest, r"\D", ""), moved).alias("d"))
+        return F.aggregate(F.split(rest, "(?!^)"), start, put, lambda s: s["s"])
+
+    return let(head, lambda head: let(F.substring(m, F.length(head) + 1, F.length(m)), lambda rest: of(head, rest)))
 
 
 def secret(m: Column, key: str) -> Column:
@@ -148,8 +164,7 @@ def secret(m: Column, key: str) -> Column:
 def address(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     x = F.aggregate(parts, F.lit(0).cast("bigint"), lambda t, p: t * 256 + p)
-    y = feistel(x, 65536, 65536, key, "ipv4")
-    out = F.concat_ws(".", *(F.pmod(F.shiftright(y, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
+    out = let(feistel(x, 65536, 65536, key, "ipv4"), lambda y: F.concat_ws(".", *(F.pmod(F.shiftright(y, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0))))
     return F.when(F.forall(parts, lambda p: p <= 255), out).otherwise(m)
 
 
@@ -157,14 +172,18 @@ def ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     x = (F.when(area > 666, area - 2).otherwise(area - 1).cast("bigint") * 99 + group - 1) * 9999 + serial - 1
-    y = feistel(x, 898, 99 * 9999, key, "ssn")
-    s = F.pmod(y, F.lit(9999)) + 1
-    rest = ((y - s + 1) / 9999).cast("bigint")
-    g = F.pmod(rest, F.lit(99)) + 1
-    a = ((rest - g + 1) / 99).cast("bigint") + 1
-    a = F.when(a >= 666, a + 1).otherwise(a)
-    out = F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad(g.cast("string"), 2, "0"), F.lpad(s.cast("string"), 4, "0"))
-    return F.when(valid, out).otherwise(m)
+
+    def written(y: Column) -> Column:
+        s = F.pmod(y, F.lit(9999)) + 1
+
+        def of(rest: Column) -> Column:
+            g = F.pmod(rest, F.lit(99)) + 1
+            a = let(((rest - g + 1) / 99).cast("bigint") + 1, lambda a: F.when(a >= 666, a + 1).otherwise(a))
+            return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad(g.cast("string"), 2, "0"), F.lpad(s.cast("string"), 4, "0"))
+
+        return let(((y - s + 1) / 9999).cast("bigint"), of)
+
+    return F.when(valid, let(feistel(x, 898, 99 * 9999, key, "ssn"), written)).otherwise(m)
 
 
 def date(m: Column, key: str) -> Column:
@@ -175,11 +194,12 @@ def date(m: Column, key: str) -> Column:
     def by_form(use) -> Column:
         return reduce(lambda c, mark: c.when(m.contains(mark), use(forms[mark])), "/.", F.when(m.contains("-"), use(forms["-"])))
 
-    day = by_form(lambda form: F.try_to_date(m, form))
-    n = F.datediff(day, first).cast("bigint")
-    to = F.date_add(first, feistel(n, 189, 773, key, "date").cast("int"))
-    valid = (n >= 0) & (n < 189 * 773) & (by_form(lambda form: F.date_format(day, form)) == m)
-    return F.when(valid, let(to, lambda x: by_form(lambda form: F.date_format(x, form)))).otherwise(m)
+    def of(day: Column, n: Column) -> Column:
+        to = F.date_add(first, feistel(n, 189, 773, key, "date").cast("int"))
+        valid = (n >= 0) & (n < 189 * 773) & (by_form(lambda form: F.date_format(day, form)) == m)
+        return F.when(valid, let(to, lambda x: by_form(lambda form: F.date_format(x, form)))).otherwise(m)
+
+    return let(by_form(lambda form: F.try_to_date(m, form)), lambda day: let(F.datediff(day, first).cast("bigint"), lambda n: of(day, n)))
 
 
 def mail(m: Column, key: str) -> Column:
