@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracewise.llm import jaccard, lines, suffixes
 
@@ -88,6 +89,17 @@ def plain_lines(rows, per_mille=800):
     return out
 
 
+def test_shingles_are_counted_in_generated_code(make):
+    """Counted as rows, shingles have the hashes of the arrays; a plan with functions on a line's array would run uncompiled."""
+    odd = [(1, "a b c d e f a b c d e\ng\n\nh  i\tj"), (2, "k l m n o"), (3, "p q r s t u\x0b v \r w"), (4, None), (5, "")]
+    own = lines.lines_of(make(odd, extra=False))
+    rows = lines.shingle_rows(own)
+    arrays = own.select(F.explode(lines.shingles(F.col("line"))).alias("t"))
+    assert rows.count() == 7 + 1 + 1 + 1 + 4
+    assert sorted(r["t"] for r in rows.collect()) == sorted(r["t"] for r in arrays.collect())
+    assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_line_dedup(make, texts):
     done = lines.dedup_lines(make(texts))
     assert {r["doc_id"]: r["text"] for r in done.collect()} == plain_lines(texts)

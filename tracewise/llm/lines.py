@@ -77,13 +77,22 @@ def shingles(line: Column, size: int = WORDS) -> Column:
     return let(line_words(line), of)
 
 
+def shingle_rows(lines: DataFrame, size: int = WORDS) -> DataFrame:
+    """The hashes that shingles() gives, a row each (t). Rows run in generated code, which functions on arrays of a line don't."""
+    words = lines.select(F.explode(F.array(line_words(F.col("line")))).alias("w"))  # so that a line is split once
+    n = F.size("w")
+    placed = words.select("w", F.explode(F.sequence(F.lit(0), F.greatest(n, F.lit(size)) - size)).alias("i"))
+    whole = F.xxhash64(F.lit(0), F.array_join("w", " "))
+    return placed.select(F.when(n < size, whole).otherwise(F.xxhash64(*(F.get("w", F.col("i") + k) for k in range(size)))).alias("t"))
+
+
 def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def rarity(lines: DataFrame) -> Column:
     """Level by bucket of tokens, from counts over all lines: BUCKETS numbers whatever the input."""
-    counted = lines.select(F.explode(shingles(F.col("line"))).alias("t")).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
+    counted = shingle_rows(lines).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * BUCKETS
     for r in counted.collect():
         out[r["b"]] = min((1 << LEVEL_BITS) - 1, int(256 * math.log2(r["n"])))
@@ -94,7 +103,8 @@ def tokens(line: Column, levels: Column) -> Column:
     """Distinct shingles of a line that has a word, as numbers: the rarity level above 49 bits of the hash."""
 
     def numbered(h: Column) -> Column:
-        return F.shiftleft(F.get(levels, bucket(h)).cast("bigint"), 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS + 1))
+        level = F.coalesce(F.get(levels, bucket(h)), F.lit(0).cast("smallint"))  # never null, so that numbers are sorted as such
+        return F.shiftleft(level.cast("bigint"), 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(h, LEVEL_BITS + 1))
 
     return F.array_distinct(F.transform(shingles(line), numbered))
 
