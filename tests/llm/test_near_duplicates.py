@@ -107,6 +107,18 @@ def test_line_dedup(make, texts):
     assert not [x for x in re.findall(r"\w*Python\w*|\w*Pandas\w*|\w*Arrow\w*", done._jdf.queryExecution().toString())]
 
 
+def test_later_copies_of_a_line_form_no_tokens(make, monkeypatch):
+    """Where no line is frequent enough to be known by itself, too: each class enters the token table by its first line."""
+    given, form = [], lines.entries_of
+    monkeypatch.setattr(lines, "HEAVY", 1)
+    monkeypatch.setattr(lines, "entries_of", lambda own, *rest: given.extend(tuple(r) for r in own.select("doc_id", "line_no").collect()) or form(own, *rest))
+    words = [f"w{k}" for k in range(30)]
+    base, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[:9])
+    rows = [(4, f"{base}\n{other}\n{base}"), (2, f"a\n{base}"), (7, f"{near}\n{other}"), (9, near), (11, "b c")]
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(make(rows)).collect()} == plain_lines(rows)
+    assert sorted(given) == [(2, 0), (2, 1), (4, 1), (7, 0), (11, 0)]
+
+
 def test_line_dedup_of_nothing(make):
     assert lines.dedup_lines(make([])).collect() == []
     got = lines.dedup_lines(make([(2, "a b"), (1, "a b\n\nc"), (None, "a b"), (1, "a b\n\nc")])).collect()

@@ -7,13 +7,14 @@ or the token's positions rule similarity out. Jaccard similarity is then verifie
 token sets. A line goes if an earlier one (smaller doc_id, or earlier in its document) is
 equal to it or similar to it.
 
-Rarity is a count of occurrences over all lines in 2^16 buckets; what a token adds to its
+Rarity is a count of occurrences over the lines of that table in 2^16 buckets; what a token adds to its
 bucket shows as soon as it is more than the buckets differ by chance. A token carries its
 rarity in its upper bits, so its number is its place in the order.
 
 Equal lines are one class, found by aggregation, so copies are never paired; the lines that
 occur most often (10,000 at most, as each is a ten-thousandth of all) enter the token table
-with their first occurrence only. The token table is dealt out once, by token; what no other
+with their first occurrence only, and most later occurrences of other lines are left out by
+filters. The token table is dealt out once, by token; what no other
 line shares is dropped where it arrives. It still counts: of the line whose prefix ends
 earlier in the order, no token that nobody shares can be in the other line, which bounds the
 overlap of two lines that differ in what they were filled in with. Kinds of entries (size,
@@ -91,7 +92,7 @@ def bucket(h: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> Column:
-    """Level by bucket of tokens, from counts over all lines: BUCKETS numbers whatever the input."""
+    """Level by bucket of tokens, from counts over these lines: BUCKETS numbers whatever the input."""
     counted = shingle_rows(lines).groupBy(bucket(F.col("t")).alias("b")).agg(F.count("*").alias("n"))
     out = [0] * BUCKETS
     for r in counted.collect():
@@ -167,15 +168,28 @@ def open_entries(shared: DataFrame, per_mille: int) -> DataFrame:
     return shared.alias("x").join(kinds.alias("y"), (F.col("x.token") == F.col("y.token")) & other & could_match(per_mille), "left_semi")
 
 
+def without_copies(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """lines without later ones of a class, as far as two filters of bounded size can tell; each class keeps its first.
+
+    A line whose class may have copies stays if it may be a first place. Both sets are taken by the
+    same filter, so a class that is only mistaken for one with copies has its place among the firsts.
+    """
+    copied = classes.where("copies > 1").select("h1")
+    at = F.xxhash64("h1", "h2", "doc_id", "line_no")
+    firsts = store(hits(classes, copied, "h1").select("h1", "h2", "first.*").select(at.alias("at")), "firsts")
+    split = with_hit(lines, copied, "h1").withColumnRenamed("_hit", "copied").withColumn("at", at)
+    return with_hit(split, firsts, "at").where("not copied or _hit").select(*lines.columns)
+
+
 def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, DataFrame]:
     """(doc_id, line_no, h1, h2) of all lines, and the line classes of which something goes: h1, h2, first, similar."""
     lines = lines_of(docs)
     places = store(lines.select("doc_id", "line_no", "h1", "h2"), "places")
     classes = store(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies")), "classes")
-    levels = rarity(lines)
     here = F.struct("doc_id", "line_no")
     heavy = classes.where(F.col("copies") * HEAVY >= places.count()).where("copies > 1").select("h1", "h2", "first")  # HEAVY rows at most
-    once = lines.join(F.broadcast(heavy), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == here))
+    once = without_copies(lines, classes).join(F.broadcast(heavy), ["h1", "h2"], "left").where(F.col("first").isNull() | (F.col("first") == here))
+    levels = rarity(once)
     shared = store(shared_entries(entries_of(once, levels, per_mille), per_mille), "shared")
     entries = store(open_entries(shared, per_mille), "open")
     release(shared)
@@ -187,7 +201,8 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
     wanted = entries.select("first.doc_id", F.xxhash64("h1", "h2", "first.doc_id", "first.line_no").alias("at"), "h1", "h2", "first").distinct()
     wanted = store(wanted, "wanted")
     some = hits(lines_of(hits(docs, wanted, "doc_id")).withColumn("at", F.xxhash64("h1", "h2", "doc_id", "line_no")), wanted, "at")
-    texts = some.groupBy(here.alias("id"), "h1", "h2").agg(F.first("line").alias("line")).join(wanted.select(F.col("first").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi")
+    place = ["doc_id", "line_no", "h1", "h2"]  # keys of both, as they are, so that lines are shuffled once
+    texts = some.join(wanted.select("first.*", "h1", "h2"), place, "left_semi").groupBy(*place).agg(F.first("line").alias("line")).withColumn("id", here)
     sets = texts.select("id", tokens(F.col("line"), levels).alias("set"))
     sets = store(sets.select("id", "set", *(parity(F.col("set"), k).alias(f"s{k}") for k in range(SKETCH // 64))), "sets")
     unsketched, entries = entries, store(entries.select(F.col("first").alias("id"), "token", "n", "pos", "most").join(sets.drop("set"), "id"), "entries")
@@ -195,8 +210,9 @@ def later_matches(docs: DataFrame, per_mille: int = 800) -> tuple[DataFrame, Dat
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Classes x that are similar to their y."""
-        a, b = sets.select(F.col("id").alias("x"), F.col("set").alias("a")), sets.select(F.col("id").alias("y"), F.col("set").alias("b"))
-        both = store(pairs.distinct(), "pairs").join(a, "x").join(b, "y")
+        pairs = store(pairs.distinct(), "pairs")
+        paired = hits(sets.select("id", "set"), pairs.select(F.col("x").alias("id")).union(pairs.select("y")), "id")  # other sets needn't be shuffled
+        both = pairs.join(paired.select(F.col("id").alias("x"), F.col("set").alias("a")), "x").join(paired.select(F.col("id").alias("y"), F.col("set").alias("b")), "y")
         common = F.size(F.array_intersect("a", "b"))
         return both.where(1000 * common >= per_mille * (F.size("a") + F.size("b") - common)).select(F.col("x").alias("id")).distinct()
 
