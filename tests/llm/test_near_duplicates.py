@@ -183,3 +183,25 @@ def test_regions_are_gone_from_disk_before_texts_are_shuffled(spark, monkeypatch
     assert [r["n_removed"] > 0 for r in suffixes.dedup_bytes(docs).orderBy("doc_id").collect()] == [False, True, True, True]
     (before, files), = dropped
     assert before == ["regions", "unique", "copies"] and not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
+def test_a_passage_in_many_surroundings_is_not_gathered(make, monkeypatch):
+    """No block holds all regions of an anchor, and a filter that is full lets no later copies into one."""
+    rng = np.random.default_rng(3)
+    passage, gathered = hashlib.sha512(b"x").hexdigest(), suffixes.shared_parts
+
+    def bounded(pieces, *rest):
+        assert sum(map(len, pieces)) < 12_000
+        return gathered(pieces, *rest)
+
+    monkeypatch.setattr(suffixes, "shared_parts", bounded)
+    monkeypatch.setattr(suffixes, "BLOCK", 4000)
+    monkeypatch.setattr(suffixes, "HOT", 20, raising=False)
+    monkeypatch.setattr(suffixes, "_filter", lambda bits: np.full(suffixes.FILTER // 8, 255, np.uint8))
+    around = lambda: "".join(rng.choice(list("abcd"), 30).tolist())
+    few = [passage[::-1] + around() + around() for _ in range(8)]
+    rows = list(enumerate([around() + passage + around() for _ in range(300)] + [passage + passage + "é" * 20 + str(k % 2) for k in range(200)] + few * 40))
+    rng.shuffle(rows)
+    rows = [(int(k), str(t)) for k, t in rows]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.dedup_bytes(make(rows)).collect()}
+    assert got == plain_bytes(rows)

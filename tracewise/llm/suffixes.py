@@ -10,13 +10,16 @@ holds the corpus:
 2. Anchors that occur once are out: occurrences are counted, and a filter of fixed size says
    which regions to emit. False positives cost time only.
 3. Equal regions are one; all but the first are repeats as a whole. Only digests travel here.
-4. Different regions with one anchor meet in a task. What shares no window's hash with another
+4. Different regions with one anchor meet in a task, HOT of them at most. What shares no window's hash with another
    of them is cut off, as it can't repeat. Of the rest's concatenation a suffix order is
    built to a depth beyond `least`, and from its Burrows-Wheeler transform common prefixes
    are derived by increasing value: intervals of strings of length l are extended backward to
    length l + 1, breadth first, and each right boundary seen for the first time gets l. At
    `least` the expansion stops, and boundaries without a value separate nothing: what lies
    between two others is one string of `least` bytes. Its earliest start stays.
+5. An anchor with more different regions than that (a passage with many surroundings) isn't
+   gathered: its windows go out one by one as in 3, equal ones meet by their digests in a
+   sorted stream, and all but the first are repeats. So no task holds more than a block.
 
 Matches never cross documents, because regions lie within one. Strings are judged on the
 input, not on what is left.
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewise.llm.shared import release, shuffles_dropped, store, with_hit
+from tracewise.llm.shared import batches_of, release, shuffles_dropped, store, with_hit
 from tracewise.llm.shingles import BASE, INVERSE, _powers, mix
 
 LEAST = 100
@@ -45,10 +48,16 @@ PLACE_BITS = 28
 #: Bits of the filter over anchors.
 FILTER = 1 << 26
 #: Bytes of text that anchors are found in, and that a transform is built of, at a time.
-PART = 1 << 20
+PART = 1 << 18
 #: Bytes of one text that anchors are found in at a time; below 2^PLACE_BITS with the overlap.
 SLICE = 1 << 26
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows that go to a worker at a time: whole texts, beside those that it makes of them.
+ROWS = 512
+#: Different regions of one anchor, of at most 2 * least bytes each, that go into one block.
+HOT = 2048
+#: Rows of the shuffle of texts: a region that is wanted, a region's text, a window's digest.
+MARK, TEXT, WINDOW = range(3)
 
 
 def _values() -> np.ndarray:
@@ -212,6 +221,10 @@ def _filter(bits: DataFrame) -> np.ndarray:
     return maps.ravel()
 
 
+def _digest(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
 def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, begin, end of byte ranges to remove; they may overlap."""
     raw = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
@@ -233,47 +246,72 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def digests(batches):
         for part, texts, anchor, number, first, last in kept(batches, repeated, lambda a, d, f: np.mod(a, FILTER)):
-            keys = [int.from_bytes(hashlib.blake2b(texts[k][a : b + least], digest_size=8).digest(), "little", signed=True) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
+            keys = [_digest(texts[k][a : b + least]) for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(keys, pa.int64()), part.column("doc_id").take(pa.array(number)), pa.array(first), pa.array(last - first)], ["anchor", "key", "doc_id", "first", "more"])
 
     found = store(raw.mapInArrow(digests, "anchor bigint, key bigint, doc_id bigint, first bigint, more bigint"), "regions")
     same = ["anchor", "key", "more"]
-    unique = store(found.groupBy(*same).agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n")), "unique")
+    counted = found.groupBy(*same).agg(F.min(F.struct("doc_id", "first")).alias("at"), F.count("*").alias("n"))
+    unique = store(counted.withColumn("kinds", F.count("*").over(Window.partitionBy("anchor"))), "unique")
     later = found.join(unique.where("n > 1").select(*same, "at"), same).where(F.struct("doc_id", "first") != F.col("at"))
     copies = store(later.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("more") + least).alias("end")), "copies")
-    mixed = unique.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    # any further region that the filter lets through is an occurrence too, and does no harm
-    wanted = unique.join(mixed, "anchor", "left_semi").select("at.*")
+    wanted = unique.where("kinds > 1").select("anchor", "at.*", "kinds")
+    hot = np.sort(wanted.where(F.col("kinds") > HOT).select("anchor").distinct().toArrow().column("anchor").to_numpy())
     place = F.pmod(F.pmod("doc_id", F.lit(FILTER)) * 40503 + F.col("first") * 9973, F.lit(FILTER))
     needed = _filter(wanted.select(place.alias("bit")))
-    release(found, unique)  # before the texts are shuffled, which takes the most disk
+    release(found)  # before the texts are shuffled, which takes the most disk
+    layout = "anchor bigint, deal bigint, doc_id bigint, first bigint, kind tinyint, piece binary"
+    names = [c.split()[0] for c in layout.split(", ")]
 
     def texts_of(batches):
         for part, texts, anchor, number, first, last in kept(batches, needed, lambda a, d, f: np.mod(np.mod(d, FILTER) * 40503 + f * 9973, FILTER)):
-            pieces = [texts[k][a : b + least] for k, a, b in zip(number.tolist(), first.tolist(), last.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("doc_id").take(pa.array(number)), pa.array(first), pa.array(pieces, pa.binary())], ["anchor", "doc_id", "first", "piece"])
-
-    groups = raw.mapInArrow(texts_of, "anchor bigint, doc_id bigint, first bigint, piece binary").repartition("anchor").sortWithinPartitions("anchor")
+            many = np.isin(anchor, hot)
+            few, some = np.flatnonzero(~many), np.flatnonzero(many)
+            pieces = [texts[k][a : b + least] for k, a, b in zip(number[few].tolist(), first[few].tolist(), last[few].tolist(), strict=True)]
+            windows = last[some] - first[some] + 1
+            some = np.repeat(some, windows)
+            at = first[some] + np.arange(len(some)) - np.repeat(np.cumsum(windows) - windows, windows)
+            keys = np.array([_digest(texts[k][w : w + least]) for k, w in zip(number[some].tolist(), at.tolist(), strict=True)], np.int64)
+            rows = np.concatenate([few, some])
+            columns = [anchor[rows], np.concatenate([anchor[few], keys]), part.column("doc_id").to_numpy()[number[rows]], np.concatenate([first[few], at]), np.repeat(np.array([TEXT, WINDOW], np.int8), [len(few), len(some)])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces + [None] * len(some), pa.binary())], names)
+
+    # a filter lets more through as it fills, so texts go on only where a mark says that they are wanted
+    marks = wanted.where(F.col("kinds") <= HOT).select("anchor", F.col("anchor").alias("deal"), "doc_id", "first", F.lit(MARK).cast("tinyint").alias("kind"), F.lit(None).cast("binary").alias("piece"))
+    groups = marks.union(raw.mapInArrow(texts_of, layout)).repartition("deal").sortWithinPartitions("anchor", "deal", "doc_id", "first", "kind")
 
     def expand(batches):
         block: list[tuple] = []
-        size = 0
+        size, marked, earliest = 0, None, (None,) * 4
+
+        def ranges(rows):
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end"])
 
         def done():
             anchor, doc, start, pieces = zip(*block, strict=True)
             number, shift, pieces = shared_parts(list(pieces), np.array(anchor, np.int64), least)
             doc, start = np.array(doc, np.int64)[number], np.array(start, np.int64)[number] + shift
-            rows = [(int(doc[k]), int(start[k]) + a, int(start[k]) + b + least) for k, a, b in repeated_starts(pieces, doc, start, least)] if pieces else []
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "begin", "end"])
+            return ranges([(int(doc[k]), int(start[k]) + a, int(start[k]) + b + least) for k, a, b in repeated_starts(pieces, doc, start, least)] if pieces else [])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "first", "piece")), strict=True):
-                if size > BLOCK and row[0] != block[-1][0]:
-                    yield done()
-                    block, size = [], 0
-                block.append(row)
-                size += len(row[3]) + 1
+            again = []
+            for anchor, deal, doc, first, kind, piece in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if kind == WINDOW:
+                    if earliest[:2] != (anchor, deal):
+                        earliest = (anchor, deal, doc, first)
+                    elif earliest[2:] != (doc, first):
+                        again.append((doc, first, first + least))
+                elif kind == MARK:
+                    marked = (anchor, doc, first)
+                elif marked == (anchor, doc, first):
+                    if size > BLOCK and anchor != block[-1][0]:
+                        yield done()
+                        block, size = [], 0
+                    block.append((anchor, doc, first, piece))
+                    size += len(piece) + 1
+            if again:
+                yield ranges(again)
         if block:
             yield done()
 
@@ -282,7 +320,8 @@ def removed_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, least: int = LEAST, emit: str = "digests") -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, and the kept bytes' SHA-256 (emit="bytes": the kept bytes)."""
-    ranges = store(removed_ranges(docs, least), "ranges")
+    with batches_of(docs.sparkSession, ROWS):
+        ranges = store(removed_ranges(docs, least), "ranges")
     own = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
