@@ -78,6 +78,19 @@ def test_every_pair_of_a_brand(spark, larger):
     assert len(got) == sum(n * (n - 1) // 2 for n in sizes)
 
 
+def test_names_are_compared_once_however_many_parts_have_them(spark, tmp_path):
+    rows = [(k % 1200, ("red bolt", "old ring", "", None)[k % 4 if k < 1500 else 0], (None if k % 9 == 0 else "B#1") if k < 1500 else "B#2") for k in range(2700)] + [(None, "red bolt", "B#1")]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE TABLE part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    sums = ["count(*)", "count(DISTINCT x, y)", "sum(x)", "sum(y)", "sum(x * y)", "sum(d)", "sum(x * d)", "count(d)", "round(sum(s), 2)", "round(sum(s * y), 0)"]
+    found = __spark_entry__.queries()["similarity_pairs_all"](spark, str(tmp_path))
+    told = ", ".join(sums).replace("x, y)", "(x, y))")
+    assert tuple(found.selectExpr(*sums).first()) == db.execute(f"SELECT {told} FROM ({__spark_entry__.oracle_sql()['similarity_pairs_all']})").fetchone()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(vs") < plan.index("levenshtein")
+
+
 def test_small_parts_meet_all_others_of_their_brand(spark, larger):
     got = [r.asDict() for r in __spark_entry__.queries()["avg_max_similarity_all"](spark, larger).collect()]
     assert ordered(got) == ordered(in_duckdb(__spark_entry__.oracle_sql()["avg_max_similarity_all"], larger))
