@@ -149,6 +149,15 @@ def test_one_pair_over_its_budget_leaves_the_others(spark):
     assert {r["instance_id"]: r["status"] for r in found.collect()} == {"r__r-0": "ok", "r__r-1": "ok", "r__r-2": "error: time", "r__r-3": "ok", "r__r-9": "error: size"}
 
 
+def test_a_walk_with_counts_shuffles_its_events_once(spark):
+    cases = [trace(s, '{"y": %d}' % v) for s, v in (("buggy", 1), ("patched", 2))]
+    alone = [(r[0], "r__r-alone", *r[2:]) for r in trace("buggy", "{}")]
+    events = marked(spark, *cases, alone)
+    got = divergence.first_divergence(events, counts=True)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r.asDict() for r in got.collect()] == [r.asDict() for r in divergence.with_counts(divergence.first_divergence(events), events).collect()]
+
+
 def test_waves_read_later_tests_only_of_what_is_open(spark, tmp_path):
     def of(k, test, rows):
         return [(r[0], f"r__r-{k}", test, *r[3:]) for r in rows]

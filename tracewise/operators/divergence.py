@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -206,19 +206,40 @@ def walk(buggy: list[dict], patched: list[dict], agent: str, repo: str, limit: i
     return None
 
 
-def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place, seconds: float = 600.0, longer: dict[str, float] | None = None, most_events: int = 1_000_000) -> DataFrame:
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """batch.to_pylist(), with texts and whole columns of nulls taken as columns, which is most of the time it takes."""
+
+    def column(c: pa.Array) -> list:
+        if c.null_count == len(c):
+            return [None] * len(c)
+        plain = pa.types.is_string(c.type) or not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_boolean(c.type))
+        return c.to_numpy(zero_copy_only=False).tolist() if plain else c.to_pylist()
+
+    return (dict(zip(batch.schema.names, row, strict=True)) for row in zip(*map(column, batch.columns), strict=True))
+
+
+#: Where an event stands.
+PLACE = ("filepath", "line_number", "function_name")
+
+
+def line_count(rows: list[dict], event: int) -> int | None:
+    """How many events other than calls a trace has up to an event at its place; None for none. As with_counts has it."""
+    at = next(r for r in rows if r["event_id"] == event)
+    n = sum(r["event_id"] is not None and r["event_id"] <= event and r["event_type"] not in ("Function", None) and all(r[c] == at[c] for c in PLACE) for r in rows)
+    return n or None
+
+
+def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict, dict], bool] = same_place, seconds: float = 600.0, longer: dict[str, float] | None = None, most_events: int = 1_000_000, counts: bool = False) -> DataFrame:
     """Per (agent, instance, test) with both sides: the divergence, and a status.
 
     ok, empty, or error with its kind. Pairs are dealt out by their key and walked one after the
     other as they come by, each in one task. One that takes more than its seconds (longer: by
     instance) or has more than most_events is a row with error: time or error: size, and an
-    oversized one is never gathered. events: EVENTS and excluded.
+    oversized one is let go as soon as it is. events: EVENTS and excluded, shuffled once. counts: with
+    the columns of with_counts, of the rows that are there anyway.
     """
-    side = F.col("side")
-    sizes = events.groupBy(*PAIR_KEY).agg(F.count("*").alias("_n"), F.bool_or(side == "buggy").alias("_a"), F.bool_or(side == "patched").alias("_b")).where("_a and _b")
-    fits = F.col("_n") <= most_events
-    ready = events.join(sizes.where(fits).select(*PAIR_KEY).hint("merge"), PAIR_KEY, "left_semi")
-    names = [c.split()[0] for c in DIVERGENCE.split(", ")]
+    told = DIVERGENCE + ", buggy_line_count bigint, patched_line_count bigint" * counts
+    names = [c.split()[0] for c in told.split(", ")]
     longer = longer or {}
 
     def walked(rows: tuple[list[dict], list[dict]], agent: str, instance: str) -> dict:
@@ -233,7 +254,7 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
             "location": AT_RETURN if a["event_type"] in ("Return", "Exception") else a["statement"], "before_or_after": "after" if ended else "before",
             "buggy_lineno": a["line_number"], "patched_lineno": b["line_number"], "buggy_function_param": call.get("parameters"), "diff_kind": kind, "diff_path": path,
             "buggy_variables": values.dump(view(a, path)), "patched_variables": values.dump(view(b, path)), "seen_pmf": pmf,
-        }
+        } | ({"buggy_line_count": line_count(rows[0], a["event_id"]), "patched_line_count": line_count(rows[1], b["event_id"])} if counts else {})
 
     def outcome(key: tuple, rows: tuple[list[dict], list[dict]]) -> dict:
         try:
@@ -246,26 +267,37 @@ def first_divergence(events: DataFrame, limit: int = 3, matches: Callable[[dict,
         return dict(zip(PAIR_KEY, key, strict=True)) | dict.fromkeys(names) | out
 
     def run(batches):
-        now, rows = None, ([], [])
+        now, rows, n = None, ([], []), 0
+
+        def ended() -> list[dict]:
+            if n > most_events:
+                both = seen >= {"buggy", "patched"}
+                return [dict(zip(PAIR_KEY, now, strict=True)) | dict.fromkeys(names) | {"status": "error: size"}] if both else []
+            return [outcome(now, rows)] if all(rows) and None not in now else []
+
         for batch in batches:
             done = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 key = tuple(row[c] for c in PAIR_KEY)
                 if key != now:
                     if now is not None:
-                        done.append(outcome(now, rows))
-                    now, rows = key, ([], [])
-                rows[row["side"] == "patched"].append(row)
+                        done += ended()
+                    now, rows, n, seen = key, ([], []), 0, set()
+                n += 1
+                seen.add(row["side"])
+                if n > most_events:
+                    rows = ([], [])
+                elif row["side"] in ("buggy", "patched"):
+                    rows[row["side"] == "patched"].append(row)
             yield pa.RecordBatch.from_pylist(done, schema=kinds)
         if now is not None:
-            yield pa.RecordBatch.from_pylist([outcome(now, rows)], schema=kinds)
+            yield pa.RecordBatch.from_pylist(ended(), schema=kinds)
 
-    columns = f"agent string, instance_id string, test_id int, {DIVERGENCE}"
+    columns = f"agent string, instance_id string, test_id int, {told}"
     arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
     kinds = pa.schema([(c.split()[0], arrow[c.split()[1]]) for c in columns.split(", ")])
-    read = ready.where(side.isin("buggy", "patched")).select(*(c.split()[0] for c in EVENTS.split(", ")), "excluded")
-    done = read.repartition(*PAIR_KEY).sortWithinPartitions(*PAIR_KEY, "event_id").mapInArrow(run, columns)
-    return done.unionByName(sizes.where(~fits).select(*PAIR_KEY, F.lit("error: size").alias("status")), allowMissingColumns=True)
+    read = events.select(*(c.split()[0] for c in EVENTS.split(", ")), "excluded")
+    return read.repartition(*PAIR_KEY).sortWithinPartitions(*PAIR_KEY, "event_id").mapInArrow(run, columns)
 
 
 def first_useful(found: DataFrame) -> DataFrame:

@@ -71,8 +71,7 @@ CASE WHEN found THEN CASE k WHEN 0 THEN 'r = f(v)' WHEN 1 THEN 'u += 1' ELSE 'Th
 CASE WHEN found THEN CASE k WHEN 1 THEN n + 1 ELSE 1 END END AS buggy_line_count, CASE WHEN found THEN CASE k WHEN 1 THEN n + 1 ELSE 1 END END AS patched_line_count FROM e""")
 def first_divergence_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk over calls whose parameters differ, with views and counts of the picked events."""
-    events = _call_traces(spark, sf_dir)
-    found = divergence.with_counts(divergence.first_divergence(events), events)
+    found = divergence.first_divergence(_call_traces(spark, sf_dir), counts=True)
     return found.select("instance_id", "status", "function_name", "file_path", "buggy_event_id", "diff_path", "buggy_variables", "patched_variables", "buggy_function_param", "before_or_after", "location", "buggy_line_count", "patched_line_count")
 
 
